@@ -140,7 +140,8 @@ def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     min_chars = options.get("min_chars", MIN_CHARS)
     give = written(repeated_lines(docs, **options), "given-lines").withColumnRenamed("doc_id", "_id")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of().alias("text"), F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id"))
-    rows = rows.join(give, F.col("id") == F.col("_id"), "left").withColumn("lines", split_lines(F.col("text")))
+    # Merged at every size: what is given up grows with the corpus, so it isn't broadcast.
+    rows = rows.join(give.hint("merge"), F.col("id") == F.col("_id"), "left").withColumn("lines", split_lines(F.col("text")))
 
     def stays(line):
         key = line_key(line)
