@@ -9,12 +9,12 @@ table of sources finds the fixed point.
 A source whose target is r times its size takes floor(r) whole repetitions of
 every document and, for the fraction, one more of the documents that come first
 in a seeded order, until its words are used up (to the nearest document). That
-order is cut into buckets by the hash; per-bucket sums decide whole buckets, and
-only the bucket in which a source's budget ends is ordered row by row. So no
-source, however large, passes through one task.
+order is cut into 4096 buckets by the hash; sums of whole buckets say what goes
+before each, and rows are ordered within a bucket of a source. So no source,
+however large, passes through one task.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-sorted last; null ids share one place in the order; rows repeated with one id
+sorted last; documents with a null id are ordered by their text's hash; rows repeated with one id
 are separate documents; an empty table gives an empty result.
 """
 
@@ -50,48 +50,49 @@ def water_fill(sources: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOC
     return s.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
-def plan_mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs -> all its columns as ``row``, with size, source_size, target, copies, taken."""
-    place = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select(
+def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """docs -> its columns as ``row``, with source, size and place: where the document stands in the seeded order."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text_of())))
+    return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("source").alias("source"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
-        place.alias("place"),
-    ).withColumn("bucket", F.substring("place", 1, 3))
+        F.md5(F.concat(F.lit(seed + ":"), name)).alias("place"),
+    )
+
+
+def plan_mix(rows: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """rows with source, size and place -> the same with source_size, target, copies and taken."""
+    rows = rows.withColumn("bucket", F.substring("place", 1, 3))
     buckets = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     sources = water_fill(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     sources = sources.withColumn("whole", F.floor("rate")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    in_order = Window.partitionBy("source").orderBy("bucket")
-    buckets = (
-        buckets.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-        .withColumn("upto", F.sum("words").over(in_order))
-        .withColumn("before", F.col("upto") - F.col("words"))
-        .withColumn("state", F.when(F.col("upto") <= F.col("budget"), "in").when(F.col("before") > F.col("budget"), "out").otherwise("edge"))
-    )
-    buckets = written(buckets, "mix-plan").select(F.col("source").alias("of"), F.col("bucket").alias("slot"), "source_size", "target", "whole", "budget", "before", "state")
-    rows = rows.join(buckets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("slot")))
+    in_order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    buckets = written(buckets.withColumn("before", F.coalesce(F.sum("words").over(in_order), F.lit(0))), "mix-plan")
+    buckets = buckets.select(F.col("source").alias("of"), F.col("bucket").alias("slot"), "source_size", "target", "whole", "budget", "before")
+    # One bucket of one source is all that is ordered at once.
     fine = Window.partitionBy("source", "bucket").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where("state = 'edge'").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(fine), F.lit(0)))
-    sure = rows.where("state <> 'edge'").withColumn("ahead", F.col("before"))
-    extra = F.when(F.col("state") == "edge", F.col("ahead") + F.col("size") / 2 <= F.col("budget")).otherwise(F.col("state") == "in")
-    copies = F.col("whole") + extra.cast("long")
-    return sure.unionByName(edge).select("row", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    rows = rows.join(buckets.hint("merge"), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("slot")))
+    ahead = F.col("before") + F.coalesce(F.sum("size").over(fine), F.lit(0))
+    rows = rows.withColumn("copies", F.col("whole") + (ahead + F.col("size") / 2 <= F.col("budget")).cast("long"))
+    return rows.withColumn("taken", F.col("size") * F.col("copies")).drop("bucket", "of", "slot", "whole", "budget", "before")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each document as often as it is taken."""
-    return plan_mix(docs, **options).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+    return plan_mix(sized(docs), **options).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op2_source_mix(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return plan_mix(docs).select("row.doc_id", "size", "source_size", "target", "taken")
+    thin = written(sized(docs).select("row.doc_id", "source", "size", "place"), "mix-sizes")
+    return plan_mix(thin).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP2_SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents
+  SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS place FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source
 ), o AS (
