@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from hopgraph.llm.chat import OP4_SQL, op4_chat_format
+from hopgraph.llm.decontamination import op5_decontamination
 from hopgraph.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from hopgraph.llm.line_dedup import OP3_SQL, op3_line_dedup
 from hopgraph.llm.mixing import OP2_SQL, op2_source_mix
+from hopgraph.llm.pii import op6_personal_data
 from hopgraph.llm.simhash import op1_simhash
 from hopgraph.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op5_decontamination": op5_decontamination,
+    "op6_personal_data": op6_personal_data,
     "op9_toxicity": op9_toxicity,
     "op1_simhash": op1_simhash,
     "op2_source_mix": op2_source_mix,
