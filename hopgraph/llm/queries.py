@@ -9,9 +9,11 @@ from hopgraph.llm.line_dedup import OP3_SQL, op3_line_dedup
 from hopgraph.llm.mixing import OP2_SQL, op2_source_mix
 from hopgraph.llm.pii import op6_personal_data
 from hopgraph.llm.simhash import op1_simhash
+from hopgraph.llm.substring_dedup import op7_substring_dedup
 from hopgraph.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op7_substring_dedup": op7_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_personal_data": op6_personal_data,
     "op9_toxicity": op9_toxicity,
