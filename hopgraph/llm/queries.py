@@ -6,6 +6,7 @@ from hopgraph.llm.chat import OP4_SQL, op4_chat_format
 from hopgraph.llm.decontamination import op5_decontamination
 from hopgraph.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from hopgraph.llm.line_dedup import OP3_SQL, op3_line_dedup
+from hopgraph.llm.lm_scoring import op8_lm_scoring
 from hopgraph.llm.mixing import OP2_SQL, op2_source_mix
 from hopgraph.llm.pii import op6_personal_data
 from hopgraph.llm.simhash import op1_simhash
@@ -13,6 +14,7 @@ from hopgraph.llm.substring_dedup import op7_substring_dedup
 from hopgraph.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op8_lm_scoring": op8_lm_scoring,
     "op7_substring_dedup": op7_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_personal_data": op6_personal_data,
