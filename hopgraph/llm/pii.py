@@ -25,6 +25,7 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -281,7 +282,7 @@ def redact(docs: DataFrame, model: SemiCRF) -> DataFrame:
             at = max(at, end)
         return "".join(out) + text[at:]
 
-    return docs.withColumn("text", F.pandas_udf(lambda texts: texts.map(clean), "string")(F.col("text")))
+    return docs.withColumn("text", F.pandas_udf(lambda texts: pd.Series([clean(t) for t in texts], dtype=object), "string")(F.col("text")))
 
 
 def op6_personal_data(spark, sf_dir):

@@ -24,6 +24,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -175,7 +176,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, folds: int = 5) -> Dat
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are not predicted toxic."""
     model = train(docs, labels)
-    score = F.pandas_udf(lambda texts: texts.map(model.score), "double")
+    score = F.pandas_udf(lambda texts: pd.Series([model.score(t) for t in texts], dtype=float), "double")
     return docs.where(score(F.col("text")) < 0.5)
 
 
