@@ -1 +1,4 @@
-"""Batch jobs that rebuild request traces from captured messages."""
+"""Registered queries over the driver tables."""
+
+from hopgraph.plans import evaluate_queries  # noqa: F401
+from hopgraph.plans.registry import ORACLES, QUERIES  # noqa: F401
