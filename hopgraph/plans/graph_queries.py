@@ -62,10 +62,10 @@ def e7(spark, d):
     return E.child_order_gap(j)
 
 
-@query("e8_temporal_profile", C + """, n AS (SELECT server AS client, count(*) AS parents, avg(start_us) AS p_mean FROM calls GROUP BY 1), e AS (SELECT client, server, count(*) AS children, avg(start_us) AS c_mean, any_value(parents) AS parents, any_value(p_mean) AS p_mean FROM calls JOIN n USING (client) GROUP BY 1, 2),
+@query("e8_temporal_profile", C + """, n AS (SELECT server AS client, count(*) AS parents, avg(start_us - 1700000000000000) AS p_mean FROM calls GROUP BY 1), e AS (SELECT client, server, count(*) AS children, avg(start_us - 1700000000000000) AS c_mean, any_value(parents) AS parents, any_value(p_mean) AS p_mean FROM calls JOIN n USING (client) GROUP BY 1, 2),
 r AS (SELECT *, c_mean - p_mean AS mu, CASE WHEN parents < 8 OR children < 8 THEN 'too-few-spans' WHEN greatest(parents, children)::DOUBLE / least(parents, children) > 1.5 THEN 'count-ratio-too-high' WHEN c_mean - p_mean < -50000 THEN 'negative-offset' ELSE 'ok' END AS reason FROM e),
-c AS (SELECT client, server, greatest(0, floor((k + 0.5) * 10 / n)) AS b, avg(start_us) AS m FROM (SELECT *, row_number() OVER (PARTITION BY client, server ORDER BY start_us, call_id) - 1 AS k, count(*) OVER (PARTITION BY client, server) AS n FROM calls) GROUP BY 1, 2, 3),
-p AS (SELECT server AS client, greatest(0, floor((k + 0.5) * 10 / n)) AS b, avg(start_us) AS m FROM (SELECT *, row_number() OVER (PARTITION BY server ORDER BY start_us, call_id) - 1 AS k, count(*) OVER (PARTITION BY server) AS n FROM calls) GROUP BY 1, 2),
+c AS (SELECT client, server, greatest(0, floor((k + 0.5) * 10 / n)) AS b, avg(start_us - 1700000000000000) AS m FROM (SELECT *, row_number() OVER (PARTITION BY client, server ORDER BY start_us, call_id) - 1 AS k, count(*) OVER (PARTITION BY client, server) AS n FROM calls) GROUP BY 1, 2, 3),
+p AS (SELECT server AS client, greatest(0, floor((k + 0.5) * 10 / n)) AS b, avg(start_us - 1700000000000000) AS m FROM (SELECT *, row_number() OVER (PARTITION BY server ORDER BY start_us, call_id) - 1 AS k, count(*) OVER (PARTITION BY server) AS n FROM calls) GROUP BY 1, 2),
 s AS (SELECT c.client, c.server, stddev_samp(c.m - p.m) AS spread FROM c JOIN p USING (client, b) GROUP BY 1, 2)
 SELECT r.client, r.server, parents, children, reason, CASE WHEN reason = 'ok' THEN round(mu, 3) END AS mu_us, CASE WHEN reason = 'ok' THEN round(greatest(coalesce(spread, 0), 50000), 3) END AS sigma_us FROM r LEFT JOIN s USING (client, server)""")
 def e8(spark, d):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hopgraph.functions import columns as N
 from hopgraph.functions import tokens as T
 from hopgraph.operators import pairing as B
+from hopgraph.operators.reassembly import reassemble_http1
 from hopgraph.plans.fixtures import duck, table, view
 from hopgraph.plans.registry import query
 from hopgraph.sources import io
@@ -92,6 +94,23 @@ def b05(spark, d):
     return B.dedupe_segments(segments(spark, d)).select("src", "dst", "tcp_seq", "payload")
 
 
+@query("b06_reassemble_http1", "SELECT conv_id AS flow, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, text AS body FROM conversations")
+def b06(spark, d):
+    c = table(spark, d, "conversations")
+    body = F.encode("text", "UTF-8")
+    message = F.concat(F.encode(F.concat(F.lit("POST /x HTTP/1.1\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n")), "UTF-8"), body)
+    m = c.select("conv_id", "turn", message.alias("m")).withColumn("size", F.octet_length("m").cast("long"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    half = F.expr("cast(size div 2 as int)")
+    piece = lambda i, at, payload: F.struct(i.alias("late"), at.alias("seq"), payload.alias("payload"))
+    # The second half comes first and reaches into the first one; the very first segment tells where the flow begins.
+    m = m.withColumn("seq0", before + 1)
+    seq = F.col("seq0")
+    pieces = F.array(piece(F.lit(2), seq + half - 5, F.substring("m", half - 4, F.col("size").cast("int"))), piece(F.when(F.col("turn") == 0, 1).otherwise(3), seq, F.substring("m", F.lit(1), half)))
+    s = m.withColumn("p", F.explode(pieces)).select(F.col("conv_id").alias("flow"), (F.col("turn") * 10 + F.col("p.late")).alias("time_us"), "p.seq", "p.payload")
+    return reassemble_http1(s).select("flow", "n", "body")
+
+
 @query("b07_pair_fifo", duck("conversation_messages") + """, b AS (SELECT *, sum(CASE WHEN msg_type = 'Request' THEN 1 ELSE -1 END) OVER (PARTITION BY conn ORDER BY "at") AS bal FROM conversation_messages),
 l AS (SELECT *, least(min(bal) OVER (PARTITION BY conn ORDER BY "at"), 0) AS low FROM b), p AS (SELECT *, coalesce(lag(low) OVER (PARTITION BY conn ORDER BY "at"), 0) AS prev FROM l),
 n AS (SELECT *, row_number() OVER (PARTITION BY conn, msg_type ORDER BY "at") AS n FROM p WHERE msg_type = 'Request' OR low = prev)
