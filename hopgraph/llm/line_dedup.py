@@ -115,8 +115,9 @@ def repeated_lines(docs: DataFrame, min_chars=MIN_CHARS, min_docs=MIN_DOCS, batc
     hashes = F.array_distinct(F.transform(F.filter(keys, lambda k: F.char_length(k) >= min_chars), key_hash))
     lines = docs.select(did.alias("doc_id"), F.explode(hashes).alias("hash"))
     lines = written(lines, "lines")
-    cuts = lines.select("doc_id").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)
-    cuts = [int(c) for c in cuts]
+    cuts = []
+    if batches > 1:
+        cuts = lines.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     store = LineRuns(spark, fanout)
     for k in range(batches - 1, -1, -1):
         part = lines

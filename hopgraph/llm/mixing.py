@@ -75,7 +75,7 @@ def plan_mix(rows: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS) -
     fine = Window.partitionBy("source", "bucket").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(buckets.hint("merge"), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("slot")))
     ahead = F.col("before") + F.coalesce(F.sum("size").over(fine), F.lit(0))
-    rows = rows.withColumn("copies", F.col("whole") + (ahead + F.col("size") / 2 <= F.col("budget")).cast("long"))
+    rows = rows.withColumn("copies", F.col("whole") + ((F.col("budget") > 0) & (ahead + F.col("size") / 2 <= F.col("budget"))).cast("long"))
     return rows.withColumn("taken", F.col("size") * F.col("copies")).drop("bucket", "of", "slot", "whole", "budget", "before")
 
 
