@@ -54,17 +54,23 @@ def merge_async(flow: DataFrame) -> DataFrame:
     q = t.where(F.col("type") == REQUEST).select(F.col("row_id").alias("request"), "protocol", "tap_side", "span_id", "trace_id", F.col("start_us").alias("q_us"))
     j = t.where(F.col("type") == RESPONSE).withColumnRenamed("row_id", "response").join(q, ["protocol", "tap_side", "span_id", "trace_id"]).where("q_us <= start_us").dropDuplicates(["response", "request"])
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["start_us", "response", "q_us", "request"], ascending=[True, True, False, False])
-        used, done, out = set(), set(), []
-        for response, request in zip(g["response"], g["request"]):
-            if response not in done and request not in used:
-                used.add(request)
-                done.add(response)
-                out.append((response, request))
-        return pd.DataFrame(out, columns=["response", "request"])
-
-    return j.select("span_id", "response", "request", "start_us", "q_us").groupBy("span_id").applyInPandas(run, "response string, request string")
+    def run(batches):
+        # Rows come sorted within a span id; what is used up is remembered for one span id only.
+        span, used, done = None, set(), set()
+        for g in batches:
+            out = []
+            for key, response, request in zip(g["span_id"], g["response"], g["request"]):
+                if key != span:
+                    span, used, done = key, set(), set()
+                if response not in done and request not in used:
+                    used.add(request)
+                    done.add(response)
+                    out.append((response, request))
+            yield pd.DataFrame(out, columns=["response", "request"])
+
+    j = j.select("span_id", "response", "request", "start_us", "q_us").repartition("span_id")
+    j = j.sortWithinPartitions("span_id", "start_us", "response", F.desc("q_us"), F.desc("request"))
+    return j.mapInPandas(run, "response string, request string")
 
 
 def _pairs(flow: DataFrame, left: Column, right: Column, where: Column, bit: int, columns: list[str]) -> DataFrame:
