@@ -8,10 +8,11 @@ table of sources finds the fixed point.
 
 A source whose target is r times its size takes floor(r) whole repetitions of
 every document and, for the fraction, one more of the documents that come first
-in a seeded order, until its words are used up (to the nearest document). That
-order is cut into 4096 buckets by the hash; sums of whole buckets say what goes
-before each, and rows are ordered within a bucket of a source. So no source,
-however large, passes through one task.
+in a seeded order, as long as they fit. That order is cut into 4096 buckets by
+the hash; sums of whole buckets say what goes before each, and rows are ordered
+within a bucket of a source. So no source, however large, passes through one
+task. What the budget then has left is filled by at most ``FILLS`` more documents
+of the source, each the one whose size is nearest to it (the last may go over).
 
 Defined results: a null text has size 0; a null source is a source of its own,
 sorted last; documents with a null id are ordered by their text's hash; rows repeated with one id
@@ -28,6 +29,8 @@ from hopgraph.llm.common import WORD, read_table, text_of, written
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 SEED = "mix-1"
+#: Documents a source that fill what its budget has left after the seeded order.
+FILLS = 3
 
 
 def water_fill(sources: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -61,22 +64,55 @@ def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
     )
 
 
-def plan_mix(rows: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """rows with source, size and place -> the same with source_size, target, copies and taken."""
+def in_buckets(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows and what is known of their source and bucket; ``n``: the row's number there in the seeded order; ``fits``: whether the budget has room for all rows up to it."""
+    buckets = buckets.withColumnsRenamed({"source": "of", "bucket": "slot"})
     rows = rows.withColumn("bucket", F.substring("place", 1, 3))
-    buckets = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
+    rows = rows.join(buckets.hint("merge"), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("slot"))).drop("of", "slot")
+    # One bucket of one source is all that is ordered at once.
+    fine = Window.partitionBy("source", "bucket").orderBy("place", "size")
+    rows = rows.withColumn("n", F.row_number().over(fine)).withColumn("upto", F.sum("size").over(fine.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("fits", (F.col("budget") > 0) & (F.col("before") + F.col("upto") <= F.col("budget"))).drop("upto")
+
+
+def fill_gaps(thin: DataFrame, buckets: DataFrame, fills: int) -> DataFrame:
+    """buckets with ``picked``: numbers of rows that are taken once more, since their size is nearest to what the source's budget has left."""
+    whole_source = Window.partitionBy("source")
+    rows = written(in_buckets(thin, buckets).select("source", "bucket", "n", "size", "place", "fits", "budget"), "mix-places")
+    used = rows.where("fits").groupBy("source", "bucket").agg(F.sum("size").alias("used")).withColumnsRenamed({"source": "of", "bucket": "slot"})
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("slot"))
+    buckets = buckets.join(used.hint("merge"), same, "left").drop("of", "slot")
+    buckets = buckets.withColumn("gap", F.col("budget") - F.coalesce(F.sum("used").over(whole_source), F.lit(0))).drop("used")
+    buckets = written(buckets.withColumn("picked", F.array().cast("array<int>")), "mix-gaps")
+    for k in range(fills):
+        known = buckets.select(F.col("source").alias("of"), F.col("bucket").alias("slot"), "gap", "picked")
+        left = rows.where(~F.col("fits") & (F.col("size") > 0)).join(known.hint("merge"), same).where(~F.array_contains("picked", F.col("n")))
+        off = F.abs(F.col("gap") - F.col("size"))
+        # Only the last document may go over the budget, where that is nearer than staying below.
+        near = off < F.col("gap") if k == fills - 1 else F.col("size") <= F.col("gap")
+        best = left.where(near).groupBy("source").agg(F.min(F.struct(off.alias("off"), "place", "n", "size", "bucket")).alias("best"))
+        best = best.select(F.col("source").alias("of"), F.col("best.bucket").alias("slot"), F.col("best.n").alias("found"), F.col("best.size").alias("more"))
+        buckets = buckets.join(best.hint("merge"), same, "left").drop("of", "slot")
+        buckets = buckets.withColumn("gap", F.col("gap") - F.coalesce(F.sum("more").over(whole_source), F.lit(0)))
+        picked = F.when(F.col("found").isNull(), F.col("picked")).otherwise(F.array_append("picked", F.col("found")))
+        buckets = written(buckets.withColumn("picked", picked).drop("found", "more"), "mix-gaps")
+    return buckets.drop("gap")
+
+
+def plan_mix(rows: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, fills: int = FILLS) -> DataFrame:
+    """rows with source, size and place -> the same with source_size, target, copies and taken."""
+    thin = written(rows.select("source", "size", "place"), "mix-thin")
+    buckets = thin.groupBy("source", F.substring("place", 1, 3).alias("bucket")).agg(F.sum("size").alias("words"))
+    buckets = written(buckets, "mix-buckets")
     sources = water_fill(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     sources = sources.withColumn("whole", F.floor("rate")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     in_order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    buckets = written(buckets.withColumn("before", F.coalesce(F.sum("words").over(in_order), F.lit(0))), "mix-plan")
-    buckets = buckets.select(F.col("source").alias("of"), F.col("bucket").alias("slot"), "source_size", "target", "whole", "budget", "before")
-    # One bucket of one source is all that is ordered at once.
-    fine = Window.partitionBy("source", "bucket").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(buckets.hint("merge"), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("slot")))
-    ahead = F.col("before") + F.coalesce(F.sum("size").over(fine), F.lit(0))
-    rows = rows.withColumn("copies", F.col("whole") + ((F.col("budget") > 0) & (ahead + F.col("size") / 2 <= F.col("budget"))).cast("long"))
-    return rows.withColumn("taken", F.col("size") * F.col("copies")).drop("bucket", "of", "slot", "whole", "budget", "before")
+    buckets = buckets.withColumn("before", F.coalesce(F.sum("words").over(in_order), F.lit(0)))
+    buckets = written(buckets.select("source", "bucket", "source_size", "target", "whole", "budget", "before"), "mix-plan")
+    rows = in_buckets(rows, fill_gaps(thin, buckets, fills))
+    rows = rows.withColumn("copies", F.col("whole") + (F.col("fits") | F.array_contains("picked", F.col("n"))).cast("long"))
+    return rows.withColumn("taken", F.col("size") * F.col("copies")).drop("bucket", "whole", "budget", "before", "picked", "n", "fits")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -109,9 +145,21 @@ WITH d AS (
 ), b AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t
 ), r AS (
-  SELECT doc_id, size, source_size, target, whole, target - whole * source_size AS budget,
-    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  SELECT doc_id, size, d.source, place, source_size, target, whole, target - whole * source_size AS budget,
+    row_number() OVER (PARTITION BY d.source ORDER BY place, size) AS n, sum(size) OVER (PARTITION BY d.source ORDER BY place, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+), g0 AS (
+  SELECT *, budget > 0 AND upto <= budget AS got0, budget - coalesce(sum(size) FILTER (budget > 0 AND upto <= budget) OVER (PARTITION BY source), 0) AS gap0 FROM r
+), g1 AS (
+  SELECT *, NOT got0 AND size > 0 AND size <= gap0 AND row_number() OVER (PARTITION BY source, NOT got0 AND size > 0 AND size <= gap0 ORDER BY abs(gap0 - size), place, n) = 1 AS got1 FROM g0
+), h1 AS (
+  SELECT *, gap0 - coalesce(sum(size) FILTER (got1) OVER (PARTITION BY source), 0) AS gap1 FROM g1
+), g2 AS (
+  SELECT *, NOT got0 AND NOT got1 AND size > 0 AND size <= gap1 AND row_number() OVER (PARTITION BY source, NOT got0 AND NOT got1 AND size > 0 AND size <= gap1 ORDER BY abs(gap1 - size), place, n) = 1 AS got2 FROM h1
+), h2 AS (
+  SELECT *, gap1 - coalesce(sum(size) FILTER (got2) OVER (PARTITION BY source), 0) AS gap2 FROM g2
+), g3 AS (
+  SELECT *, NOT got0 AND NOT got1 AND NOT got2 AND size > 0 AND abs(gap2 - size) < gap2 AND row_number() OVER (PARTITION BY source, NOT got0 AND NOT got1 AND NOT got2 AND size > 0 AND abs(gap2 - size) < gap2 ORDER BY abs(gap2 - size), place, n) = 1 AS got3 FROM h2
 )
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN ahead + size / 2 <= budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN got0 OR got1 OR got2 OR got3 THEN 1 ELSE 0 END))::BIGINT AS taken FROM g3
 """
