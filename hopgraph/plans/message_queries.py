@@ -30,6 +30,23 @@ def a3(spark, d):
     return io.read_observations(spark, path).select("event_id", "caller", "callee", "start_ns", "end_ns", F.col("response")["value"].alias("value"))
 
 
+@query("a4_jaeger_spans", C + "SELECT CAST(trace_id AS VARCHAR) AS trace_id, call_id AS sid, parent_id AS parent_sid, start_us, end_us - start_us AS duration_us, client || '>' || server AS op_name, server AS process FROM calls")
+def a4(spark, d):
+    calls = view(spark, d, "calls")
+    spans = calls.select(
+        F.col("trace_id").cast("string").alias("trace_id"), F.col("call_id").alias("sid"), F.col("parent_id").alias("parent_sid"), "start_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"),
+        F.concat_ws(">", "client", "server").alias("op_name"), F.col("server").alias("process"),
+    )
+    read = io.read_jaeger(spark, io.write_jaeger(spans), lines=True)
+    return read.select("trace_id", "sid", F.get("references", F.lit(0))["sid"].alias("parent_sid"), "start_us", "duration_us", "op_name", "process")
+
+
+@query("a6_load_reports", duck("load_requests") + "SELECT CAST(rate AS DOUBLE) AS rate, index, mode AS mark, latency_ms, status FROM load_requests")
+def a6(spark, d):
+    requests = view(spark, d, "load_requests").withColumnRenamed("mode", "mark")
+    return io.read_load_report(spark, io.write_load_report(requests), lines=True).select("rate", "index", "mark", "latency_ms", "status")
+
+
 @query("a5_flow_window", duck("flow_rows") + "SELECT row_id, start_us FROM flow_rows WHERE start_us BETWEEN 1700000002500000 AND 1700000009000000 AND mark LIKE '1%' ORDER BY start_us, row_id LIMIT 500")
 def a5(spark, d):
     return io.read_flow_log(view(spark, d, "flow_rows"), 1700000002500000, 1700000009000000, "1", 500).select("row_id", "start_us")

@@ -58,9 +58,9 @@ def read_flow_oracle(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ORACLE_SCHEMA).json(path)
 
 
-def read_jaeger(spark: SparkSession, path: str, root_operation: str | None = None) -> DataFrame:
-    """Spans of trace files that hold exactly one trace; with ``root_operation`` only of traces whose root has that name."""
-    traces = spark.read.schema(JAEGER_SCHEMA).option("multiLine", True).json(path).where("size(data) = 1").select(F.col("data")[0].alias("t"))
+def read_jaeger(spark: SparkSession, path: str, root_operation: str | None = None, lines: bool = False) -> DataFrame:
+    """Spans of trace files that hold exactly one trace (``lines``: of lines that do); with ``root_operation`` only of traces whose root has that name."""
+    traces = spark.read.schema(JAEGER_SCHEMA).option("multiLine", not lines).json(path).where("size(data) = 1").select(F.col("data")[0].alias("t"))
     if root_operation:
         traces = traces.where(F.exists("t.spans", lambda s: (F.coalesce(F.size(s["references"]), F.lit(0)) <= 0) & (s["operationName"] == root_operation)))
     spans = traces.select(F.explode("t.spans").alias("s"), F.col("t.processes").alias("processes"))
@@ -72,6 +72,21 @@ def read_jaeger(spark: SparkSession, path: str, root_operation: str | None = Non
     )
 
 
+def write_jaeger(spans: DataFrame, path: str | None = None) -> str:
+    """spans(trace_id, sid, parent_sid, start_us, duration_us, op_name, process) as one trace a line."""
+    path = path or new_path(spans.sparkSession, "jaeger")
+    reference = F.when(F.col("parent_sid").isNotNull(), F.array(F.struct(F.lit("CHILD_OF").alias("refType"), F.col("trace_id").alias("traceID"), F.col("parent_sid").alias("spanID"))))
+    span = F.struct(
+        F.col("trace_id").alias("traceID"), F.col("sid").alias("spanID"), F.col("op_name").alias("operationName"), F.col("start_us").alias("startTime"), F.col("duration_us").alias("duration"),
+        F.col("process").alias("processID"), reference.alias("references"),
+    )
+    traces = spans.groupBy("trace_id").agg(F.collect_list(span).alias("spans"))
+    names = F.array_distinct(F.transform("spans", lambda s: s["processID"]))
+    processes = F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.struct(n.alias("serviceName")))))
+    traces.select(F.array(F.struct(F.col("trace_id").alias("traceID"), "spans", processes.alias("processes"))).alias("data")).write.json(path)
+    return path
+
+
 def read_flow_log(df: DataFrame, start_us: int, end_us: int, mark_prefix: str | None = None, limit: int | None = None) -> DataFrame:
     """Flow rows of a time window, optionally of marks with a prefix, in time order, the first ``limit``."""
     df = df.where(F.col("start_us").between(start_us, end_us))
@@ -81,11 +96,21 @@ def read_flow_log(df: DataFrame, start_us: int, end_us: int, mark_prefix: str |
     return df.limit(limit) if limit else df
 
 
-def read_load_report(spark: SparkSession, path: str) -> DataFrame:
-    report = spark.read.schema(f"rate double, requests array<{REQUEST}>").option("multiLine", True).json(path)
+def read_load_report(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The requests of report files (``lines``: of reports that are one line each)."""
+    report = spark.read.schema(f"rate double, requests array<{REQUEST}>").option("multiLine", not lines).json(path)
     return report.select("rate", F.explode("requests").alias("r")).select("rate", "r.*")
 
 
+def write_load_report(requests: DataFrame, path: str | None = None, size: int = 1000) -> str:
+    """requests(rate, index, mark, latency_ms, status) as reports of neighbouring indexes, one a line, at most ``size`` requests each."""
+    path = path or new_path(requests.sparkSession, "load-reports")
+    request = F.struct("index", "mark", "latency_ms", "status")
+    parts = requests.groupBy(F.col("rate").cast("double").alias("rate"), F.floor(F.col("index") / size).alias("part")).agg(F.collect_list(request).alias("requests"))
+    parts.select("rate", "requests").write.json(path)
+    return path
+
+
 def write_paired(calls: DataFrame, path: str | None = None) -> str:
     path = path or new_path(calls.sparkSession, "paired")
     calls.write.parquet(path)

@@ -9,7 +9,7 @@ from hopgraph.plans.fixtures import VIEWS  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
-QUICK = ["a1_messages_csv", "b07_pair_fifo", "b10_pair_messages", "b16_complete_traces", "c07_edge_idf", "e8_temporal_profile", "f1_temporal_candidates", "f8_causal_parent", "h02_merge_sessions", "h10_relations", "h17_self_time", "p2_value_time_edges", "q3_build_oracle", "v04_parent_edges", "v11_load_summary", "v12_max_concurrency"]
+QUICK = ["a1_messages_csv", "a4_jaeger_spans", "a6_load_reports", "b07_pair_fifo", "b10_pair_messages", "b16_complete_traces", "c07_edge_idf", "e8_temporal_profile", "f1_temporal_candidates", "f8_causal_parent", "h02_merge_sessions", "h10_relations", "h17_self_time", "p2_value_time_edges", "q3_build_oracle", "v04_parent_edges", "v11_load_summary", "v12_max_concurrency"]
 
 
 @pytest.fixture(scope="module")
