@@ -11,8 +11,7 @@ not all pairs: as many as fingerprints at most, with the same components.
 
 Defined results: null text counts as empty; texts without words have fingerprint
 zero and are linked like others; a null id never names a component while
-another id is in it; rows that share an id are kept or dropped together; an
-empty table gives an empty result.
+another id is in it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from hopgraph.llm.common import read_table, written
 from hopgraph.llm.components import components
+from hopgraph.llm.near_copies import drop_near_duplicates  # noqa: F401  (the pipeline's stage)
 
 SHINGLE = 3
 SEED = 42
@@ -127,12 +127,5 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, all columns."""
-    gone = near_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = written(gone.select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-
-
 def op1_simhash(spark, sf_dir):
     return near_groups(read_table(spark, sf_dir, "documents"))
