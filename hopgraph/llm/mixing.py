@@ -11,8 +11,11 @@ every document and, for the fraction, one more of the documents that come first
 in a seeded order, as long as they fit. That order is cut into 4096 buckets by
 the hash; sums of whole buckets say what goes before each, and rows are ordered
 within a bucket of a source. So no source, however large, passes through one
-task. What the budget then has left is filled by at most ``FILLS`` more documents
-of the source, each the one whose size is nearest to it (the last may go over).
+task. ``mix`` goes on in that order behind a document that is too long, in rounds,
+until no unused document of the source fits, then takes the nearest one, which may
+go over, if that is nearer than none. op2's SQL instead fills what is left with at
+most ``FILLS`` documents of the source, each the nearest in size (the last may go
+over), so behind a long document op2 can stay far below its target.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 sorted last; documents with a null id are ordered by their text's hash; rows repeated with one id
@@ -21,7 +24,7 @@ are separate documents; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopgraph.llm.common import WORD, read_table, text_of, written
@@ -64,6 +67,10 @@ def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
     )
 
 
+def same_bucket() -> Column:
+    return F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("slot"))
+
+
 def in_buckets(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     """rows and what is known of their source and bucket; ``n``: the row's number there in the seeded order; ``fits``: whether the budget has room for all rows up to it."""
     buckets = buckets.withColumnsRenamed({"source": "of", "bucket": "slot"})
@@ -75,15 +82,54 @@ def in_buckets(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     return rows.withColumn("fits", (F.col("budget") > 0) & (F.col("before") + F.col("upto") <= F.col("budget"))).drop("upto")
 
 
-def fill_gaps(thin: DataFrame, buckets: DataFrame, fills: int) -> DataFrame:
-    """buckets with ``picked``: numbers of rows that are taken once more, since their size is nearest to what the source's budget has left."""
+def gaps_left(thin: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with their place in the seeded order, and buckets with ``gap``: what the source's budget has left after it."""
     whole_source = Window.partitionBy("source")
     rows = written(in_buckets(thin, buckets).select("source", "bucket", "n", "size", "place", "fits", "budget"), "mix-places")
     used = rows.where("fits").groupBy("source", "bucket").agg(F.sum("size").alias("used")).withColumnsRenamed({"source": "of", "bucket": "slot"})
-    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("slot"))
-    buckets = buckets.join(used.hint("merge"), same, "left").drop("of", "slot")
+    buckets = buckets.join(used.hint("merge"), same_bucket(), "left").drop("of", "slot")
     buckets = buckets.withColumn("gap", F.col("budget") - F.coalesce(F.sum("used").over(whole_source), F.lit(0))).drop("used")
-    buckets = written(buckets.withColumn("picked", F.array().cast("array<int>")), "mix-gaps")
+    return rows, written(buckets.withColumn("picked", F.array().cast("array<int>")), "mix-gaps")
+
+
+def fill_gaps(thin: DataFrame, buckets: DataFrame, fills: int) -> DataFrame:
+    """buckets with ``picked``: numbers of rows that are taken once more, since their size is nearest to what the source's budget has left."""
+    rows, buckets = gaps_left(thin, buckets)
+    return fill_nearest(rows, buckets, fills).drop("gap")
+
+
+def fill_whole(thin: DataFrame, buckets: DataFrame) -> DataFrame:
+    """buckets with ``picked``, until no further row fits what the source's budget has left; then the nearest row, where it is nearer than none.
+
+    The seeded order goes on behind a row that is too long: each round takes, of the rows that
+    still fit, those that come first. The row that ends a round is too long for the next one.
+    """
+    whole_source = Window.partitionBy("source")
+    in_order = whole_source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    fine = Window.partitionBy("source", "bucket").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows, buckets = gaps_left(thin, buckets)
+    left = rows.where(~F.col("fits") & (F.col("size") > 0)).select("source", "bucket", "n", "size")
+    while True:
+        known = buckets.select(F.col("source").alias("of"), F.col("bucket").alias("slot"), "gap")
+        left = written(left.join(known.hint("merge"), same_bucket()).where("size <= gap").drop("of", "slot"), "mix-left")
+        if left.isEmpty():
+            return fill_nearest(rows, buckets, 1).drop("gap")
+        words = left.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+        words = words.select(F.col("source").alias("of"), F.col("bucket").alias("slot"), F.coalesce(F.sum("words").over(in_order), F.lit(0)).alias("ahead"))
+        left = left.join(words.hint("merge"), same_bucket()).withColumn("took", F.col("ahead") + F.sum("size").over(fine) <= F.col("gap"))
+        left = written(left.select("source", "bucket", "n", "size", "took"), "mix-round")
+        took = left.where("took").groupBy("source", "bucket").agg(F.sum("size").alias("more"), F.collect_list("n").alias("found"))
+        took = took.withColumnsRenamed({"source": "of", "bucket": "slot"})
+        buckets = buckets.join(took.hint("merge"), same_bucket(), "left").drop("of", "slot")
+        buckets = buckets.withColumn("gap", F.col("gap") - F.coalesce(F.sum("more").over(whole_source), F.lit(0)))
+        picked = F.concat("picked", F.coalesce("found", F.array().cast("array<int>")))
+        buckets = written(buckets.withColumn("picked", picked).drop("found", "more"), "mix-gaps")
+        left = left.where(~F.col("took")).drop("took")
+
+
+def fill_nearest(rows: DataFrame, buckets: DataFrame, fills: int) -> DataFrame:
+    """buckets with up to ``fills`` more rows of each source in ``picked``, each the nearest in size to the gap; the last may go over."""
+    whole_source, same = Window.partitionBy("source"), same_bucket()
     for k in range(fills):
         known = buckets.select(F.col("source").alias("of"), F.col("bucket").alias("slot"), "gap", "picked")
         left = rows.where(~F.col("fits") & (F.col("size") > 0)).join(known.hint("merge"), same).where(~F.array_contains("picked", F.col("n")))
@@ -96,11 +142,11 @@ def fill_gaps(thin: DataFrame, buckets: DataFrame, fills: int) -> DataFrame:
         buckets = buckets.withColumn("gap", F.col("gap") - F.coalesce(F.sum("more").over(whole_source), F.lit(0)))
         picked = F.when(F.col("found").isNull(), F.col("picked")).otherwise(F.array_append("picked", F.col("found")))
         buckets = written(buckets.withColumn("picked", picked).drop("found", "more"), "mix-gaps")
-    return buckets.drop("gap")
+    return buckets
 
 
-def plan_mix(rows: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, fills: int = FILLS) -> DataFrame:
-    """rows with source, size and place -> the same with source_size, target, copies and taken."""
+def plan_mix(rows: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, fills: int | None = FILLS) -> DataFrame:
+    """rows with source, size and place -> the same with source_size, target, copies and taken; ``fills`` None fills budgets until no row fits."""
     thin = written(rows.select("source", "size", "place"), "mix-thin")
     buckets = thin.groupBy("source", F.substring("place", 1, 3).alias("bucket")).agg(F.sum("size").alias("words"))
     buckets = written(buckets, "mix-buckets")
@@ -110,14 +156,14 @@ def plan_mix(rows: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, f
     buckets = buckets.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     buckets = buckets.withColumn("before", F.coalesce(F.sum("words").over(in_order), F.lit(0)))
     buckets = written(buckets.select("source", "bucket", "source_size", "target", "whole", "budget", "before"), "mix-plan")
-    rows = in_buckets(rows, fill_gaps(thin, buckets, fills))
+    rows = in_buckets(rows, fill_whole(thin, buckets) if fills is None else fill_gaps(thin, buckets, fills))
     rows = rows.withColumn("copies", F.col("whole") + (F.col("fits") | F.array_contains("picked", F.col("n"))).cast("long"))
     return rows.withColumn("taken", F.col("size") * F.col("copies")).drop("bucket", "whole", "budget", "before", "picked", "n", "fits")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the columns of ``docs``, each document as often as it is taken."""
-    return plan_mix(sized(docs), **options).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+def mix(docs: DataFrame, fills: int | None = None, **options) -> DataFrame:
+    """The mixed corpus: the columns of ``docs``, each document as often as it is taken; budgets are filled until no document fits."""
+    return plan_mix(sized(docs), fills=fills, **options).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op2_source_mix(spark, sf_dir):
