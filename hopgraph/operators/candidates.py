@@ -257,16 +257,15 @@ def containment_fallback(calls: DataFrame, labels: DataFrame, tolerance_us: int
     return labels
 
 
-def labels_from_parents(parents: DataFrame, roots: DataFrame, rounds: int = 32) -> DataFrame:
-    """(call_id, label) from roots down a predicted parent tree; calls on cycles get none."""
+def labels_from_parents(parents: DataFrame, roots: DataFrame) -> DataFrame:
+    """(call_id, label) from roots down a predicted parent tree of any depth; calls on cycles get none."""
     done = written(roots.select("call_id", "label"), "labels")
     front = done
-    for _ in range(rounds):
+    while True:
         front = written(parents.join(front.withColumnRenamed("call_id", "parent"), "parent").select("call_id", "label").join(done.select("call_id"), "call_id", "left_anti"), "front")
         if front.isEmpty():
-            break
+            return done
         done = written(done.unionByName(front), "labels")
-    return done
 
 
 def map_hops(calls: DataFrame, depth: int) -> DataFrame:
