@@ -6,18 +6,24 @@ a template. Kinds of event:
 
 - ``message``: a new message at the end.
 - ``delta``: more text at the end of the message begun last.
-- ``edit``: new text for the message that began at ``ref``.
+- ``edit``: new text for the message that began at sequence ``ref``.
 - ``regenerate``: the message that began at ``ref`` and all begun since are
   discarded; this one stands in their place.
 
+A message is known by its place in the sorted log, so messages that share a
+sequence number are all kept; ``ref`` means the last of them begun before. A
+conversation's turns are one row in the end, so one conversation has to fit into
+a task, as it has to fit into its result.
+
 In the output every turn stands between control strings. Inside roles and texts
 those strings, and those of other common templates, are broken by an escape
 that ``unescape`` undoes exactly.
 
 Defined results: null text or role counts as empty; a null conversation id is a
 conversation of its own; events with equal sequence go by kind, role and text;
-an edit or regeneration of an unknown message adds nothing, or stands as a new
-message; an empty table gives an empty result; other columns are ignored.
+an edit of an unknown message adds nothing; a regeneration of one discards
+nothing and stands as a new message; a delta before any message adds nothing; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,16 +63,25 @@ def unescape_role(col: Column) -> Column:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """events(conv_id, seq, kind, role, text, ref) -> messages(conv_id, seq, role, text), final ones only."""
-    order = Window.partitionBy("conv_id").orderBy("seq", "kind", "role", "text")
+    """events(conv_id, seq, kind, role, text, ref) -> messages(conv_id, seq, role, text), final ones only; their seq is the place of their first event."""
+    order = Window.partitionBy("conv_id").orderBy("seq", "kind", "role", "text", "ref")
     begins = F.col("kind").isin("message", "regenerate")
-    later = order.rowsBetween(1, Window.unboundedFollowing)
     e = (
         events.select("conv_id", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "ref")
         .withColumn("at", F.row_number().over(order))
-        .withColumn("own", F.last(F.when(begins, F.col("seq")), ignorenulls=True).over(order))
-        .withColumn("cut", F.min(F.when(F.col("kind") == "regenerate", F.col("ref"))).over(later))
-        .withColumn("message", F.when(F.col("kind") == "edit", F.col("ref")).otherwise(F.col("own")))
+    )
+    # The last message begun at ``ref`` before the event that names it.
+    heads = e.where(begins).select(F.col("conv_id").alias("h_conv"), F.col("seq").alias("h_seq"), F.col("at").alias("h_at"))
+    named = e.where(F.col("kind").isin("edit", "regenerate") & F.col("ref").isNotNull()).select(F.col("conv_id").alias("n_conv"), "ref", F.col("at").alias("n_at"))
+    meant = named.join(heads, F.col("n_conv").eqNullSafe(F.col("h_conv")) & (F.col("ref") == F.col("h_seq")) & (F.col("h_at") < F.col("n_at")))
+    meant = meant.groupBy("n_conv", "n_at").agg(F.max("h_at").alias("target"))
+    order = Window.partitionBy("conv_id").orderBy("at")
+    later = order.rowsBetween(1, Window.unboundedFollowing)
+    e = (
+        e.join(meant, F.col("conv_id").eqNullSafe(F.col("n_conv")) & (F.col("at") == F.col("n_at")), "left")
+        .withColumn("own", F.last(F.when(begins, F.col("at")), ignorenulls=True).over(order))
+        .withColumn("cut", F.min(F.when(F.col("kind") == "regenerate", F.col("target"))).over(later))
+        .withColumn("message", F.when(F.col("kind") == "edit", F.col("target")).otherwise(F.col("own")))
     )
     parts = e.groupBy("conv_id", "message").agg(
         F.array_sort(F.collect_list(F.struct("at", "kind", "text"))).alias("parts"),
