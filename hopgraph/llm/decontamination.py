@@ -6,14 +6,19 @@ query that retrieves every item whose BM25 score is at least ``THRESHOLD`` of th
 score the item gives itself. Weights are divided by that threshold, so an item
 is retrieved at 1.
 
-Items stand in blocks. A term is essential in a block unless it belongs to the
-commonest terms of each of its items, whose weights together stay below the
-threshold: without an essential term no item of the block can be retrieved. The
-postings of essential terms hold the block's largest weight. A passage adds up
-those maxima block by block, and only where they and the rest can reach 1 are the
-items of the block scored. Retrieved items are verified by the words and
-shingles they share with the passage: the whole item's, and its answer's (its
-last sentence).
+Items are numbered, and every term has its postings in order of items, with the
+largest weight in the whole list and in each block of ``BLOCK`` items. A passage
+has a cursor in the list of each of its terms. Sorted by the items they stand at,
+the cursors' list maxima are summed up to the pivot, the first item that can reach
+1. If the maxima of the pivot's block cannot reach it, the cursors skip behind the
+block; else the item is scored, or the cursors before it move up to it.
+Retrieved items are verified by the words and shingles they share with the
+passage: the whole item's, and its answer's (its last sentence).
+
+Most passages have no item at all, and that is seen for many at once: a term is
+essential in a block unless it belongs to the commonest terms of each of its
+items, whose weights together stay below the threshold. Only passages whose
+essential terms' block maxima and the rest can reach 1 in some block are searched.
 
 The index is made of shards of bounded size, each broadcast in turn; statistics
 are those of all items.
@@ -28,7 +33,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -101,10 +107,55 @@ class ItemIndex:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.blocks = np.array([b for x in lists for b in x], np.int64)
         self.maxima = np.array([w for x in lists for w in x.values()])
-        self.shingles = [shingles(w) for _, _, w, _ in self.items]
+        postings = defaultdict(list)
+        for k, weights in enumerate(self.weights):
+            for t, w in weights.items():
+                postings[t].append((k, w))
+        #: By term: items, weights, the largest weight by block and of all.
+        self.postings = {}
+        for t, found in postings.items():
+            blocks: dict[int, float] = {}
+            for k, w in found:
+                blocks[k // BLOCK] = max(w, blocks.get(k // BLOCK, 0.0))
+            self.postings[t] = [k for k, _ in found], [w for _, w in found], blocks, max(blocks.values())
+
+    def retrieve(self, terms) -> list[tuple[int, float]]:
+        """(item, score) of all items that the distinct terms give a score of 1 or more, by block-max WAND."""
+        need = 1 - 1e-6
+        # A cursor: items, weights, block maxima, list maximum, place in the list.
+        cursors = [[*self.postings[t], 0] for t in terms if t in self.postings]
+        found = []
+        while cursors:
+            cursors.sort(key=lambda c: c[0][c[4]])
+            bound, pivot = 0.0, None
+            for k, c in enumerate(cursors):
+                bound += c[3]
+                if bound >= need:
+                    pivot = c[0][c[4]]
+                    break
+            if pivot is None:
+                return found
+            while k + 1 < len(cursors) and cursors[k + 1][0][cursors[k + 1][4]] == pivot:
+                k += 1
+            block, near = pivot // BLOCK, cursors[:k + 1]
+            if sum(c[2].get(block, 0.0) for c in near) < need:
+                target = (block + 1) * BLOCK
+                if k + 1 < len(cursors):
+                    target = min(target, cursors[k + 1][0][cursors[k + 1][4]])
+            elif cursors[0][0][cursors[0][4]] == pivot:
+                score = sum(c[1][c[4]] for c in near)
+                if score >= need:
+                    found.append((pivot, score))
+                target = pivot + 1
+            else:
+                target = pivot
+            for c in near:
+                c[4] = bisect_left(c[0], target, c[4])
+            cursors = [c for c in cursors if c[4] < len(c[0])]
+        return found
 
-    def _passing(self, ids: np.ndarray, passages: np.ndarray) -> list[tuple[int, int]]:
-        """(passage, block) pairs whose bound reaches 1, from the essential terms (ids) of each passage."""
+    def _passing(self, ids: np.ndarray, passages: np.ndarray) -> list[int]:
+        """Passages whose bound reaches 1 in some block, from their essential terms (ids)."""
         pairs = np.unique(passages * len(self.sizes) + ids)
         passages, ids = np.divmod(pairs, len(self.sizes))
         sizes = self.sizes[ids]
@@ -116,7 +167,7 @@ class ItemIndex:
         sums, keys = np.add.reduceat(bounds, first), keys[first]
         p, b = np.divmod(keys, len(self.rest))
         ok = sums + self.rest[b] >= 1 - 1e-6
-        return list(zip(p[ok].tolist(), b[ok].tolist()))
+        return np.unique(p[ok]).tolist()
 
     def search(self, texts):
         """For each text its verified items: {place among items: (score, item overlap, answer overlap)}."""
@@ -154,22 +205,20 @@ class ItemIndex:
         # Passage j holds the half-passages j and j + 1.
         ids2, places2 = np.concatenate([ids, ids]), np.concatenate([places, places - 1])
         keep = places2 >= 0
-        for p, block in self._passing(ids2[keep], places2[keep]):
+        for p in self._passing(ids2[keep], places2[keep]):
             if whose[p] is None:
                 continue
             k, words, j = whose[p]
             passage = words[j * half:(j + 2) * half]
-            have = set(passage)
-            near = None
-            for i in range(block * BLOCK, min(len(self.items), (block + 1) * BLOCK)):
-                score = sum(w for t, w in self.weights[i].items() if t in have)
-                if score < 1 - 1e-6:
-                    continue
-                near = near or shingles(passage)
-                near_i = near if self.items[i][0] >= SHINGLE else shingles(passage, self.items[i][0])
-                overlap = len(self.shingles[i] & near_i) / len(self.shingles[i])
-                answer = Counter(self.items[i][3])
-                met = sum((answer & Counter(passage)).values()) / max(1, sum(answer.values()))
+            retrieved = self.retrieve(set(passage))
+            if not retrieved:
+                continue
+            near, have = shingles(passage), Counter(passage)
+            for i, score in retrieved:
+                own, last = self.items[i][2], Counter(self.items[i][3])
+                whole = shingles(own)
+                overlap = len(whole & (near if len(own) >= SHINGLE else shingles(passage, len(own)))) / len(whole)
+                met = sum((last & have).values()) / max(1, sum(last.values()))
                 if overlap >= MIN_OVERLAP and met >= MIN_ANSWER:
                     found[k][i] = max(found[k].get(i, (0, 0, 0)), (score * THRESHOLD, overlap, met))
 
