@@ -11,7 +11,8 @@ over segments picks boundaries and kinds jointly.
 Weights are learnt by gradient ascent on the likelihood of the segmentations
 that the base patterns and one seed pattern for secrets give, on a bounded
 sample: at most ``SAMPLE`` documents that hold a digit or @, by a hash of id and
-text. All documents are searched whole.
+text, and of their runs, cut into pieces of at most ``PIECE`` words, at most
+``MAX_RUNS``, by a hash of the piece. All documents are searched whole.
 
 Defined results: null and empty texts have no spans; an added span never
 overlaps a base span; null ids are kept as they are; an empty table gives an
@@ -35,7 +36,7 @@ from hopgraph.llm.common import BLANKS, read_table, text_of, written
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 MAX_WORDS = 5
-SAMPLE, MAX_RUNS, EPOCHS = 2000, 1500, 6
+SAMPLE, MAX_RUNS, PIECE, EPOCHS = 2000, 1500, 40, 6
 # The contract's patterns, written so that each takes time in proportion to the text.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -219,8 +220,7 @@ def examples_of(text: str) -> list:
             inside = [k for k, (a, b) in enumerate(run) if a < end and start < b]
             if inside and run[0][0] <= start and end <= run[-1][1]:
                 gold[inside[0], inside[-1] + 1] = kind
-        if len(run) <= 40:
-            out.append((len(run), segments(text, run), gold))
+        out.append((len(run), segments(text, run), gold))
     return out
 
 
@@ -232,7 +232,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> SemiCRF:
 
     def gather(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([text[max(0, run[0][0] - 40):run[-1][1] + 40] for text in batch.column(0).to_pylist() for run in runs(text) if len(run) <= 40], pa.string())], ["part"])
+            parts = []
+            for text in batch.column(0).to_pylist():
+                for run in runs(text):
+                    for k in range(0, len(run), PIECE):
+                        # The words before a run tell what it is.
+                        begin = run[k][0] if k else max(0, run[0][0] - 40)
+                        parts.append(text[begin:run[min(k + PIECE, len(run)) - 1][1]])
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], ["part"])
 
     parts = texts.select("text").mapInArrow(gather, "part string").orderBy(F.xxhash64("part")).limit(MAX_RUNS)
     examples = [e for r in parts.collect() for e in examples_of(r.part)]
@@ -246,8 +253,12 @@ def find_spans(text: str | None, model: SemiCRF) -> tuple[list, list]:
         return [], []
     base = base_spans(text)
     spans = list(base)
+    # Both lists go by start; ``reach`` is where the base spans begun so far end.
+    k = reach = 0
     for start, end, kind in model.decode(text):
-        if not any(a < end and start < b for a, b, _ in base):
+        while k < len(base) and base[k][0] < end:
+            reach, k = max(reach, base[k][1]), k + 1
+        if reach <= start:
             spans.append((start, end, kind))
     return base, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
