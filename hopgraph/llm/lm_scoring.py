@@ -1,18 +1,21 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The vocabulary is counted over all training documents. Words with at least one
-in ``HOT_SHARE`` of all tokens are hot (so there are at most that many); they are
-dealt to classes of about equal weight, and all other words, unknown ones too,
-make the last class. A token's probability is that of its class given the tokens
-before it times its own within the class. The class factor is a softmax over
-hashed features: the word before, the two before, and the one before that alone
-(skip). The word factor is the count's share of its class.
+The vocabulary is counted over all training documents and grows with them. Words
+with at least one in ``HOT_SHARE`` of all tokens are hot (so there are at most
+that many); they are dealt to classes of about equal weight, and all other words,
+unknown ones too, make the last class. A token's probability is that of its class
+given the tokens before it times its own within the class. The class factor is a
+softmax over hashed features of whatever words stand before, hot or not: the word
+before, the two before, and the one before that alone (skip). The word factor is
+a softmax without features, whose likeliest weights are the logarithms of the
+counts, so it is taken from the counts and not climbed to.
 
 Class weights are trained by distributed gradient updates: in every round each
 partition of the round's documents takes Adagrad steps from the shared weights,
 and the steps are averaged by tokens, bucket by bucket, in Spark. Every training
-document is in one round. Weights have a fixed size, so they are broadcast;
-counts of words that aren't hot are joined with the documents' words.
+document is in one round. Steps are local to partitions, so another layout of the
+input gives slightly other weights. The table of weights has a fixed size, so it
+is broadcast; counts of words that aren't hot are joined with the documents' words.
 
 Defined results: null and empty texts have one token, the end; null ids are never
 held out; rows repeated with one id are learnt from and scored separately; with
@@ -34,14 +37,14 @@ from hopgraph.llm.common import read_table, text_of, written
 from hopgraph.llm.word_hash import chunks, mixed, word_hashes
 
 FOLDS = 10
-HOT_SHARE = 20000
+HOT_SHARE = 1 << 17
 CLASSES = 32
 BUCKETS = 1 << 14
 ROUNDS = 3
 RATE = 0.1
 SMOOTH = 0.1
 CHUNK_BYTES = 1 << 18
-END, RARE, BEGIN = (np.uint64(k) for k in (0x0E4D0E4D0E4D0E4D, 0x4A5E4A5E4A5E4A5E, 0xBE61BE61BE61BE61))
+END, BEGIN = (np.uint64(k) for k in (0x0E4D0E4D0E4D0E4D, 0xBE61BE61BE61BE61))
 
 
 def held_out(id_col: Column, folds: int = FOLDS) -> Column:
@@ -86,9 +89,8 @@ class MaxEnt:
         return at, hot, np.where(hot, self.classes[at], CLASSES - 1)
 
     @staticmethod
-    def features(h: np.ndarray, hot: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    def features(seen: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
         """Bucket of each hashed feature: word before, both words before, word before that (skip)."""
-        seen = np.where(hot, h, RARE)
         one, two = np.empty_like(seen), np.empty_like(seen)
         one[1:], two[2:] = seen[:-1], seen[:-2]
         starts = places[:-1]
@@ -116,8 +118,8 @@ class MaxEnt:
         every = np.arange(CLASSES)
         for column in columns:
             h, places = tokens(column)
-            _, hot, target = self.place(h)
-            feats = self.features(h, hot, places)
+            target = self.place(h)[2]
+            feats = self.features(h, places)
             error = -self.class_probabilities(feats, w)
             error[np.arange(len(h)), target] += 1
             flat = error.ravel()
@@ -184,7 +186,7 @@ def score(docs: DataFrame, model: MaxEnt, counts: DataFrame, folds: int = FOLDS)
             for a, b in chunks(batch.column(1), CHUNK_BYTES):
                 h, places = tokens(batch.column(1).slice(a, b - a))
                 at, hot, target = model.place(h)
-                p = model.class_probabilities(model.features(h, hot, places), model.weights)
+                p = model.class_probabilities(model.features(h, places), model.weights)
                 own = np.log10(np.maximum(p[np.arange(len(h)), target], 1e-30).astype(float))
                 base = np.zeros(len(h))
                 base[hot] = model.base[at[hot]]
