@@ -8,7 +8,8 @@ filter that is too small lets more rows through to the grouping, never fewer, so
 the result doesn't depend on its size.
 
 Defined results: a null text counts as empty; a null id ranks below every id;
-of rows repeated with the same id and text exactly one stays; an empty table
+of rows repeated with the same id and text exactly one stays, in
+``drop_exact_duplicates`` the one whose columns, as JSON, sort last; an empty table
 gives an empty result; other columns, whatever their names, are carried along
 by ``drop_exact_duplicates`` and ignored by ``exact_groups``.
 """
@@ -97,7 +98,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bits = filter_bits(hashes.count())
     marked = mark_possible(keyed, written(repeated_filter(hashes, bits), "exact-filter"), bits)
     alone = marked.where(~F.col("possible")).select("row")
-    kept = marked.where("possible").groupBy("sha").agg(F.max_by("row", F.struct(F.col("row")[id_col])).alias("row")).select("row")
+    kept = marked.where("possible").groupBy("sha").agg(F.max_by("row", F.struct(F.col("row")[id_col], F.to_json("row"))).alias("row")).select("row")
     return alone.unionByName(kept).select("row.*")
 
 

@@ -19,13 +19,14 @@ over), so behind a long document op2 can stay far below its target.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 sorted last; documents with a null id are ordered by their text's hash; rows repeated with one id
-are separate documents; an empty table gives an empty result.
+are separate documents, in order of size and then of a hash of their columns; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from hopgraph.llm.common import WORD, read_table, text_of, written
 
@@ -57,13 +58,14 @@ def water_fill(sources: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOC
 
 
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs -> its columns as ``row``, with source, size and place: where the document stands in the seeded order."""
+    """docs -> its columns as ``row``, with source, size, place (where the document stands in the seeded order) and tie (the order of rows that share an id)."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text_of())))
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("source").alias("source"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(seed + ":"), name)).alias("place"),
+        F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if isinstance(t.dataType, (ArrayType, MapType, StructType)) else F.col(f"`{c}`") for c, t in zip(docs.columns, docs.schema)]).alias("tie"),
     )
 
 
@@ -77,7 +79,7 @@ def in_buckets(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     rows = rows.withColumn("bucket", F.substring("place", 1, 3))
     rows = rows.join(buckets.hint("merge"), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("slot"))).drop("of", "slot")
     # One bucket of one source is all that is ordered at once.
-    fine = Window.partitionBy("source", "bucket").orderBy("place", "size")
+    fine = Window.partitionBy("source", "bucket").orderBy("place", "size", "tie")
     rows = rows.withColumn("n", F.row_number().over(fine)).withColumn("upto", F.sum("size").over(fine.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.withColumn("fits", (F.col("budget") > 0) & (F.col("before") + F.col("upto") <= F.col("budget"))).drop("upto")
 
@@ -147,7 +149,7 @@ def fill_nearest(rows: DataFrame, buckets: DataFrame, fills: int) -> DataFrame:
 
 def plan_mix(rows: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, fills: int | None = FILLS) -> DataFrame:
     """rows with source, size and place -> the same with source_size, target, copies and taken; ``fills`` None fills budgets until no row fits."""
-    thin = written(rows.select("source", "size", "place"), "mix-thin")
+    thin = written(rows.select("source", "size", "place", "tie"), "mix-thin")
     buckets = thin.groupBy("source", F.substring("place", 1, 3).alias("bucket")).agg(F.sum("size").alias("words"))
     buckets = written(buckets, "mix-buckets")
     sources = water_fill(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
@@ -168,7 +170,7 @@ def mix(docs: DataFrame, fills: int | None = None, **options) -> DataFrame:
 
 def op2_source_mix(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    thin = written(sized(docs).select("row.doc_id", "source", "size", "place"), "mix-sizes")
+    thin = written(sized(docs).select("row.doc_id", "source", "size", "place", "tie"), "mix-sizes")
     return plan_mix(thin).select("doc_id", "size", "source_size", "target", "taken")
 
 
