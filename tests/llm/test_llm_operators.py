@@ -306,5 +306,5 @@ def test_toxicity(spark, docs, empty):
     test = [r for r in got if r.held_out]
     assert len(test) > 80 and all((r.predicted == 1) == (r.doc_id % 6 == 0) for r in test)
     odd = toxicity.score_toxicity(docs, toxicity.train(docs, lab.limit(0)))
-    assert {r.score for r in odd.collect()} == {0.3333333333333333} or odd.count() == len(rows())
+    assert [r.score for r in odd.collect()] == [0.5] * len(rows())
     assert toxicity.score_toxicity(empty, toxicity.train(empty, lab)).count() == 0
