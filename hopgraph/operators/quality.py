@@ -5,27 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopgraph.functions import tokens as T
 from hopgraph.operators.candidates import labels_from_parents
+from hopgraph.operators.common import written
 
 BLIND_COLUMNS = ["protocol_type", "client", "server", "stream_id", "msg_type", "time_us", "data"]
 
 
-def prepare_blind(messages: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(messages without labels, oracle of calls, problems): directions, label conflicts, roots per trace and leaked labels are checked."""
+PROTOCOLS = ["http", "http1", "http2", "http/1.1", "http/2", "grpc"]
+
+
+def leaked_labels(payloads: DataFrame, labels: DataFrame) -> DataFrame:
+    """payloads(row, data), labels(label) -> row of every payload that holds some label anywhere.
+
+    All parts of a payload that are as long as some label meet the labels in an equi-join: no label is sent
+    to every payload, however many there are. There are few lengths of labels.
+    """
+    lengths = labels.groupBy(F.length("label").alias("size")).agg(F.count("*").alias("n")).where("size > 0")
+    cut = payloads.crossJoin(F.broadcast(lengths.select("size"))).where("length(data) >= size")
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("data") - F.col("size") + 1), lambda at: F.substring(F.col("data"), at, F.col("size"))))
+    return cut.select("row", F.explode(parts).alias("label")).join(labels.select("label").distinct(), "label", "left_semi").select("row").distinct()
+
+
+def prepare_blind(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(messages without labels and with scrubbed payloads, oracle of calls, problems (problem, trace_id)).
+
+    A payload that isn't JSON is reported and not passed on. Entry calls are found: paired calls from clients
+    that serve nothing. Problems are protocols and rows that don't belong here, labels that conflict, directions
+    seen twice, unparsed payloads, labels anywhere in a scrubbed payload, and traces with several entry calls.
+    """
     key = ["client", "server", "stream_id"]
-    by_call = messages.groupBy(*key).agg(F.countDistinct("trace_id").alias("labels"), F.array_sort(F.collect_set("msg_type")).alias("kinds"), F.min("trace_id").alias("trace_id"))
-    roots = by_call.where(F.col("server") == root).groupBy("trace_id").agg(F.count("*").alias("roots"))
-    problem = lambda df, name: df.select(F.lit(name).alias("problem"), F.col("trace_id"))
-    leaked = messages.where((F.length("trace_id") > 3) & (F.contains("data", F.concat(F.lit("trace:"), "trace_id"))))
+    m = messages.withColumn("clean", T.scrub_json_payload("data")).withColumn("row", F.xxhash64(*key, "msg_type", "time_us", "trace_id", "data"))
+    m = written(m, "blind-messages")
+    by_call = m.groupBy(*key).agg(
+        F.countDistinct("trace_id").alias("labels"), F.array_sort(F.collect_set("msg_type")).alias("kinds"), F.count("*").alias("rows"), F.min("trace_id").alias("trace_id")
+    )
+    host = lambda c: F.substring_index(c, ":", 1)
+    paired = by_call.where(F.size("kinds") == 2)
+    entries = paired.join(paired.select(host("server").alias("host")).distinct(), host("client") == F.col("host"), "left_anti")
+    roots = entries.groupBy("trace_id").agg(F.count("*").alias("roots"), F.min(F.struct(*key)).alias("root"))
+    problem = lambda df, name: df.select(F.lit(name).alias("problem"), "trace_id").distinct()
+    labels = m.where("trace_id <> ''").select(F.col("trace_id").alias("label")).distinct()
+    leaks = leaked_labels(m.where("clean is not null").select("row", F.col("clean").alias("data")).distinct(), labels)
+    bad = F.coalesce(~F.col("msg_type").isin("Request", "Response"), F.lit(True)) | F.coalesce(F.col("trace_id") == "", F.lit(True))
     problems = (
-        problem(by_call.where("labels > 1"), "label-conflict").unionByName(problem(by_call.where("size(kinds) < 2"), "one-direction"))
-        .unionByName(problem(by_call.select("trace_id").distinct().join(roots.where("roots = 1"), "trace_id", "left_anti"), "no-unique-root")).unionByName(problem(leaked, "label-in-payload"))
+        problem(m.where(~F.coalesce(F.lower(F.trim("protocol_type")).isin(PROTOCOLS), F.lit(False))), "protocol").unionByName(problem(m.where(bad), "direction-or-label-missing"))
+        .unionByName(problem(by_call.where("labels > 1"), "label-conflict")).unionByName(problem(by_call.where("rows > size(kinds)"), "direction-twice"))
+        .unionByName(problem(m.where("clean is null"), "unparsed-payload")).unionByName(problem(m.join(leaks, "row", "left_semi"), "label-in-payload"))
+        .unionByName(problem(roots.where("roots > 1"), "several-entry-calls"))
     )
-    return messages.select(*BLIND_COLUMNS), by_call.select(*key, "trace_id", "kinds"), problems
+    oracle = by_call.join(roots.select("trace_id", "root"), "trace_id", "left").select(*key, "trace_id", "kinds", F.coalesce(F.struct(*key) == F.col("root"), F.lit(False)).alias("entry"))
+    return m.drop("data").withColumn("data", F.coalesce("clean", F.lit("{}"))).select(*BLIND_COLUMNS), oracle, problems
 
 
 def manifest(oracle: DataFrame) -> DataFrame:
-    return oracle.agg(F.count("*").alias("calls"), F.countDistinct("trace_id").alias("traces"), F.sum((F.size("kinds") == 2).cast("long")).alias("complete"))
+    n = lambda c: F.sum(c.cast("long"))
+    return oracle.agg(
+        F.count("*").alias("calls"), F.countDistinct("trace_id").alias("traces"), n(F.size("kinds") == 2).alias("complete"), n(F.size("kinds") < 2).alias("unpaired"),
+        F.countDistinct(F.when(F.col("entry"), F.col("trace_id"))).alias("entry_traces"),
+    )
 
 
 def validate_truth(rpcs: DataFrame, requests: DataFrame) -> DataFrame:
