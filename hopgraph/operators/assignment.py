@@ -1,4 +1,4 @@
-"""One-to-one assignment: the solver, time islands, windows, slots, gates and conflicts."""
+"""One-to-one assignment: the solver, windows in rounds, slots, gates and conflicts."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopgraph.operators.common import written
+
 FORBIDDEN = 1e15
 
 
@@ -56,44 +58,61 @@ def solve(cost: np.ndarray) -> tuple[np.ndarray, float]:
     return chosen, float(cost[hit, chosen[hit]].sum())
 
 
-def islands(df: DataFrame, keys: list[str], gap_us: int, cap: int) -> DataFrame:
-    """Number time islands: a new one where nothing is open and the gap is wider than ``gap_us``; long ones are cut every ``cap`` rows."""
-    w = Window.partitionBy(*keys).orderBy("start_us", "call_id")
-    reach = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.coalesce((F.col("start_us") > reach + gap_us).cast("int"), F.lit(1))
-    df = df.withColumn("island", F.sum(cut).over(w))
-    place = F.row_number().over(Window.partitionBy(*keys, "island").orderBy("start_us", "call_id")) - 1
+def in_parts(df: DataFrame, keys: list[str], width_us: int, cap: int) -> DataFrame:
+    """Number rows by time bucket and, within one, in parts of ``cap`` rows; no window is wider than a bucket."""
+    df = df.withColumn("bucket", F.expr(f"start_us div {width_us}"))
+    place = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("start_us", "call_id")) - 1
     return df.withColumn("part", F.floor(place / cap))
 
 
+def _solved(g: pd.DataFrame) -> pd.DataFrame:
+    rows, r = np.unique(g["call_id"], return_inverse=True)
+    cols, c = np.unique(g["p_id"], return_inverse=True)
+    matrix = np.full((len(rows), len(cols)), FORBIDDEN)
+    matrix[r, c] = g["cost"].to_numpy()
+    chosen, _ = solve(matrix)
+    hit = np.flatnonzero(chosen >= 0)
+    return pd.DataFrame({"call_id": rows[hit], "p_id": cols[chosen[hit]], "cost": matrix[hit, chosen[hit]]})
+
+
+def assign_in_rounds(pairs: DataFrame) -> DataFrame:
+    """pairs(client, server, bucket, part, call_id, p_id, cost): candidates, by the part that the parent is in -> (call_id, p_id, cost), one to one by edge.
+
+    In every round each open call goes to the part of its cheapest free parent, and each part is solved on
+    its own. What is left unmatched goes into the next round with the parents still free, in other parts
+    too, until a round matches nothing: then no open call has a free candidate. One table a round.
+    """
+    edge = ["client", "server"]
+    pairs = written(pairs.select(*edge, "bucket", "part", "call_id", "p_id", "cost"), "assign-open")
+    out = None
+    while True:
+        home = pairs.groupBy("call_id").agg(F.min_by(F.struct("bucket", "part"), F.struct("cost", "p_id")).alias("home"))
+        near = pairs.join(home, "call_id").where("bucket = home.bucket and part = home.part")
+        done = near.groupBy(*edge, "bucket", "part").applyInPandas(lambda k, g: _solved(g).assign(client=k[0], server=k[1]), "client string, server string, call_id string, p_id string, cost double")
+        done = written(done, "assigned")
+        if done.isEmpty():
+            break
+        out = done if out is None else out.unionByName(done)
+        pairs = written(pairs.join(done.select("call_id"), "call_id", "left_anti").join(done.select(*edge, "p_id"), [*edge, "p_id"], "left_anti"), "assign-open")
+        if pairs.isEmpty():
+            break
+    return (done if out is None else out).select("call_id", "p_id", "cost")
+
+
 def match_windowed(pairs: DataFrame, parents: DataFrame, window_us: int = 150_000, cap: int = 64, lineage_weight: float = 20.0) -> DataFrame:
     """One-to-one matching of children to parents by edge.
 
-    pairs(call_id, p_id, client, server, start_us, end_us, p_start, p_end[, lineage]) are candidates. Parents are cut to
-    time islands, at most ``cap`` parents each; every child goes to the part of its nearest parent, and each
-    (edge, part) is solved on its own: cost = start gap - lineage, 2 s more outside the parent.
+    pairs(call_id, p_id, client, server, start_us, end_us, p_start, p_end[, lineage]) are candidates. Parents stand in
+    parts of at most ``cap``, which are solved on their own and in rounds (``assign_in_rounds``):
+    cost = start gap - lineage, 2 s more outside the parent.
     """
-    p = islands(parents.select("call_id", F.col("server").alias("client"), "start_us", "end_us"), ["client"], window_us, cap)
-    p = p.select(F.col("call_id").alias("p_id"), "client", "island", "part")
+    p = in_parts(parents.select("call_id", F.col("server").alias("client"), "start_us", "end_us"), ["client"], window_us, cap)
+    p = p.select(F.col("call_id").alias("p_id"), "client", "bucket", "part")
     inside = (F.col("p_start") <= F.col("start_us")) & (F.col("p_end") >= F.col("end_us"))
     lineage = F.coalesce("lineage", F.lit(0.0)) if "lineage" in pairs.columns else F.lit(0.0)
     cost = F.abs(F.col("start_us") - F.col("p_start")) / 1e6 - lineage_weight * lineage + F.when(inside, 0.0).otherwise(2.0)
     j = pairs.where(F.abs(F.col("start_us") - F.col("p_start")) <= window_us).join(p, ["p_id", "client"]).withColumn("cost", cost)
-    home = Window.partitionBy("call_id").orderBy("cost", "p_id")
-    first = j.withColumn("k", F.row_number().over(home)).where("k = 1").select("call_id", F.col("island").alias("h_island"), F.col("part").alias("h_part"))
-    j = j.join(first, "call_id").where("island = h_island and part = h_part")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["call_id", "p_id"])
-        rows, r = np.unique(g["call_id"], return_inverse=True)
-        cols, c = np.unique(g["p_id"], return_inverse=True)
-        matrix = np.full((len(rows), len(cols)), FORBIDDEN)
-        matrix[r, c] = g["cost"].to_numpy()
-        chosen, _ = solve(matrix)
-        hit = np.flatnonzero(chosen >= 0)
-        return pd.DataFrame({"call_id": rows[hit], "parent": cols[chosen[hit]], "cost": matrix[hit, chosen[hit]]})
-
-    return j.select("client", "server", "island", "part", "call_id", "p_id", "cost").groupBy("client", "server", "island", "part").applyInPandas(run, "call_id string, parent string, cost double")
+    return assign_in_rounds(j).withColumnRenamed("p_id", "parent")
 
 
 def slot_template(calls: DataFrame) -> DataFrame:
@@ -126,28 +145,15 @@ def slot_assign(calls: DataFrame, template: DataFrame, window_us: int = 150_000,
     # A few slots a root, from one trace.
     want = (roots.join(F.broadcast(template), "client") if by_parent else roots.drop("client").crossJoin(F.broadcast(template))).withColumn("start_us", F.col("r_start") + F.col("offset_us"))
     want = want.withColumn("call_id", F.concat_ws("#", "root", F.col("slot").cast("string"))).withColumn("end_us", F.col("start_us"))
-    want = islands(want, ["client", "server"], window_us, cap)
+    want = in_parts(want, ["client", "server"], window_us, cap).withColumnRenamed("bucket", "due_bucket")
     width = window_us
     w = want.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start_us") - window_us) / width), F.floor((F.col("start_us") + window_us) / width))))
-    w = w.select("client", "server", "bucket", "island", "part", F.col("call_id").alias("p_id"), F.col("start_us").alias("due"), "r_start", "r_end")
+    w = w.select("client", "server", "bucket", "due_bucket", "part", F.col("call_id").alias("p_id"), F.col("start_us").alias("due"), "r_start", "r_end")
     c = calls.where("parent_id is not null").select("call_id", "client", "server", "start_us", "end_us").withColumn("bucket", F.floor(F.col("start_us") / width))
     j = c.join(w, ["client", "server", "bucket"]).where(F.abs(F.col("start_us") - F.col("due")) <= window_us)
     outside = F.greatest(F.col("r_start") - F.col("start_us"), F.lit(0)) + F.greatest(F.col("end_us") - F.col("r_end"), F.lit(0))
     j = j.withColumn("cost", F.abs(F.col("start_us") - F.col("due")) / 1e6 + F.when(outside > 0, 2.0).otherwise(0.0))
-    near = Window.partitionBy("call_id").orderBy("cost", "p_id")
-    first = j.withColumn("k", F.row_number().over(near)).where("k = 1").select("call_id", F.col("island").alias("hi"), F.col("part").alias("hp"))
-    j = j.join(first, "call_id").where("island = hi and part = hp")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        rows, r = np.unique(g["call_id"], return_inverse=True)
-        cols, c = np.unique(g["p_id"], return_inverse=True)
-        matrix = np.full((len(rows), len(cols)), FORBIDDEN)
-        matrix[r, c] = g["cost"].to_numpy()
-        chosen, _ = solve(matrix)
-        hit = np.flatnonzero(chosen >= 0)
-        return pd.DataFrame({"call_id": rows[hit], "slot_id": cols[chosen[hit]], "cost": matrix[hit, chosen[hit]]})
-
-    done = j.select("client", "server", "island", "part", "call_id", "p_id", "cost").groupBy("client", "server", "island", "part").applyInPandas(run, "call_id string, slot_id string, cost double")
+    done = assign_in_rounds(j.drop("bucket").withColumnRenamed("due_bucket", "bucket")).withColumnRenamed("p_id", "slot_id")
     return done.select("call_id", F.substring_index("slot_id", "#", 1).alias("root"), F.substring_index("slot_id", "#", -1).cast("int").alias("slot"), "cost")
 
 
@@ -193,18 +199,26 @@ def topk_assignments(incoming: DataFrame, outgoing: DataFrame, model: DataFrame,
 
 
 def resolve_conflicts(topk: DataFrame, batch: int = 30, slice_us: int = 60_000_000) -> DataFrame:
-    """One assignment a span and no shared call, greedily by weight in batches of spans; chosen calls leave the pool of their time slice."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["start_us", "span", "rank"], kind="stable")
-        order = {s: k // batch for k, s in enumerate(dict.fromkeys(g["span"]))}
-        g = g.assign(batch=g["span"].map(order)).sort_values(["batch", "score", "span", "rank"], ascending=[True, False, True, True], kind="stable")
-        used, done, out = set(), set(), []
-        for span, picked, score in zip(g["span"], g["picked"], g["score"]):
-            if span not in done and not used.intersection(picked):
-                done.add(span)
-                used.update(picked)
-                out.append((span, list(picked), score))
-        return pd.DataFrame(out, columns=["span", "picked", "score"])
-
-    return topk.withColumn("slice", F.expr(f"start_us div {slice_us}")).groupBy("service", "slice").applyInPandas(run, "span string, picked array<string>, score double")
+    """One assignment a span and no shared call: batches of ``batch`` spans by time slice and start, within a batch by score.
+
+    An assignment is taken once it comes first among all open ones that share its span or one of its calls,
+    whatever slice those are in; the ones it shares with are out then. Taking all such assignments of a round
+    at once gives what going through the whole order one by one would give.
+    """
+    spans = topk.groupBy("service", "span").agg(F.min("start_us").alias("start_us")).withColumn("slice", F.expr(f"start_us div {slice_us}"))
+    place = F.row_number().over(Window.partitionBy("service", "slice").orderBy("start_us", "span")) - 1
+    spans = spans.select("service", "span", "slice", F.floor(place / batch).alias("batch"))
+    order = F.struct("slice", "batch", (-F.col("score")).alias("worse"), "span", "rank")
+    needs = F.concat(F.array(F.concat(F.lit("span "), "span")), F.transform("picked", lambda c: F.concat(F.lit("call "), c)))
+    still = written(topk.join(spans, ["service", "span"]).select("service", "span", "rank", "picked", "score", order.alias("order"), F.array_distinct(needs).alias("needs")), "conflicts")
+    out = None
+    while not still.isEmpty():
+        met = still.select("service", "span", "rank", "order", F.explode("needs").alias("need"))
+        first = met.groupBy("service", "need").agg(F.min("order").alias("first"))
+        wins = met.join(first, ["service", "need"]).groupBy("service", "span", "rank").agg(F.every(F.col("order") == F.col("first")).alias("wins")).where("wins")
+        taken = written(still.join(wins.drop("wins"), ["service", "span", "rank"]), "conflict-round")
+        out = taken if out is None else out.unionByName(taken)
+        gone = taken.select("service", F.explode("needs").alias("need"))
+        lost = met.join(gone, ["service", "need"], "left_semi").select("service", "span", "rank").distinct()
+        still = written(still.join(lost, ["service", "span", "rank"], "left_anti"), "conflicts")
+    return (still if out is None else out).select("span", "picked", "score")
