@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,26 +42,48 @@ def interval_pairs(children: DataFrame, parents: DataFrame, before_us: int, afte
     return c.join(p, ["client", "bucket"]).where(near & (F.col("p_id") != F.col("call_id"))).drop("bucket")
 
 
-def temporal_candidates(calls: DataFrame, cfg: Config = Config(), profile: DataFrame | None = None) -> DataFrame:
-    """The best ``max_candidates`` parents of every call by time: inside give or take the tolerances."""
-    pairs = interval_pairs(calls, calls, cfg.req_tolerance_us, cfg.res_tolerance_us, cfg.bucket_us)
-    outside = F.greatest(F.col("p_start") - F.col("start_us"), F.lit(0)) + F.greatest(F.col("end_us") - F.col("p_end"), F.lit(0))
-    pairs = pairs.withColumn("outside_us", outside).where((F.col("p_end") + cfg.res_tolerance_us >= F.col("end_us")) | (F.col("outside_us") <= cfg.fallback_us))
+def _temporal_pairs(children: DataFrame, parents: DataFrame, cfg: Config, profile: DataFrame | None, strict: bool = False) -> DataFrame:
+    """Pairs within the tolerances, or with ``strict`` only those in which the parent contains the child, scored by time."""
+    before, after = (0, 0) if strict else (cfg.req_tolerance_us, cfg.res_tolerance_us)
+    pairs = interval_pairs(children, parents, before, after, cfg.bucket_us)
+    if strict:
+        pairs = pairs.where("p_end >= end_us").withColumn("outside_us", F.lit(0).cast("long"))
+    else:
+        outside = F.greatest(F.col("p_start") - F.col("start_us"), F.lit(0)) + F.greatest(F.col("end_us") - F.col("p_end"), F.lit(0))
+        pairs = pairs.withColumn("outside_us", outside).where((F.col("p_end") + cfg.res_tolerance_us >= F.col("end_us")) | (F.col("outside_us") <= cfg.fallback_us))
     score = -F.when(F.col("outside_us") > cfg.res_tolerance_us, cfg.containment_penalty).otherwise(0.0) - F.col("outside_us") / 1e6 * cfg.time_weight * 4.0
     if profile is not None:
         pairs = pairs.join(F.broadcast(profile.where("reason = 'ok'").select("client", "server", "mu_us", "sigma_us")), ["client", "server"], "left")
         z = (F.col("start_us") - F.col("p_start") - F.col("mu_us")) / F.col("sigma_us")
-        score = score + F.coalesce(F.exp(-0.5 * z * z) * cfg.time_weight, F.lit(0.0))
-        pairs = pairs.withColumn("temporal", score).drop("mu_us", "sigma_us")
-    else:
-        pairs = pairs.withColumn("temporal", score)
+        return pairs.withColumn("temporal", score + F.coalesce(F.exp(-0.5 * z * z) * cfg.time_weight, F.lit(0.0))).drop("mu_us", "sigma_us")
+    return pairs.withColumn("temporal", score)
+
+
+def _best(pairs: DataFrame, cfg: Config) -> DataFrame:
     order = Window.partitionBy("call_id").orderBy(F.desc("temporal"), F.abs(F.col("start_us") - F.col("p_start")), "p_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.max_candidates)
 
 
-def fallback_candidates(calls: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """The nearest parents by start within the fallback window, with their own score."""
-    pairs = interval_pairs(calls, calls, cfg.fallback_us, cfg.fallback_us, cfg.bucket_us, by_start=True)
+def temporal_candidates(calls: DataFrame, cfg: Config = Config(), profile: DataFrame | None = None) -> DataFrame:
+    """The best ``max_candidates`` parents of every call by time: inside give or take the tolerances."""
+    return _best(_temporal_pairs(calls, calls, cfg, profile), cfg)
+
+
+def strict_candidates(calls: DataFrame, cfg: Config = Config(), profile: DataFrame | None = None) -> DataFrame:
+    """prefer_strict(temporal_candidates): calls that some parent contains are joined with those parents only, the others with the tolerances.
+
+    So the many loose pairs of a busy service are never made for calls that don't need them. (With a profile,
+    the cut to ``max_candidates`` is made among the containing parents.)
+    """
+    strict = written(_best(_temporal_pairs(calls, calls, cfg, profile, strict=True), cfg), "strict-candidates")
+    rest = calls.join(strict.select("call_id").distinct(), "call_id", "left_anti")
+    loose = _best(_temporal_pairs(rest, calls, cfg, profile), cfg)
+    return strict.unionByName(loose)
+
+
+def fallback_candidates(calls: DataFrame, cfg: Config = Config(), children: DataFrame | None = None) -> DataFrame:
+    """The nearest parents by start within the fallback window, of all calls or of ``children``, with their own score."""
+    pairs = interval_pairs(calls if children is None else children, calls, cfg.fallback_us, cfg.fallback_us, cfg.bucket_us, by_start=True)
     pairs = pairs.withColumn("distance_us", F.abs(F.col("start_us") - F.col("p_start")))
     order = Window.partitionBy("call_id").orderBy("distance_us", "p_id")
     pairs = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.max_candidates)
@@ -134,7 +156,7 @@ def overlap_score(pairs: DataFrame) -> DataFrame:
 def roots_of(calls: DataFrame) -> DataFrame:
     """Entry calls, each labelled with itself: calls to a service from clients that serve nothing."""
     servers = calls.select(F.col("server").alias("client")).distinct()
-    return calls.join(F.broadcast(servers), "client", "left_anti").select("call_id", F.col("call_id").alias("label"))
+    return calls.join(servers, "client", "left_anti").select("call_id", F.col("call_id").alias("label"))
 
 
 def best_parent(cands: DataFrame, labels: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -148,20 +170,28 @@ def best_parent(cands: DataFrame, labels: DataFrame, cfg: Config = Config()) ->
     return j.groupBy("call_id").agg(F.max_by(F.struct("p_id", "label"), order).alias("best"), F.max(score).alias("score")).select("call_id", F.col("best.p_id").alias("parent"), F.col("best.label").alias("label"), "score")
 
 
-def propagate(cands: DataFrame, roots: DataFrame, cfg: Config = Config(), tokens: DataFrame | None = None) -> tuple[DataFrame, int, bool]:
+def propagate(cands: DataFrame, roots: DataFrame, cfg: Config = Config(), tokens: DataFrame | None = None, fallback=None) -> tuple[DataFrame, int, bool]:
     """Labels from the entry calls along best parents until nothing changes: (call_id, parent, label), rounds, converged.
 
     Every round reads the labels of the round before. With ``tokens`` and a context weight, the tokens of a
-    parent's own ancestors are evidence too; they travel with the label.
+    parent's own ancestors are evidence too; they travel with the label. Once nothing changes, ``fallback``
+    (from labels to more candidates, for calls without a label) is asked; from then on a call none of whose
+    candidates has a label takes the best of those. ``max_rounds`` is a parameter of the method; the last value
+    returned tells whether it was enough.
     """
     with_context = tokens is not None and cfg.context_weight > 0
-    if with_context:
-        cands = cands.join(tokens.select("call_id", "all"), "call_id")
-    cands = written(cands, "candidates")
+
+    def ready(c: DataFrame, name: str) -> DataFrame:
+        return written(c.join(tokens.select("call_id", "all"), "call_id") if with_context else c, name)
+
+    cands, spare = ready(cands, "candidates"), None
     labels = written(roots.select("call_id", F.lit(None).cast("string").alias("parent"), "label", *([F.array().cast("array<string>").alias("context")] if with_context else [])), "labels")
     fixed = labels
     for done in range(1, cfg.max_rounds + 1):
         new = best_parent(cands, labels, cfg).select("call_id", "parent", "label")
+        if spare is not None:
+            new = written(new, "best-parents")
+            new = new.unionByName(best_parent(spare.join(new.select("call_id"), "call_id", "left_anti"), labels, cfg).select("call_id", "parent", "label"))
         if with_context:
             mine = tokens.select(F.col("call_id").alias("parent"), F.col("all").alias("p_all"))
             above = labels.select(F.col("call_id").alias("parent"), F.col("context").alias("p_context"))
@@ -172,19 +202,35 @@ def propagate(cands: DataFrame, roots: DataFrame, cfg: Config = Config(), tokens
         changed = not new.join(old, "call_id", "left").where(~same).isEmpty()
         labels = new
         if not changed:
-            return labels.select("call_id", "parent", "label"), done, True
+            more = ready(fallback(labels), "fallback-candidates") if fallback is not None and spare is None else None
+            if more is None or more.isEmpty():
+                return labels.select("call_id", "parent", "label"), done, True
+            spare = more
     return labels.select("call_id", "parent", "label"), cfg.max_rounds, False
 
 
+#: Weights of payload evidence between a pair and of the ancestors' tokens, and whether containment fills what is left.
+VARIANTS = {"time": (0.0, 0.0, False), "no-context": (20.0, 0.0, False), "full": (20.0, 40.0, False), "context": (0.0, 40.0, False), "fallback": (20.0, 40.0, True)}
+
+
 def infer(calls: DataFrame, variant: str = "full", cfg: Config = Config()) -> tuple[DataFrame, int, bool]:
-    """Blind inference: ``time`` (no payload evidence), ``no-context`` (lineage only) or ``full`` (lineage and ancestors)."""
-    cands = prefer_strict(temporal_candidates(calls, cfg))
+    """Blind inference: ``time`` (no payload evidence), ``no-context`` (lineage only), ``full`` (lineage and ancestors), ``context`` (ancestors only) or ``fallback`` (full, then containment)."""
+    lineage, context, contain = VARIANTS[variant]
+    cfg = replace(cfg, lineage_weight=lineage, context_weight=context)
     tokens = with_tokens(calls)
-    if variant != "time":
-        cands = cands.join(lineage_score(cands, tokens, edge_idf(tokens)), ["call_id", "p_id"], "left")
-    else:
-        cands = cands.withColumn("lineage", F.lit(0.0))
-    return propagate(cands, roots_of(calls), cfg, tokens if variant == "full" else None)
+    idf = edge_idf(tokens) if lineage else None
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        if lineage:
+            return pairs.join(lineage_score(pairs, tokens, idf), ["call_id", "p_id"], "left")
+        return pairs.withColumn("lineage", F.lit(0.0))
+
+    def late(labels: DataFrame) -> DataFrame:
+        left = written(calls.join(labels.select("call_id"), "call_id", "left_anti"), "unlabelled")
+        return scored(fallback_candidates(calls, cfg, left))
+
+    labels, rounds, whole = propagate(scored(strict_candidates(calls, cfg)), roots_of(calls), cfg, tokens if context else None, late)
+    return (containment_fallback(calls, labels) if contain else labels), rounds, whole
 
 
 def trace_context(labels: DataFrame, tokens: DataFrame) -> DataFrame:
