@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder named in spark.checkpoint.dir, else one in the warehouse, or in a local session a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
+        local = spark.sparkContext.master.startswith("local")
+        found = tempfile.mkdtemp(prefix="spark-shared-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 

@@ -73,11 +73,22 @@ def merge_async(flow: DataFrame) -> DataFrame:
     return j.mapInPandas(run, "response string, request string")
 
 
-def _pairs(flow: DataFrame, left: Column, right: Column, where: Column, bit: int, columns: list[str]) -> DataFrame:
-    """(a, b, relation) of rows whose key expressions are equal and not empty."""
+def _pairs(flow: DataFrame, left: Column, right: Column, where: Column, bit: int, columns: list[str], time: str | None = None, reach_us: int = 0) -> DataFrame:
+    """(a, b, relation) of rows whose key expressions are equal and not empty.
+
+    With ``time``, pairs are at most ``reach_us`` apart in that column: the key has a time bucket too, so a
+    value that many rows share over time meets only its neighbours.
+    """
     a = flow.select(left.alias("key"), *[F.col(c).alias("a_" + c) for c in columns]).where("key is not null")
     b = flow.select(right.alias("key"), *[F.col(c).alias("b_" + c) for c in columns]).where("key is not null")
-    return a.join(b, "key").where((F.col("a_row_id") != F.col("b_row_id")) & where).select(F.col("a_row_id").alias("a"), F.col("b_row_id").alias("b"), F.lit(bit).alias("relation")).distinct()
+    on = ["key"]
+    if time is not None:
+        bucket = F.expr(f"floor(a_{time} / {reach_us})")
+        a = a.withColumn("near", bucket)
+        b = b.withColumn("near", F.explode(F.expr(f"sequence(floor(b_{time} / {reach_us}) - 1, floor(b_{time} / {reach_us}) + 1)")))
+        on = ["key", "near"]
+    found = a.join(b, on).where((F.col("a_row_id") != F.col("b_row_id")) & where)
+    return found.select(F.col("a_row_id").alias("a"), F.col("b_row_id").alias("b"), F.lit(bit).alias("relation")).distinct()
 
 
 def _near(t: str, delay_us: int, clock_us: int) -> Column:
@@ -98,17 +109,17 @@ def rel_network(flow: DataFrame, delay_us: int = 100_000, clock_us: int = 10_000
     req = (F.col("a_type") != RESPONSE) & (F.col("b_type") != RESPONSE) & _near("start_us", delay_us, clock_us)
     both = (F.col("a_type") == SESSION) & (F.col("b_type") == SESSION)
     whole = (F.col("a_resp_tcp_seq") == F.col("b_resp_tcp_seq")) & _near("end_us", delay_us, clock_us)
-    one = _pairs(flow, F.nullif("req_tcp_seq", F.lit(0)), F.nullif("req_tcp_seq", F.lit(0)), req & (~both | whole) & _no_conflict(list(same)), NETWORK, c)
+    one = _pairs(flow, F.nullif("req_tcp_seq", F.lit(0)), F.nullif("req_tcp_seq", F.lit(0)), req & (~both | whole) & _no_conflict(list(same)), NETWORK, c, "start_us", delay_us + clock_us)
     res = (F.col("a_type") != REQUEST) & (F.col("b_type") != REQUEST) & ~both & ((F.col("a_type") == RESPONSE) | (F.col("b_type") == RESPONSE)) & _near("end_us", delay_us, clock_us)
-    two = _pairs(flow, F.nullif("resp_tcp_seq", F.lit(0)), F.nullif("resp_tcp_seq", F.lit(0)), res & _no_conflict(list(same)), NETWORK, c)
+    two = _pairs(flow, F.nullif("resp_tcp_seq", F.lit(0)), F.nullif("resp_tcp_seq", F.lit(0)), res & _no_conflict(list(same)), NETWORK, c, "end_us", delay_us + clock_us)
     return one.unionByName(two).distinct()
 
 
 def rel_network_weak(flow: DataFrame, delay_us: int = 100_000, clock_us: int = 10_000) -> DataFrame:
     """Either side's sequence number equal, within the tolerance."""
     c = ["row_id", "agent", "start_us", "end_us"]
-    one = _pairs(flow, F.nullif("req_tcp_seq", F.lit(0)), F.nullif("req_tcp_seq", F.lit(0)), _near("start_us", delay_us, clock_us), NETWORK, c)
-    two = _pairs(flow, F.nullif("resp_tcp_seq", F.lit(0)), F.nullif("resp_tcp_seq", F.lit(0)), _near("end_us", delay_us, clock_us), NETWORK, c)
+    one = _pairs(flow, F.nullif("req_tcp_seq", F.lit(0)), F.nullif("req_tcp_seq", F.lit(0)), _near("start_us", delay_us, clock_us), NETWORK, c, "start_us", delay_us + clock_us)
+    two = _pairs(flow, F.nullif("resp_tcp_seq", F.lit(0)), F.nullif("resp_tcp_seq", F.lit(0)), _near("end_us", delay_us, clock_us), NETWORK, c, "end_us", delay_us + clock_us)
     return one.unionByName(two).distinct()
 
 
@@ -134,7 +145,7 @@ def rel_app(flow: DataFrame) -> DataFrame:
 
 
 def rel_dns(flow: DataFrame, delay_us: int = 100_000, clock_us: int = 10_000) -> DataFrame:
-    return _pairs(flow, F.nullif("request_id", F.lit(0)), F.nullif("request_id", F.lit(0)), _near("start_us", delay_us, clock_us), DNS, ["row_id", "agent", "start_us"])
+    return _pairs(flow, F.nullif("request_id", F.lit(0)), F.nullif("request_id", F.lit(0)), _near("start_us", delay_us, clock_us), DNS, ["row_id", "agent", "start_us"], "start_us", delay_us + clock_us)
 
 
 def relations(*parts: DataFrame) -> DataFrame:
@@ -147,24 +158,25 @@ def relations(*parts: DataFrame) -> DataFrame:
     return out.withColumn("label", F.concat_ws(",", names))
 
 
-def expand(keys: DataFrame, anchors_df: DataFrame, rounds: int = 30, max_degree: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """Rows reachable from every anchor over shared key values, all anchors at once: (mark, row_id), and the keys left out.
+def expand(keys: DataFrame, anchors_df: DataFrame, rounds: int = 30) -> tuple[DataFrame, bool]:
+    """Rows reachable from every anchor over shared key values, all anchors at once: (mark, row_id), and whether all was reached in ``rounds``.
 
-    keys(row_id, key): non-empty values, each with its kind in front. A key that more rows share than
-    ``max_degree`` joins nothing and is reported.
+    keys(row_id, key): non-empty values, each with its kind in front. A mark takes up each key once, so a
+    key that very many rows share costs its rows once a mark; written tables let the join split it over tasks.
     """
-    size = keys.groupBy("key").agg(F.count("*").alias("degree"))
-    wide = size.where(F.col("degree") > max_degree)
-    keys = written(keys.join(wide.select("key"), "key", "left_anti"), "keys")
-    seen = written(anchors_df.select("mark", "row_id").distinct(), "expanded")
-    front = seen
+    keys = written(keys.distinct(), "keys")
+    seen = front = written(anchors_df.select("mark", "row_id").distinct(), "expanded")
+    used = None
     for _ in range(rounds):
-        reached = front.join(keys, "row_id").select("mark", "key").distinct().join(keys, "key").select("mark", "row_id").distinct()
-        front = written(reached.join(seen, ["mark", "row_id"], "left_anti"), "frontier")
+        new = front.join(keys, "row_id").select("mark", "key").distinct()
+        new = written(new if used is None else new.join(used, ["mark", "key"], "left_anti"), "expanded-keys")
+        used = new if used is None else used.unionByName(new)
+        reached = new.join(keys, "key").select("mark", "row_id").distinct()
+        front = written(reached.join(seen, ["mark", "row_id"], "left_anti"), "expanded")
         if front.isEmpty():
-            break
-        seen = written(seen.unionByName(front), "expanded")
-    return seen, wide
+            return seen, True
+        seen = seen.unionByName(front)
+    return seen, False
 
 
 def network_sets(rows: DataFrame, related: DataFrame) -> DataFrame:
@@ -211,11 +223,21 @@ def connect_sets(networks: DataFrame, processes: DataFrame) -> DataFrame:
     return networks.join(processes.select("row_id", F.col("parent").alias("up")), "row_id", "left").select("row_id", F.coalesce("parent", "up").alias("parent"))
 
 
-def prune_trees(spans: DataFrame, anchor_tree: Column) -> DataFrame:
-    """spans(trace, tree, start_us, end_us, trace_ids): trees that overlap the anchor's tree in time or share a trace id with it."""
-    t = spans.groupBy("trace", "tree").agg(F.min("start_us").alias("lo"), F.max("end_us").alias("hi"), F.array_distinct(F.flatten(F.collect_set("trace_ids"))).alias("ids"), F.max(anchor_tree).alias("is_anchor"))
-    a = t.where("is_anchor").select("trace", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.col("ids").alias("a_ids"))
-    keep = t.join(a, "trace").where("(lo <= a_hi and hi >= a_lo) or arrays_overlap(ids, a_ids)").select("trace", "tree")
+def prune_trees(spans: DataFrame, anchor_tree: Column, offset_us: Column | None = None) -> DataFrame:
+    """spans(trace, tree, start_us, end_us, trace_ids): trees that overlap the anchor's tree in time or are in its component of trace ids.
+
+    Trace ids that stand together in a span are one component, over any number of spans; ``offset_us`` is what
+    a span's host clock is ahead by and is taken off before times are compared.
+    """
+    ahead = F.lit(0) if offset_us is None else F.coalesce(offset_us, F.lit(0))
+    t = spans.groupBy("trace", "tree").agg(F.min(F.col("start_us") - ahead).alias("lo"), F.max(F.col("end_us") - ahead).alias("hi"), F.max(anchor_tree).alias("is_anchor"))
+    ids = spans.select("trace", "tree", F.array_compact("trace_ids").alias("ids")).where("size(ids) > 0")
+    same = components(ids.select(F.col("ids")[0].alias("a"), F.explode("ids").alias("b")).distinct())
+    met = ids.select("trace", "tree", F.col("ids")[0].alias("node")).join(same, "node").select("trace", "tree", "component").distinct()
+    at = t.where("is_anchor").select("trace", "tree")
+    related = met.join(met.join(at, ["trace", "tree"]).select("trace", "component").distinct(), ["trace", "component"], "left_semi").select("trace", "tree", F.lit(True).alias("related")).distinct()
+    a = t.where("is_anchor").groupBy("trace").agg(F.min("lo").alias("a_lo"), F.max("hi").alias("a_hi"))
+    keep = t.join(a, "trace").join(related, ["trace", "tree"], "left").where("(lo <= a_hi and hi >= a_lo) or related").select("trace", "tree")
     return spans.join(keep, ["trace", "tree"], "left_semi")
 
 
@@ -265,13 +287,13 @@ def apply_clock(spans: DataFrame, shifts: DataFrame) -> DataFrame:
     return j.withColumns({"start_us": F.col("start_us") + move, "end_us": F.col("end_us") + move}).drop("shift_us")
 
 
-def trace_order(spans: DataFrame, depth: int = 64) -> DataFrame:
-    """Depth-first order of each trace: spans(trace, row_id, parent, start_us) -> (trace, row_id, place), by paths of (start, id)."""
+def trace_order(spans: DataFrame) -> DataFrame:
+    """Depth-first order of each trace: spans(trace, row_id, parent, start_us) -> (trace, row_id, place), by paths of (start, id); spans on cycles have no place."""
     step = F.struct("start_us", "row_id")
     level = spans.where("parent is null").select("trace", "row_id", F.array(step).alias("path"))
     out = level
-    for _ in range(depth):
-        level = written(spans.join(level.select(F.col("row_id").alias("parent"), "path"), "parent").select("trace", "row_id", F.array_append("path", step).alias("path")), "paths")
+    while True:
+        level = written(spans.join(level.select("trace", F.col("row_id").alias("parent"), "path"), ["trace", "parent"]).select("trace", "row_id", F.array_append("path", step).alias("path")), "paths")
         if level.isEmpty():
             break
         out = out.unionByName(level)
