@@ -60,15 +60,28 @@ SELECT s.k AS side_no, s.tap_side, c.call_id, c.trace_id, c.client, c.server, c.
 FROM ({CALLS}) c CROSS JOIN (SELECT 0 AS k, 'c-p' AS tap_side UNION ALL SELECT 1, 'c' UNION ALL SELECT 2, 's' UNION ALL SELECT 3, 's-p') s
 """
 
-#: Calls as provenance observations; the response's field is the customer modulo 50.
+#: Calls as provenance observations. Two traces overlap, the next two come 200 ms later, so that components are small.
+#: The response's field is the customer modulo 50, missing in some traces; some entry calls have another operation.
 OBSERVATIONS = f"""
-SELECT c.call_id AS event_id, c.parent_id, c.trace_id, c.client AS caller, c.server AS callee, c.start_us * 1000 AS start_ns, c.end_us * 1000 AS end_ns, CAST(o.o_custkey % 50 AS STRING) AS value
-FROM ({CALLS}) c JOIN {{orders}} o ON o.o_orderkey = c.trace_id
+SELECT x.event_id, x.parent_id, x.trace_id, x.caller, x.callee, (x.start_us + x.shift) * 1000 AS start_ns, (x.end_us + x.shift) * 1000 AS end_ns, x.value, x.operation
+FROM (SELECT c.call_id AS event_id, c.parent_id, c.trace_id, c.client AS caller, c.server AS callee, c.start_us, c.end_us,
+  CAST(floor(c.trace_id / 2) AS BIGINT) * 200000 + c.trace_id % 2 * 3000 - c.trace_id * 2500 AS shift,
+  CASE WHEN c.trace_id % 23 <> 0 THEN CAST(o.o_custkey % 50 AS STRING) END AS value,
+  CASE WHEN c.server = 'gateway' AND c.trace_id % 10 = 0 THEN 'health' ELSE 'get ' || c.server END AS operation
+FROM ({CALLS}) c JOIN {{orders}} o ON o.o_orderkey = c.trace_id) x
+"""
+
+#: Messages with JSON payloads that hold identifiers: all have a trace id field, some entry requests speak of their label, some responses aren't JSON.
+LABELLED = f"""
+SELECT m.protocol_type, m.msg_type, m.time_us, m.client, m.server, m.stream_id, m.label AS trace_id, m.data AS bare,
+  CASE WHEN m.n % 97 = 0 AND m.client = 'ext' AND m.msg_type = 'Request' THEN chr(123) || '"note": "for ' || m.label || '"' || chr(125) WHEN m.n % 89 = 0 AND m.client = 'ext' AND m.msg_type = 'Response' THEN 'done ' || m.label
+    ELSE chr(123) || '"Trace-Id": "' || m.label || '", "k": "' || m.data || '", "url": "/x?span_id=' || m.label || '&k=1"' || chr(125) END AS data
+FROM (SELECT x.*, CAST(x.trace_id AS BIGINT) AS n, 'trace-' || lpad(x.trace_id, 9, '0') AS label FROM ({MESSAGES}) x) m
 """
 
 VIEWS = {
     "calls": CALLS, "messages": MESSAGES, "predictions": PREDICTIONS, "conversation_messages": CONVERSATION_MESSAGES,
-    "load_requests": LOAD_REQUESTS, "flow_rows": FLOW_ROWS, "observations": OBSERVATIONS,
+    "load_requests": LOAD_REQUESTS, "flow_rows": FLOW_ROWS, "observations": OBSERVATIONS, "labelled": LABELLED,
 }
 
 

@@ -79,7 +79,7 @@ def h08(spark, d):
     return H.rel_app(flow(spark, d)).select("a", "b")
 
 
-@query("h09_rel_dns", FLOW + f"SELECT a.row_id AS a, b.row_id AS b FROM f a JOIN f b ON a.trace_id = b.trace_id AND a.row_id <> b.row_id WHERE a.tap_side IN ('c', 's') AND b.tap_side IN ('c', 's') AND {NEAR}")
+@query("h09_rel_dns", FLOW + f"SELECT a.row_id AS a, b.row_id AS b FROM f a JOIN f b ON a.trace_id = b.trace_id WHERE a.row_id <> b.row_id AND a.tap_side IN ('c', 's') AND b.tap_side IN ('c', 's') AND {NEAR}")
 def h09(spark, d):
     return H.rel_dns(flow(spark, d)).select("a", "b")
 

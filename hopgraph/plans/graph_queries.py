@@ -157,7 +157,8 @@ def c12(spark, d):
 
 
 CANDS = """j AS (SELECT c.call_id, c.client, c.server, c.start_us, c.end_us, p.call_id AS p_id, p.start_us AS p_start, p.end_us AS p_end, greatest(p.start_us - c.start_us, 0) + greatest(c.end_us - p.end_us, 0) AS outside_us
-  FROM calls c JOIN calls p ON p.server = c.client AND c.start_us BETWEEN p.start_us - 50000 AND p.end_us + 80000),
+  FROM calls c JOIN (SELECT *, unnest(range(CAST(floor((start_us - 50000) / 1e5) AS BIGINT), CAST(floor((end_us + 80000) / 1e5) AS BIGINT) + 1)) AS b FROM calls) p
+  ON p.server = c.client AND p.b = CAST(floor(c.start_us / 1e5) AS BIGINT) WHERE c.start_us BETWEEN p.start_us - 50000 AND p.end_us + 80000),
 cand AS (SELECT *, -(CASE WHEN outside_us > 80000 THEN 2.0 ELSE 0.0 END)::DOUBLE - outside_us / 1e6 * 4.0 AS temporal FROM j WHERE p_end + 80000 >= end_us OR outside_us <= 250000),
 capped AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY temporal DESC, abs(start_us - p_start), p_id) <= 64)
 """
@@ -205,7 +206,8 @@ def q5(spark, d):
     return K.infer(calls(spark, d), "no-context")[0]
 
 
-@query("q5_infer_full")
+# A call's context is its parent's ancestors' tokens. Only the third level has any (its root's order and customer), and none of its own (part and supplier) among them.
+@query("q5_infer_full", LINKED + "SELECT call_id, parent, label FROM pred")
 def q5b(spark, d):
     return K.infer(calls(spark, d), "full")[0]
 
@@ -264,13 +266,18 @@ def f12(spark, d):
     return K.map_hops(calls(spark, d), 2)
 
 
-@query("w1_reconstruct_and_score", LINKED + """, zz AS (SELECT c.call_id, c.trace_id, c.parent_id, p.parent, coalesce(p.label = 'r-' || c.trace_id, false) AS ok, coalesce(p.parent = c.parent_id, false) AS pok FROM calls c LEFT JOIN pred p USING (call_id)),
+SCORED = """, zz AS (SELECT c.call_id, c.trace_id, c.parent_id, p.parent, coalesce(p.label = 'r-' || c.trace_id, false) AS ok, coalesce(p.parent = c.parent_id, false) AS pok FROM calls c LEFT JOIN pred p USING (call_id)),
 tt AS (SELECT trace_id, bool_and(ok) AS labels, count(*) FILTER (parent_id IS NOT NULL AND NOT pok) AS missing, count(*) FILTER (parent IS NOT NULL AND NOT pok) AS extra FROM zz GROUP BY 1)
-SELECT count(*) AS traces, count(*) FILTER (labels AND missing = 0 AND extra = 0) AS correct, sum(missing)::BIGINT AS missing_edges, sum(extra)::BIGINT AS extra_edges, round(100.0 * count(*) FILTER (labels AND missing = 0 AND extra = 0) / count(*), 6) AS accuracy FROM tt""")
+SELECT count(*) AS traces, count(*) FILTER (labels AND missing = 0 AND extra = 0) AS correct, sum(missing)::BIGINT AS missing_edges, sum(extra)::BIGINT AS extra_edges, round(100.0 * count(*) FILTER (labels AND missing = 0 AND extra = 0) / count(*), 6) AS accuracy FROM tt"""
+#: By time alone, and with payload evidence.
+FULL_TRACE = (TIME + SCORED, LINKED + SCORED)
+
+
+@query("w1_reconstruct_and_score", FULL_TRACE[1])
 def w1(spark, d):
     """Messages -> calls -> candidates -> lineage -> labels -> score against the known parents."""
     c = B.pair_messages(view(spark, d, "messages"))
     c = c.select(F.col("stream_id").alias("call_id"), "client", "server", "start_us", "end_us", F.col("req_data").alias("value_a"), F.col("res_data").alias("value_b"))
-    labels = K.infer(c, "no-context")[0]
+    labels = K.infer(c)[0]
     known = calls(spark, d).select("call_id", F.concat(F.lit("r-"), F.col("trace_id").cast("string")).alias("trace_id"), "parent_id", "client")
     return V.full_trace_accuracy(V.scored(known, labels.withColumnRenamed("parent", "parent_pred")))

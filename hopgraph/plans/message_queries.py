@@ -24,6 +24,15 @@ def a1(spark, d):
     return m.select("protocol_type", "msg_type", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("time_us"), "client", "server", "stream_id", "trace_id", "data")
 
 
+@query("a2_write_messages", M + "SELECT stream_id, count(*) AS n, min(time_us) AS first_us, string_agg(data, '|' ORDER BY time_us, msg_type) AS data FROM messages GROUP BY 1")
+def a2(spark, d):
+    """The written files, read as plain CSV."""
+    path = io.write_messages(io.from_fixture(view(spark, d, "messages")))
+    rows = spark.read.option("header", True).csv(path).withColumn("time_us", F.unix_micros(F.to_timestamp("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    parts = F.array_sort(F.collect_list(F.struct("time_us", "msg_type", "data")))
+    return rows.groupBy("stream_id").agg(F.count("*").alias("n"), F.min("time_us").alias("first_us"), F.array_join(F.transform(parts, lambda x: x["data"]), "|").alias("data"))
+
+
 @query("a3_observations_jsonl", duck("observations") + "SELECT event_id, caller, callee, start_ns, end_ns, value FROM observations")
 def a3(spark, d):
     path = io.write_observations(view(spark, d, "observations"))

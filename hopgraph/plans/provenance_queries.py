@@ -12,11 +12,14 @@ from hopgraph.operators import quality as Q
 from hopgraph.operators import topology as E
 from hopgraph.operators.graphs import components
 from hopgraph.plans.fixtures import duck, view
+from hopgraph.plans.graph_queries import FULL_TRACE
 from hopgraph.plans.registry import query
 
 O = duck("observations")
 C = duck("calls")
-EDGES = """e AS (SELECT c.event_id AS child, p.event_id AS parent, c.callee FROM observations c JOIN observations p ON p.callee = c.caller AND p."value" = c."value" AND c.start_ns >= p.start_ns - 5000000 AND c.end_ns <= p.end_ns + 5000000)
+# Parents lie on the 100 ms buckets that they reach, as in the jobs.
+LAID = "pb AS (SELECT *, unnest(range(CAST(floor((start_ns - 5000000) / 1e8) AS BIGINT), CAST(floor((end_ns + 5000000) / 1e8) AS BIGINT) + 1)) AS b FROM observations), cb AS (SELECT *, CAST(floor(start_ns / 1e8) AS BIGINT) AS b FROM observations)"
+EDGES = LAID + """, e AS (SELECT c.event_id AS child, p.event_id AS parent, c.callee FROM cb c JOIN pb p ON p.callee = c.caller AND p."value" = c."value" AND p.b = c.b WHERE c.start_ns >= p.start_ns - 5000000 AND c.end_ns <= p.end_ns + 5000000)
 """
 PATHS = O + ", " + EDGES + """, q AS (SELECT event_id AS query_id FROM observations WHERE callee = 'gateway'), up AS (SELECT parent AS query_id, child AS mid FROM e JOIN q ON q.query_id = e.parent),
 dn AS (SELECT query_id, e.child AS source, mid FROM up JOIN e ON e.parent = up.mid WHERE e.callee = 'store'), f AS (SELECT DISTINCT query_id, source FROM dn)
@@ -24,7 +27,7 @@ dn AS (SELECT query_id, e.child AS source, mid FROM up JOIN e ON e.parent = up.m
 
 
 def events(spark, d):
-    return view(spark, d, "observations").select("event_id", "caller", "callee", "start_ns", "end_ns", "value")
+    return view(spark, d, "observations").select("event_id", "caller", "callee", "operation", "start_ns", "end_ns", "value")
 
 
 def sinks(spark, d):
@@ -33,7 +36,8 @@ def sinks(spark, d):
 
 
 def rules(spark):
-    return spark.createDataFrame([*(("gateway", f"svc{k}") for k in range(3)), *((f"svc{k}", "store") for k in range(3))], "parent_service string, child_service string")
+    edges = [*(("gateway", f"svc{k}", "get ") for k in range(3)), *((f"svc{k}", "store", None) for k in range(3))]
+    return spark.createDataFrame(edges, "parent_service string, child_service string, parent_operation_prefix string")
 
 
 def gold(spark, d):
@@ -57,11 +61,21 @@ def p2(spark, d):
     return P.value_time_edges(events(spark, d))
 
 
-@query("p3_rule_edges", O + """SELECT c.caller AS parent_service, c.callee AS child_service, c.event_id AS child, p.event_id AS parent, c."value" = p."value" AS preserved FROM observations c JOIN observations p ON p.callee = c.caller AND c.start_ns >= p.start_ns - 5000000 AND c.end_ns <= p.end_ns + 5000000""")
+RULE = LAID + """, r AS (SELECT c.caller AS parent_service, c.callee AS child_service, c.event_id AS child, p.event_id AS parent, coalesce(c."value" = p."value", true) AS preserved, c."value" IS NULL OR p."value" IS NULL AS missing
+  FROM cb c JOIN pb p ON p.callee = c.caller AND p.b = c.b WHERE c.start_ns >= p.start_ns - 5000000 AND c.end_ns <= p.end_ns + 5000000 AND (p.callee <> 'gateway' OR p.operation LIKE 'get %'))
+"""
+
+
+@query("p3_rule_edges", O + ", " + RULE + "SELECT * FROM r")
 def p3(spark, d):
     return P.rule_edges(events(spark, d), rules(spark))
 
 
+@query("p3_missing_pairs", O + ", " + RULE + "SELECT parent_service, child_service, count(*) AS pairs, count(*) FILTER (missing) AS missing_pairs FROM r GROUP BY 1, 2")
+def p3b(spark, d):
+    return P.missing_pairs(P.rule_edges(events(spark, d), rules(spark)))
+
+
 @query("p4_components", C + "SELECT call_id AS node, 'r-' || trace_id AS root FROM calls")
 def p4(spark, d):
     c = view(spark, d, "calls")
@@ -121,21 +135,30 @@ def p11(spark, d):
     return P.compare_variants(events(spark, d), sinks(spark, d), rules(spark), ["store"], *gold(spark, d))
 
 
-@query("q1_blind_manifest", C + "SELECT count(*) AS calls, count(DISTINCT trace_id) AS traces, count(*) AS complete FROM calls")
+L = duck("labelled")
+
+
+@query("q1_blind_manifest", L + "SELECT count(DISTINCT stream_id) AS calls, count(DISTINCT trace_id) AS traces, count(DISTINCT stream_id) AS complete, 0::BIGINT AS unpaired, count(DISTINCT trace_id) FILTER (client = 'ext') AS entry_traces FROM labelled")
 def q1(spark, d):
-    return Q.manifest(Q.prepare_blind(view(spark, d, "messages"), "gateway")[1])
+    return Q.manifest(Q.prepare_blind(view(spark, d, "labelled"))[1])
 
 
-@query("q1_blind_problems", C + "SELECT 'no-unique-root' AS problem, CAST(trace_id AS STRING) AS trace_id FROM calls WHERE client <> 'ext' AND false")
+@query("q1_blind_problems", L + "SELECT DISTINCT 'label-in-payload' AS problem, trace_id FROM labelled WHERE data LIKE '%\"note\"%' UNION ALL SELECT DISTINCT 'unparsed-payload', trace_id FROM labelled WHERE data LIKE 'done%'")
 def q1b(spark, d):
-    return Q.prepare_blind(view(spark, d, "messages"), "gateway")[2]
+    return Q.prepare_blind(view(spark, d, "labelled"))[2]
+
+
+@query("q1_blind_observations", L + """SELECT protocol_type, client, server, stream_id, msg_type, time_us, CASE WHEN data LIKE 'done%' THEN '{}' WHEN data LIKE '%"note"%' THEN data ELSE '{"k": "' || bare || '", "url": "/x?k=1"}' END AS data FROM labelled""")
+def q1c(spark, d):
+    return Q.prepare_blind(view(spark, d, "labelled"))[0]
 
 
-@query("q2_validate_truth", C + "SELECT 'unknown-parent' AS problem, trace_id AS request_id, call_id AS span_id FROM calls WHERE client = 'gateway' AND trace_id % 7 = 0 UNION ALL SELECT 'not-one-root', trace_id, NULL FROM calls WHERE client = 'ext' AND trace_id % 7 = 0")
+@query("q2_validate_truth", C + """SELECT 'unknown-parent' AS problem, trace_id AS request_id, call_id AS span_id FROM calls WHERE client = 'gateway' AND trace_id % 7 = 0 UNION ALL SELECT 'not-one-root', trace_id, NULL FROM calls WHERE client = 'ext' AND trace_id % 7 = 0
+UNION ALL SELECT 'cycle-or-below-one', trace_id, call_id FROM calls WHERE server = 'store' AND trace_id % 7 = 0""")
 def q2(spark, d):
     c = view(spark, d, "calls")
     rpcs = c.where("not (client = 'ext' and trace_id % 7 = 0)").select(F.col("trace_id").alias("request_id"), F.col("call_id").alias("span_id"), F.col("parent_id").alias("parent_span_id"))
-    return Q.validate_truth(rpcs, c.select(F.col("trace_id").alias("request_id")).distinct()).where("problem <> 'cycle-or-below-one'")
+    return Q.validate_truth(rpcs, c.select(F.col("trace_id").alias("request_id")).distinct())
 
 
 @query("q3_build_oracle", C + ", k AS (SELECT call_id, CASE WHEN start_us % 5 = 0 THEN 'missing:' || call_id ELSE call_id END AS key FROM calls) SELECT a.key, c.trace_id, b.key AS parent_key, c.start_us % 5 <> 0 AS observed FROM calls c JOIN k a USING (call_id) LEFT JOIN k b ON b.call_id = c.parent_id")
@@ -154,12 +177,13 @@ def q4(spark, d):
     return Q.validate_predictions(pred.unionByName(again), c.select(F.col("call_id").alias("key"), "trace_id", F.col("parent_id").alias("parent_key")))
 
 
-@query("q6_ablation")
+@query("q6_ablation", " UNION ALL ".join(f"SELECT '{v}' AS variant, * FROM ({q})" for v, q in (("time", FULL_TRACE[0]), ("context", FULL_TRACE[0]), ("no-context", FULL_TRACE[1]), ("full", FULL_TRACE[1]), ("fallback", FULL_TRACE[1]))))
 def q6(spark, d):
+    """In these data no child has a token of its parent's ancestors and all children have a labelled parent, so context and fallback change nothing."""
     c = view(spark, d, "calls")
     known = c.select("call_id", F.concat(F.lit("r-"), F.col("trace_id").cast("string")).alias("trace_id"), "parent_id", "client")
     out = None
-    for variant in ("time", "no-context", "full"):
+    for variant in K.VARIANTS:
         s = V.full_trace_accuracy(V.scored(known, K.infer(c, variant)[0].withColumnRenamed("parent", "parent_pred"))).withColumn("variant", F.lit(variant))
         out = s if out is None else out.unionByName(s)
     return out

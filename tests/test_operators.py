@@ -127,6 +127,75 @@ def test_reassembly_of_late_and_overlapping_segments(spark):
     assert [r.body for r in got] == ["abc", "2\r\nhi\r\n0\r\n\r\n"]
 
 
+def test_chunked_bodies_end_at_the_last_chunk(spark):
+    body = b"18\r\nab0\r\n\r\ncdefghijklmnopqrs\r\n10\r\n0123456789abcdef\r\n0\r\n\r\n"
+    data = b"POST /x HTTP/1.1\r\nTransfer-Encoding: chunked\r\n\r\n" + body
+    assert reassembly.cut_message(data) == len(data) and reassembly.cut_message(data[:-1]) is None
+
+
+def test_many_late_segments_lose_nothing():
+    message = b"GET /a HTTP/1.1\r\nContent-Length: 2000\r\n\r\n" + b"x" * 2000
+    data = message * 2
+    late = [(k, 1000 + k, data[k:k + 5]) for k in range(5, len(data), 5)] + [(9000, 1000, data[:5])]
+    assert [m for _, m in reassembly.messages_of(late)] == [message, message]
+    gap = [s for s in late if s[1] != 1000 + 50]
+    assert [m for _, m in reassembly.messages_of(gap)] == [message]
+
+
+def test_order_of_a_deep_trace(spark):
+    rows = [("t", f"s{k:03d}", f"s{k - 1:03d}" if k else None, k) for k in range(70)]
+    got = flowlog.trace_order(spark.createDataFrame(rows, "trace string, row_id string, parent string, start_us long"))
+    assert sorted((r.place, r.row_id) for r in got.collect()) == [(k + 1, f"s{k:03d}") for k in range(70)]
+
+
+def test_expansion_over_a_key_of_very_many_rows(spark):
+    keys = spark.range(10_001).select(F.concat(F.lit("r"), F.col("id")).alias("row_id"), F.lit("tcp:1").alias("key"))
+    anchors = spark.createDataFrame([("m", "r5")], "mark string, row_id string")
+    seen, whole = flowlog.expand(keys, anchors)
+    assert seen.count() == 10_001 and whole
+
+
+def test_no_call_is_shared_across_time_slices(spark):
+    rows = [("s", "a", 59_999_999, 1, ["c1"], 2.0), ("s", "b", 60_000_001, 1, ["c1"], 3.0), ("s", "b", 60_000_001, 2, ["c2"], 1.0), ("s", "d", 60_000_002, 1, ["c2"], 9.0)]
+    topk = spark.createDataFrame(rows, "service string, span string, start_us long, rank int, picked array<string>, score double")
+    got = {r.span: r.picked for r in assignment.resolve_conflicts(topk).collect()}
+    assert got == {"a": ["c1"], "d": ["c2"]}
+
+
+def test_matching_leaves_no_child_with_a_free_parent(spark):
+    # Every child is nearest to parent 0; parts hold two parents each.
+    pairs = [(f"c{k}", f"p{j}", "a", "b", 1000 + k, 1001 + k, j, 10_000) for k in range(6) for j in range(6)]
+    df = spark.createDataFrame(pairs, "call_id string, p_id string, client string, server string, start_us long, end_us long, p_start long, p_end long")
+    parents = spark.createDataFrame([(f"p{j}", "a", j, 10_000) for j in range(6)], "call_id string, server string, start_us long, end_us long")
+    got = assignment.match_windowed(df, parents, cap=2).collect()
+    assert len({r.call_id for r in got}) == len({r.parent for r in got}) == 6
+
+
+def test_late_children_fall_back_on_the_nearest_parent(spark):
+    rows = [("r1", None, 1, "ext", "a", 0, 10_000, None, None), ("m1", "r1", 1, "a", "b", 150_000, 160_000, None, None), ("l1", "m1", 1, "b", "c", 152_000, 153_000, None, None)]
+    got = infer(spark, rows)
+    assert got["m1"] == ("r1", "r1") and got["l1"] == ("m1", "r1")
+
+
+def test_trees_related_through_other_spans_stay(spark):
+    rows = [("t", "main", 0, 10, ["a"]), ("t", "far", 100, 110, ["b"]), ("t", "link", 200, 210, ["a", "b"]), ("t", "other", 300, 310, ["z"]), ("t", "skewed", 50, 60, [])]
+    df = spark.createDataFrame(rows, "trace string, tree string, start_us long, end_us long, trace_ids array<string>")
+    ahead = F.when(F.col("tree") == "skewed", 45)
+    assert {r.tree for r in flowlog.prune_trees(df, F.col("tree") == "main").collect()} == {"main", "far", "link"}
+    assert {r.tree for r in flowlog.prune_trees(df, F.col("tree") == "main", ahead).collect()} == {"main", "far", "link", "skewed"}
+
+
+def test_rules_with_prefixes_and_missing_fields(spark):
+    e = [("p1", "x", "a", "get a", 0, 100, "1"), ("p2", "x", "a", "health", 0, 100, "1"), ("c1", "a", "b", "get b", 10, 20, "1"), ("c2", "a", "b", "get b", 10, 20, None), ("c3", "a", "b", "get b", 10, 20, "2")]
+    events = spark.createDataFrame(e, "event_id string, caller string, callee string, operation string, start_ns long, end_ns long, value string")
+    rules = spark.createDataFrame([("a", "b", "get ")], "parent_service string, child_service string, parent_operation_prefix string")
+    edges = provenance.rule_edges(events, rules)
+    assert {(r.child, r.parent, r.preserved, r.missing) for r in edges.collect()} == {("c1", "p1", True, False), ("c2", "p1", True, True), ("c3", "p1", False, False)}
+    assert tuple(provenance.missing_pairs(edges).first()) == ("a", "b", 3, 1)
+    # Three children and one parent: balance is looked at before the limits.
+    assert {r.status for r in provenance.supported_edges(edges, max_nodes=0).collect()} == {"unbalanced"}
+
+
 def test_tokens():
     got = T.payload_tokens(json.dumps({"url": "/user/42?name=Bob7777", "paras": "a=1&b=two", "n": 1.5, "day": "2024-01-02", "in": '{"deep": "value"}', "page": "<html><body>"}))
     assert {"kv:path=user", "v:42", "kv:name=bob7777", "n:7777", "kv:b=two", "v:two", "f2:1.50", "v:1.500", "d:2024-01-02", "kv:deep=value"} <= got
@@ -153,9 +222,19 @@ def test_truth_checks(spark):
 
 
 def test_blind_input_has_no_labels(spark):
-    m = spark.createDataFrame([("HTTP/1.1", "Request", 1, "ext", "gateway", "s", "trace1", "trace:trace1"), ("HTTP/1.1", "Response", 2, "ext", "gateway", "s", "trace1", "x")], "protocol_type string, msg_type string, time_us long, client string, server string, stream_id string, trace_id string, data string")
-    blind, _, problems = quality.prepare_blind(m, "gateway")
-    assert "trace_id" not in blind.columns and [r.problem for r in problems.collect()] == ["label-in-payload"]
+    schema = "protocol_type string, msg_type string, time_us long, client string, server string, stream_id string, trace_id string, data string"
+    rows = [
+        ("HTTP/1.1", "Request", 1, "ext:9", "gateway:80", "s", "trace1", '{"note": "trace:trace1"}'), ("HTTP/1.1", "Response", 2, "ext:9", "gateway:80", "s", "trace1", None),
+        ("grpc", "Request", 3, "ext:8", "gateway:80", "t", "trace2", '{"X-B3-TraceId": "trace2", "a": "{\\"headers\\": 1, \\"b\\": 2}"}'), ("grpc", "Response", 4, "ext:8", "gateway:80", "t", "trace2", "plain words"),
+        ("grpc", "Request", 5, "gateway:1", "b:80", "u", "trace2", "[]"), ("SQL", "Response", 6, "gateway:1", "b:80", "u", "trace2", "[]"),
+        ("grpc", "Request", 7, "ext:8", "gateway:80", "v", "trace2", "[]"), ("grpc", "Response", 8, "ext:8", "gateway:80", "v", "trace2", "[]"),
+    ]
+    blind, oracle, problems = quality.prepare_blind(spark.createDataFrame(rows, schema))
+    assert "trace_id" not in blind.columns
+    assert {tuple(r) for r in problems.collect()} == {("label-in-payload", "trace1"), ("unparsed-payload", "trace2"), ("protocol", "trace2"), ("several-entry-calls", "trace2")}
+    data = {r.time_us: r.data for r in blind.collect()}
+    assert data[2] == data[4] == "{}" and json.loads(data[3]) == {"a": '{"b": 2}'}
+    assert tuple(quality.manifest(oracle).first()) == (4, 2, 4, 0, 2)
 
 
 def test_components_of_a_long_chain(spark):
