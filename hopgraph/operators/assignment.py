@@ -171,6 +171,12 @@ def learn_policy(scores: DataFrame, accuracy: float = 90.0, gain: float = 2.0, c
     return scores.withColumn("accept", (F.col("fallback") >= accuracy) & (F.col("fallback") - F.col("graph") >= gain) & (F.col("coverage") >= coverage))
 
 
+def learn_thresholds(stats: DataFrame, policy: DataFrame, defaults: dict[str, float]) -> DataFrame:
+    """One row of thresholds for edges that the policy doesn't know: the default, raised to the largest value that an accepted edge has."""
+    ok = stats.join(F.broadcast(policy.where("accept").select("client", "server")), ["client", "server"], "left_semi")
+    return ok.agg(*[F.greatest(F.lit(v), F.coalesce(F.max(c), F.lit(v))).cast("double").alias(c) for c, v in defaults.items()])
+
+
 def apply_policy(graph: DataFrame, fallback: DataFrame, policy: DataFrame) -> DataFrame:
     """Predictions(call_id, client, server, parent) of the fallback on accepted edges, of the graph elsewhere."""
     ok = policy.where("accept").select("client", "server")

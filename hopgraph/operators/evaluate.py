@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopgraph.operators.common import share
+from hopgraph.operators.common import ranked, share
 
 
 def _n(condition: Column) -> Column:
@@ -116,24 +116,32 @@ def weighted_accuracy(s: DataFrame) -> DataFrame:
 
 
 def lower_rank(df: DataFrame, value: str, by: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """Percentiles by the lower rank: the value at position int((n - 1) q)."""
-    order = Window.partitionBy(*by).orderBy(value)
-    r = df.withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    at = lambda q: F.max(F.when(F.col("_r") == F.floor((F.col("_n") - 1) * F.lit(q)) + 1, F.col(value)))
+    """Percentiles by the lower rank: the value at position int((n - 1) q). Rows are sorted in slices of about a percent of the value."""
+    v = F.col(value)
+    known = df.where(v.isNotNull())
+    r = ranked(known, by, F.when(v > 0, F.floor(F.log(v) * 100)).otherwise(F.lit(-(2**40))), [value])
+    at = lambda q: F.max(F.when(F.col("k") == F.floor((F.col("n") - 1) * F.lit(q)), v))
     return r.groupBy(*by).agg(*[at(q).alias(name) for name, q in quantiles.items()])
 
 
+def start_gaps(requests: DataFrame, by: list[str], slice_us: int = 60_000_000) -> DataFrame:
+    """requests with ``gap_us``, the time since the group's request before; slices of time hand on their last start."""
+    r = requests.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_slice", F.expr(f"_at div {slice_us}"))
+    ends = r.groupBy(*by, "_slice").agg(F.max("_at").alias("_end"))
+    ends = ends.select(*by, "_slice", F.lag("_end").over(Window.partitionBy(*by).orderBy("_slice")).alias("_before"))
+    own = F.lag("_at").over(Window.partitionBy(*by, "_slice").orderBy("ts", "index"))
+    r = r.withColumn("_own", own).join(ends, [*by, "_slice"])
+    return r.withColumn("gap_us", F.col("_at") - F.coalesce("_own", "_before")).drop("_slice", "_at", "_own", "_before")
+
+
 def load_summary(requests: DataFrame, by: list[str]) -> DataFrame:
     """Requests, errors, latency percentiles and the gaps between starts, by group."""
     q = lower_rank(requests, "latency_ms", by, {"p50": 0.5, "p90": 0.9, "p99": 0.99})
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = at - F.lag(at).over(Window.partitionBy(*by).orderBy("ts", "index"))
-    g = requests.withColumn("gap_us", gap)
-    a = g.groupBy(*by).agg(
+    a = start_gaps(requests, by).groupBy(*by).agg(
         F.count("*").alias("requests"), _n(F.col("status") >= 400).alias("errors"), F.round(F.avg("latency_ms"), 4).alias("mean_ms"),
         F.round(F.avg("gap_us"), 3).alias("gap_mean_us"), F.round(F.stddev_pop("gap_us") / 1000, 3).alias("gap_std_ms"),
     )
-    return a.join(q, by)
+    return a.join(q, by, "left")
 
 
 def status_counts(requests: DataFrame) -> DataFrame:

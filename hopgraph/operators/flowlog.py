@@ -22,30 +22,84 @@ def anchors(flow: DataFrame, client: str, server: str) -> DataFrame:
     return flow.where((F.col("client") == client) & (F.col("server") == server)).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
+SYSTEM_SIDES = {"c-p", "s-p"}
+FRAME_PROTOCOLS = {"HTTP2", "gRPC"}
+
+
+class Waiting:
+    """Rows of one (agent, flow, request_id) that later rows can still join, oldest first."""
+
+    def __init__(self):
+        self.rows = []
+
+    def join(self, row: dict) -> str:
+        """The session of the row, which comes next in time: that of the row it joins, or its own."""
+        frame = row["protocol"] in FRAME_PROTOCOLS and row["response_us"] == 0
+        system = row["tap_side"] in SYSTEM_SIDES
+        dns = system and row["protocol"] == "DNS"
+        found = None
+        if (row["type"] == RESPONSE or row["protocol"] in FRAME_PROTOCOLS) and not row["is_async"]:
+            for other in reversed(self.rows):
+                waits = other["type"] == REQUEST
+                if not waits and not dns and not frame:
+                    continue
+                if other["protocol"] != row["protocol"] and not frame:
+                    break  # another protocol on the connection: what follows isn't told apart
+                if not waits and not dns:
+                    break
+                if system and (other["seq_0"] if waits else other["seq_1"]) + 1 != row["seq_1"]:
+                    continue
+                found = other
+                break
+        if found is None:
+            self._add({**row, "session": row["row_id"]}, row["is_async"])
+            return row["row_id"]
+        if found["type"] == REQUEST:
+            found["type"] = SESSION
+        if not frame:
+            found["seq_1"] = row["seq_1"]
+        self._prune()
+        return found["session"]
+
+    def _add(self, row: dict, is_async: bool):
+        if not is_async:
+            self.rows.append(row)
+            self._prune()
+
+    def _prune(self):
+        # Only requests wait; a session is met by DNS rows, and the last row by frames.
+        self.rows = [r for k, r in enumerate(self.rows) if r["type"] == REQUEST or r["protocol"] == "DNS" or k == len(self.rows) - 1]
+
+
 def merge_sessions(flow: DataFrame) -> DataFrame:
     """One-way rows to sessions: a response joins the latest waiting request of its (agent, flow, request_id).
 
-    In time order the waiting requests are a stack, whose depth is a running sum. A response at depth d
-    meets the latest request that lifted the depth to d: both have the same depth number, and of equal
-    ones the last before it. Orphan responses and unanswered requests stay as they are.
+    Where the columns are there: a waiting request of another ``protocol`` ends the search; rows of processes
+    (``tap_side``) need system-call numbers that follow (``seq_0`` of the request, ``seq_1`` of the response), and
+    DNS answers of processes join sessions too; frames (HTTP2 and gRPC rows with ``response_us`` 0) join the
+    row before if that is a request; ``is_async`` rows stay alone. Orphan responses and unanswered requests stay
+    as they are. Rows stream through in order of time; only those that still wait are kept.
     """
     keys = ["agent", "flow", "request_id"]
-    w = Window.partitionBy(*keys).orderBy("start_us", "row_id")
-    one = F.when(F.col("type") == REQUEST, 1).when(F.col("type") == RESPONSE, -1).otherwise(0)
-    f = flow.withColumn("balance", F.sum(one).over(w)).withColumn("low", F.least(F.min("balance").over(w), F.lit(0)))
-    # Depth above the running low; an orphan response lowers the low and has depth -1 before it.
-    f = f.withColumn("depth", F.col("balance") - F.col("low"))
-    f = f.withColumn("orphan", (F.col("type") == RESPONSE) & (F.col("low") < F.coalesce(F.lag("low").over(w), F.lit(0))))
-    f = f.withColumn("level", F.when(F.col("type") == REQUEST, F.col("depth")).when((F.col("type") == RESPONSE) & ~F.col("orphan"), F.col("depth") + 1))
-    at = Window.partitionBy(*keys, "level").orderBy("start_us", "row_id")
-    before = F.lag(F.struct("type", "row_id")).over(at)
-    f = f.withColumn("met", F.when((F.col("type") == RESPONSE) & F.col("level").isNotNull() & (before["type"] == REQUEST), before["row_id"]))
-    f = f.withColumn("session", F.coalesce("met", "row_id"))
-    merged = f.groupBy("session").agg(
+    rest = {"protocol": ("string", ""), "tap_side": ("string", ""), "seq_0": ("long", 0), "seq_1": ("long", 0), "response_us": ("long", -1), "is_async": ("boolean", False)}
+    columns = [F.coalesce(F.col(c).cast(t), F.lit(v).cast(t)).alias(c) if c in flow.columns else F.lit(v).cast(t).alias(c) for c, (t, v) in rest.items()]
+    rows = flow.select(F.struct(*keys).alias("key"), "row_id", "type", "start_us", *columns).withColumn("key", F.to_json("key"))
+
+    def run(batches):
+        key, waiting = None, None
+        for g in batches:
+            out = []
+            for row in g.drop(columns="start_us").to_dict("records"):
+                if row.pop("key") != key or waiting is None:
+                    key, waiting = g["key"].iloc[len(out)], Waiting()
+                out.append((row["row_id"], waiting.join(row)))
+            yield pd.DataFrame(out, columns=["row_id", "session"])
+
+    met = rows.repartition("key").sortWithinPartitions("key", "start_us", "row_id").mapInPandas(run, "row_id string, session string")
+    return flow.join(met, "row_id").groupBy("session").agg(
         F.array_sort(F.collect_list("row_id")).alias("rows"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
         F.when(F.count("*") > 1, SESSION).otherwise(F.min("type")).alias("type"),
     )
-    return merged
 
 
 def merge_async(flow: DataFrame) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopgraph.operators.common import written
+from hopgraph.operators.common import ranked, written
+
+#: Rows are ranked within slices of this time.
+SLICE_US = 1_000_000
 
 
 def external_clients(calls: DataFrame) -> DataFrame:
@@ -85,9 +88,8 @@ def temporal_profile(calls: DataFrame, buckets: int = 10, least: int = 8, max_ra
 
     def means(df, keys, name):
         # Row k of n is in bucket b when round(b n / B) <= k < round((b + 1) n / B).
-        w = Window.partitionBy(*keys)
-        r = df.withColumn("_k", F.row_number().over(w.orderBy("start_us", "call_id")) - 1).withColumn("_n", F.count("*").over(w))
-        b = F.greatest(F.lit(0), F.floor((F.col("_k") + 0.5) * buckets / F.col("_n")))
+        r = ranked(df, keys, F.expr(f"start_us div {SLICE_US}"), ["start_us", "call_id"])
+        b = F.greatest(F.lit(0), F.floor((F.col("k") + 0.5) * buckets / F.col("n")))
         return r.withColumn("bucket", b).groupBy(*keys, "bucket").agg(F.avg("start_us").alias(name))
 
     c = means(calls.join(F.broadcast(good.select("client", "server")), ["client", "server"], "left_semi"), ["client", "server"], "c_avg")
@@ -99,10 +101,11 @@ def temporal_profile(calls: DataFrame, buckets: int = 10, least: int = 8, max_ra
 
 def delay_model(incoming: DataFrame, outgoing: DataFrame, batch: int = 100) -> DataFrame:
     """Endpoint pair's delay from ranks: incoming(service, start_us), outgoing(service, endpoint, start_us) -> mean gap and deviation in seconds."""
-    i = incoming.withColumn("k", F.row_number().over(Window.partitionBy("service").orderBy("start_us", "call_id")))
-    o = outgoing.withColumn("k", F.row_number().over(Window.partitionBy("service", "endpoint").orderBy("start_us", "call_id"))).withColumnRenamed("start_us", "out_us")
+    at = F.expr(f"start_us div {SLICE_US}")
+    i = ranked(incoming, ["service"], at, ["start_us", "call_id"])
+    o = ranked(outgoing, ["service", "endpoint"], at, ["start_us", "call_id"]).withColumnRenamed("start_us", "out_us")
     j = o.select("service", "endpoint", "k", "out_us").join(i.select("service", "k", "start_us"), ["service", "k"])
-    b = j.groupBy("service", "endpoint", F.expr(f"(k - 1) div {batch}").alias("batch")).agg(F.avg(F.col("out_us") - F.col("start_us")).alias("gap"), F.count("*").alias("n"))
+    b = j.groupBy("service", "endpoint", F.expr(f"k div {batch}").alias("batch")).agg(F.avg(F.col("out_us") - F.col("start_us")).alias("gap"), F.count("*").alias("n"))
     std = F.greatest(F.coalesce(F.sqrt(F.lit(float(batch))) * F.stddev_samp("gap") / 1e6, F.lit(0.001)), F.lit(0.001))
     return b.groupBy("service", "endpoint").agg(F.round(F.sum(F.col("gap") * F.col("n")) / F.sum("n") / 1e6, 6).alias("mean_s"), F.round(std, 6).alias("std_s"))
 

@@ -47,7 +47,7 @@ def h02(spark, d):
     return H.merge_sessions(f).select("session", "rows", F.size("rows").cast("long").alias("n"))
 
 
-@query("h03_merge_async")
+@query("h03_merge_async", C + "SELECT call_id || '/s' AS response, call_id || '/c' AS request FROM calls")
 def h03(spark, d):
     f = view(spark, d, "flow_rows").where("tap_side in ('c', 's')")
     rows = f.select("row_id", F.when(F.col("tap_side") == "c", 0).otherwise(1).alias("type"), F.lit("Kafka").alias("protocol"), F.lit("c").alias("tap_side"), F.col("call_id").alias("span_id"), "start_us", F.array("mark").alias("trace_ids"))
@@ -168,12 +168,19 @@ def nested(spark, d):
     return c, c.join(p, "parent_id").select("outer_host", F.col("host").alias("inner_host"), "o_start", "o_end", F.col("start_us").alias("i_start"), F.col("end_us").alias("i_end"))
 
 
-@query("h19_clock_correction")
+CLOCK = C + """, w AS (SELECT call_id, parent_id, server AS host, CASE server WHEN 'svc1' THEN 4000 WHEN 'store' THEN -9000 ELSE 0 END AS skew, start_us, end_us FROM calls), k AS (SELECT call_id, parent_id, host, start_us + skew AS start_us, end_us + skew AS end_us FROM w),
+a AS (SELECT p.host AS outer_host, c.host AS inner_host, max(p.start_us - c.start_us) AS lo, min(p.end_us - c.end_us) AS hi FROM k c JOIN k p ON p.call_id = c.parent_id GROUP BY 1, 2),
+s AS (SELECT outer_host, inner_host, CASE WHEN lo > hi THEN 0 WHEN lo > 0 THEN lo WHEN hi < 0 THEN hi ELSE 0 END AS step FROM a),
+f AS (SELECT inner_host AS host, min(step) AS shift_us FROM s WHERE outer_host = 'gateway' GROUP BY 1), d AS (SELECT 'gateway' AS host, 0 AS shift_us UNION ALL SELECT * FROM f UNION ALL SELECT inner_host, min(shift_us + step) FROM s JOIN f ON f.host = s.outer_host GROUP BY 1)
+"""
+
+
+@query("h19_clock_correction", CLOCK + "SELECT host, shift_us::BIGINT AS shift_us FROM d")
 def h19(spark, d):
     return H.clock_correction(nested(spark, d)[1], "gateway")
 
 
-@query("h19_apply_clock")
+@query("h19_apply_clock", CLOCK + "SELECT call_id, (start_us + coalesce(shift_us, 0))::BIGINT AS start_us, (end_us + coalesce(shift_us, 0))::BIGINT AS end_us FROM k LEFT JOIN d USING (host)")
 def h19b(spark, d):
     spans, pairs = nested(spark, d)
     return H.apply_clock(spans, H.clock_correction(pairs, "gateway")).select("call_id", "start_us", "end_us")

@@ -248,7 +248,11 @@ def f9(spark, d):
     return K.rebuild_parents(c, truth(c))[1]
 
 
-@query("f10_containment_fallback")
+@query("f10_containment_fallback", C + """, k AS (SELECT call_id, parent_id AS parent, 'r-' || trace_id AS label FROM calls WHERE client <> 'gateway'),
+j AS (SELECT c.call_id, p.call_id AS p_id, greatest(p.start_us - c.start_us, 0) + greatest(c.end_us - p.end_us, 0) AS outside, p.end_us - p.start_us AS len, abs(c.start_us - p.start_us) AS gap
+  FROM calls c JOIN (SELECT *, unnest(range(CAST(floor((start_us - 80000) / 1e5) AS BIGINT), CAST(floor((end_us + 80000) / 1e5) AS BIGINT) + 1)) AS b FROM calls) p ON p.server = c.client AND p.b = CAST(floor(c.start_us / 1e5) AS BIGINT)
+  WHERE c.client = 'gateway' AND c.start_us BETWEEN p.start_us - 80000 AND p.end_us + 80000)
+SELECT * FROM k UNION ALL SELECT call_id, p_id, p_id FROM j WHERE outside <= 80000 QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY 100 * outside + len + 0.05 * gap, p_id) = 1""")
 def f10(spark, d):
     c = calls(spark, d)
     known = truth(c).where("parent is null or call_id like 'g-%'")

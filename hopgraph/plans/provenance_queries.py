@@ -56,6 +56,13 @@ def p1(spark, d):
     return P.normalize_exchanges(side("Request"), side("Response"))[1]
 
 
+@query("p1_known_endpoints", C + "SELECT count(*) AS paired, 0::BIGINT AS no_response, 0::BIGINT AS no_request, count(*) FILTER (client = 'svc2' OR server = 'svc2') AS unknown_endpoint FROM calls")
+def p1b(spark, d):
+    c = view(spark, d, "calls")
+    requests = c.select(F.col("call_id").alias("stream"), F.col("client").alias("caller"), F.col("server").alias("callee"), "start_us")
+    return P.normalize_exchanges(requests, c.select(F.col("call_id").alias("stream"), "end_us"), ["ext", "gateway", "svc0", "svc1", "store"])[1]
+
+
 @query("p2_value_time_edges", O + ", " + EDGES + "SELECT child, parent FROM e")
 def p2(spark, d):
     return P.value_time_edges(events(spark, d))
@@ -241,6 +248,13 @@ def g5(spark, d):
     return G.learn_policy(a.join(b, ["client", "server"]), 85.0, 0.5, 90.0)
 
 
+@query("g5_global_thresholds", STATS.rstrip() + """, x AS (SELECT client, server, client = 'gateway' AS accept FROM g)
+SELECT greatest(5000.0, max(p50))::DOUBLE AS p50_us, greatest(9500.0, max(p95))::DOUBLE AS p95_us FROM g JOIN x USING (client, server) WHERE accept""")
+def g5b(spark, d):
+    stats = edge_stats(spark, d)
+    return G.learn_thresholds(stats, stats.select("client", "server", (F.col("client") == "gateway").alias("accept")), {"p50_us": 5000.0, "p95_us": 9500.0})
+
+
 def likeliest(spark, d):
     c = view(spark, d, "calls")
     inc = c.where("server = 'gateway'").select("call_id", F.col("server").alias("service"), "start_us", "end_us")

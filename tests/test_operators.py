@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hopgraph.functions import tokens as T
 from hopgraph.functions.columns import endpoint_host, is_html_noise, normalize_value, trace_context
 from hopgraph.operators import assignment, candidates, evaluate, flowlog, pairing, provenance, quality, reassembly
+from hopgraph.operators.common import ranked
 from hopgraph.operators.graphs import components
 from hopgraph.sources import io
 
@@ -119,6 +120,29 @@ def test_session_merge_takes_the_latest_waiting_request(spark):
     assert {tuple(r.rows) for r in flowlog.merge_sessions(df).collect()} == {("2", "3"), ("1", "4"), ("5",), ("6",)}
 
 
+def test_session_rules(spark):
+    # (flow, row, type, protocol, side, seq_0, seq_1, response_us, async)
+    rows = [
+        ("p", "1", 0, "HTTP", "c", 0, 0, 0, False), ("p", "2", 1, "TLS", "c", 0, 0, 5, False), ("p", "3", 1, "HTTP", "c", 0, 0, 5, False),
+        ("s", "11", 0, "HTTP", "s-p", 7, 0, 0, False), ("s", "12", 0, "HTTP", "s-p", 9, 0, 0, False), ("s", "13", 1, "HTTP", "s-p", 0, 8, 5, False), ("s", "14", 1, "HTTP", "s-p", 0, 12, 5, False),
+        ("d", "21", 0, "DNS", "c-p", 3, 0, 0, False), ("d", "22", 1, "DNS", "c-p", 0, 4, 5, False), ("d", "23", 1, "DNS", "c-p", 0, 5, 6, False), ("d", "24", 1, "DNS", "c-p", 0, 9, 6, False),
+        ("g", "31", 0, "gRPC", "c", 0, 0, 9, False), ("g", "32", 1, "HTTP2", "c", 0, 0, 0, False), ("g", "33", 1, "HTTP2", "c", 0, 0, 0, False),
+        ("a", "41", 0, "HTTP", "c", 0, 0, 0, True), ("a", "42", 1, "HTTP", "c", 0, 0, 5, False), ("a", "43", 0, "HTTP", "c", 0, 0, 0, False), ("a", "44", 1, "HTTP", "c", 0, 0, 5, True),
+    ]
+    schema = "agent string, flow string, request_id int, row_id string, start_us long, end_us long, type int, protocol string, tap_side string, seq_0 long, seq_1 long, response_us long, is_async boolean"
+    df = spark.createDataFrame([("a", f, 0, i, int(i), int(i), *rest) for f, i, *rest in rows], schema)
+    got = {tuple(r.rows) for r in flowlog.merge_sessions(df).collect()}
+    assert got == {("1", "3"), ("2",), ("11", "13"), ("12",), ("14",), ("21", "22", "23"), ("24",), ("31", "32"), ("33",), ("41",), ("42",), ("43",), ("44",)}
+
+
+def test_ranks_without_a_window_over_the_whole_group(spark):
+    df = spark.createDataFrame([("a" if k % 3 else "b", (k * 37) % 100, k) for k in range(100)], "g string, t long, id long")
+    got = {r.id: (r.k, r.n) for r in ranked(df, ["g"], F.expr("t div 7"), ["t", "id"]).collect()}
+    for name, keep in (("a", lambda k: k % 3), ("b", lambda k: not k % 3)):
+        ids = sorted((k for k in range(100) if keep(k)), key=lambda k: ((k * 37) % 100, k))
+        assert {i: got[i] for i in ids} == {i: (n, len(ids)) for n, i in enumerate(ids)}, name
+
+
 def test_reassembly_of_late_and_overlapping_segments(spark):
     data = b"noise" + b"GET / HTTP/1.1\r\nContent-Length: 3\r\n\r\nabc" + b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n2\r\nhi\r\n0\r\n\r\n"
     cut = [(0, 9), (40, len(data)), (5, 30), (25, 41)]
