@@ -27,6 +27,7 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
 FANOUT = 2
+BUCKET_ROWS = 2_000_000
 #: Stands for a null id: below all others.
 NO_ID = -(2**63)
 
@@ -46,9 +47,10 @@ def split_lines(text: Column) -> Column:
 class LineRuns:
     """A store of line hashes in levels of sorted runs."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, rows: int = 0):
+        """rows: about how many hashes there will be; runs have a bucket for every ``BUCKET_ROWS`` of them, and at least as many as a shuffle has parts."""
         self.spark, self.fanout, self.levels = spark, fanout, []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
         self.made = []
 
     def _run(self, rows: DataFrame) -> DataFrame:
@@ -118,7 +120,7 @@ def repeated_lines(docs: DataFrame, min_chars=MIN_CHARS, min_docs=MIN_DOCS, batc
     cuts = []
     if batches > 1:
         cuts = lines.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
-    store = LineRuns(spark, fanout)
+    store = LineRuns(spark, fanout, lines.count())
     for k in range(batches - 1, -1, -1):
         part = lines
         if k < batches - 1 and cuts:
