@@ -11,7 +11,8 @@ every document and, for the fraction, one more of the documents that come first
 in a seeded order, as long as they fit. That order is cut into 4096 buckets by
 the hash; sums of whole buckets say what goes before each, and rows are ordered
 within a bucket of a source. So no source, however large, passes through one
-task. ``mix`` goes on in that order behind a document that is too long, in rounds,
+task. All of this is decided on sizes alone; what is decided is a few places in
+the order of each source, and texts are only filtered by them, not shuffled. ``mix`` goes on in that order behind a document that is too long, in rounds,
 until no unused document of the source fits, then takes the nearest one, which may
 go over, if that is nearer than none. op2's SQL instead fills what is left with at
 most ``FILLS`` documents of the source, each the nearest in size (the last may go
@@ -69,98 +70,91 @@ def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
     )
 
 
-def same_bucket() -> Column:
-    return F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("slot"))
+def of_source(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has a row for each source."""
+    return rows.join(table.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), how).drop("of")
 
 
-def in_buckets(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """rows and what is known of their source and bucket; ``n``: the row's number there in the seeded order; ``fits``: whether the budget has room for all rows up to it."""
-    buckets = buckets.withColumnsRenamed({"source": "of", "bucket": "slot"})
-    rows = rows.withColumn("bucket", F.substring("place", 1, 3))
-    rows = rows.join(buckets.hint("merge"), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("slot"))).drop("of", "slot")
-    # One bucket of one source is all that is ordered at once.
-    fine = Window.partitionBy("source", "bucket").orderBy("place", "size", "tie")
-    rows = rows.withColumn("n", F.row_number().over(fine)).withColumn("upto", F.sum("size").over(fine.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("fits", (F.col("budget") > 0) & (F.col("before") + F.col("upto") <= F.col("budget"))).drop("upto")
+def key() -> Column:
+    """A row's place in its source's seeded order, to the last detail."""
+    return F.struct("place", "size", "tie")
 
 
-def gaps_left(thin: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows with their place in the seeded order, and buckets with ``gap``: what the source's budget has left after it."""
-    whole_source = Window.partitionBy("source")
-    rows = written(in_buckets(thin, buckets).select("source", "bucket", "n", "size", "place", "fits", "budget"), "mix-places")
-    used = rows.where("fits").groupBy("source", "bucket").agg(F.sum("size").alias("used")).withColumnsRenamed({"source": "of", "bucket": "slot"})
-    buckets = buckets.join(used.hint("merge"), same_bucket(), "left").drop("of", "slot")
-    buckets = buckets.withColumn("gap", F.col("budget") - F.coalesce(F.sum("used").over(whole_source), F.lit(0))).drop("used")
-    return rows, written(buckets.withColumn("picked", F.array().cast("array<int>")), "mix-gaps")
+def upto(before: Column) -> Column:
+    """Words of the source up to a row in the seeded order; one bucket of one source is all that is sorted at once."""
+    fine = Window.partitionBy("source", "bucket").orderBy("place", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    return before + F.sum("size").over(fine)
 
 
-def fill_gaps(thin: DataFrame, buckets: DataFrame, fills: int) -> DataFrame:
-    """buckets with ``picked``: numbers of rows that are taken once more, since their size is nearest to what the source's budget has left."""
-    rows, buckets = gaps_left(thin, buckets)
-    return fill_nearest(rows, buckets, fills).drop("gap")
+def ahead(rows: DataFrame) -> DataFrame:
+    """rows with ``before``: the words of the source's buckets before their own."""
+    words = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    in_order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    words = words.select(F.col("source").alias("of"), F.col("bucket").alias("slot"), F.coalesce(F.sum("words").over(in_order), F.lit(0)).alias("before"))
+    return rows.join(words.hint("merge"), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("slot"))).drop("of", "slot")
+
+
+def taken_once_more(cut: str = "cut", rounds: str = "rounds", picks: str = "picks") -> Column:
+    """Whether a row joined with its source's decisions gets the repetition that only some rows get."""
+    first = F.coalesce(F.col("budget") > 0, F.lit(False)) & (F.col(cut).isNull() | (key() < F.col(cut)))
+    later = F.exists(rounds, lambda r: (F.col("size") > 0) & (F.col("size") <= r["gap"]) & (r["cut"].isNull() | (key() < r["cut"])))
+    return first | later | F.array_contains(picks, key())
 
 
-def fill_whole(thin: DataFrame, buckets: DataFrame) -> DataFrame:
-    """buckets with ``picked``, until no further row fits what the source's budget has left; then the nearest row, where it is nearer than none.
+def nearest(rows: DataFrame, sources: DataFrame, may_pass: bool) -> DataFrame:
+    """sources with the row, if any, whose size is nearest to their gap added to ``picks`` and taken off; ``may_pass``: it may go over, if that is nearer than none."""
+    open_rows = of_source(rows, sources).where(~taken_once_more() & (F.col("size") > 0))
+    off = F.abs(F.col("gap") - F.col("size"))
+    near = off < F.col("gap") if may_pass else F.col("size") <= F.col("gap")
+    best = open_rows.where(near).groupBy("source").agg(F.min(F.struct(off.alias("off"), "place", "size", "tie")).alias("best"))
+    best = best.select("source", F.struct("best.place", "best.size", "best.tie").alias("pick"))
+    sources = of_source(sources, best, "left").withColumn("gap", F.col("gap") - F.coalesce("pick.size", F.lit(0)))
+    return written(sources.withColumn("picks", F.when(F.col("pick").isNull(), F.col("picks")).otherwise(F.array_append("picks", F.col("pick")))).drop("pick"), "mix-sources")
 
-    The seeded order goes on behind a row that is too long: each round takes, of the rows that
-    still fit, those that come first. The row that ends a round is too long for the next one.
+
+def decisions(thin: DataFrame, weights, max_epochs: float, fills: int | None) -> DataFrame:
+    """thin(source, size, place, tie) -> by source its size, target and whole repetitions, and which rows are taken once more.
+
+    Those are the rows before ``cut`` in the seeded order; of the rows that are small enough for what a round
+    had left those before that round's cut (``rounds``); and single ``picks``. A row for each source with a
+    few values for each round: a small table, which meets the documents without a shuffle of their texts.
     """
-    whole_source = Window.partitionBy("source")
-    in_order = whole_source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    fine = Window.partitionBy("source", "bucket").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows, buckets = gaps_left(thin, buckets)
-    left = rows.where(~F.col("fits") & (F.col("size") > 0)).select("source", "bucket", "n", "size")
-    while True:
-        known = buckets.select(F.col("source").alias("of"), F.col("bucket").alias("slot"), "gap")
-        left = written(left.join(known.hint("merge"), same_bucket()).where("size <= gap").drop("of", "slot"), "mix-left")
+    rows = written(ahead(thin.withColumn("bucket", F.substring("place", 1, 3))), "mix-thin")
+    plan = water_fill(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
+    plan = plan.withColumn("whole", F.floor("rate")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")).drop("rate")
+    placed = of_source(rows, plan.select("source", "budget")).withColumn("fits", (F.col("budget") > 0) & (upto(F.col("before")) <= F.col("budget")))
+    rows = written(placed.select("source", "bucket", "place", "size", "tie", "fits"), "mix-places")
+    first = rows.groupBy("source").agg(F.min(F.when(~F.col("fits"), key())).alias("cut"), F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("used"))
+    picks = F.array().cast("array<struct<place:string,size:bigint,tie:bigint>>").alias("picks")
+    gaps = of_source(plan, first).select("*", (F.col("budget") - F.col("used")).alias("gap"), picks).drop("used")
+    gaps = written(gaps, "mix-sources")
+    rounds = gaps.select("source", F.lit(None).cast("double").alias("gap"), F.col("cut")).limit(0)
+    left = rows.where(~F.col("fits") & (F.col("size") > 0)).drop("fits")
+    while fills is None:
+        left = written(of_source(left, gaps.select("source", "gap")).where("size <= gap"), "mix-left")
         if left.isEmpty():
-            return fill_nearest(rows, buckets, 1).drop("gap")
-        words = left.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-        words = words.select(F.col("source").alias("of"), F.col("bucket").alias("slot"), F.coalesce(F.sum("words").over(in_order), F.lit(0)).alias("ahead"))
-        left = left.join(words.hint("merge"), same_bucket()).withColumn("took", F.col("ahead") + F.sum("size").over(fine) <= F.col("gap"))
-        left = written(left.select("source", "bucket", "n", "size", "took"), "mix-round")
-        took = left.where("took").groupBy("source", "bucket").agg(F.sum("size").alias("more"), F.collect_list("n").alias("found"))
-        took = took.withColumnsRenamed({"source": "of", "bucket": "slot"})
-        buckets = buckets.join(took.hint("merge"), same_bucket(), "left").drop("of", "slot")
-        buckets = buckets.withColumn("gap", F.col("gap") - F.coalesce(F.sum("more").over(whole_source), F.lit(0)))
-        picked = F.concat("picked", F.coalesce("found", F.array().cast("array<int>")))
-        buckets = written(buckets.withColumn("picked", picked).drop("found", "more"), "mix-gaps")
-        left = left.where(~F.col("took")).drop("took")
-
-
-def fill_nearest(rows: DataFrame, buckets: DataFrame, fills: int) -> DataFrame:
-    """buckets with up to ``fills`` more rows of each source in ``picked``, each the nearest in size to the gap; the last may go over."""
-    whole_source, same = Window.partitionBy("source"), same_bucket()
-    for k in range(fills):
-        known = buckets.select(F.col("source").alias("of"), F.col("bucket").alias("slot"), "gap", "picked")
-        left = rows.where(~F.col("fits") & (F.col("size") > 0)).join(known.hint("merge"), same).where(~F.array_contains("picked", F.col("n")))
-        off = F.abs(F.col("gap") - F.col("size"))
-        # Only the last document may go over the budget, where that is nearer than staying below.
-        near = off < F.col("gap") if k == fills - 1 else F.col("size") <= F.col("gap")
-        best = left.where(near).groupBy("source").agg(F.min(F.struct(off.alias("off"), "place", "n", "size", "bucket")).alias("best"))
-        best = best.select(F.col("source").alias("of"), F.col("best.bucket").alias("slot"), F.col("best.n").alias("found"), F.col("best.size").alias("more"))
-        buckets = buckets.join(best.hint("merge"), same, "left").drop("of", "slot")
-        buckets = buckets.withColumn("gap", F.col("gap") - F.coalesce(F.sum("more").over(whole_source), F.lit(0)))
-        picked = F.when(F.col("found").isNull(), F.col("picked")).otherwise(F.array_append("picked", F.col("found")))
-        buckets = written(buckets.withColumn("picked", picked).drop("found", "more"), "mix-gaps")
-    return buckets
+            break
+        took = upto(F.col("before")) <= F.col("gap")
+        left = written(ahead(left).withColumn("took", took).drop("before"), "mix-round")
+        step = left.groupBy("source").agg(F.first("gap").alias("gap"), F.min(F.when(~F.col("took"), key())).alias("cut"), F.sum(F.when(F.col("took"), F.col("size")).otherwise(0)).alias("more"))
+        step = written(step, "mix-step")
+        rounds = rounds.unionByName(step.drop("more"))
+        gaps = of_source(gaps, step.select("source", "more"), "left").withColumn("gap", F.col("gap") - F.coalesce("more", F.lit(0))).drop("more")
+        gaps = written(gaps, "mix-sources")
+        left = left.where(~F.col("took")).drop("took", "gap")
+    rounds = rounds.groupBy("source").agg(F.collect_list(F.struct("gap", "cut")).alias("rounds"))
+    none = F.array().cast(rounds.schema["rounds"].dataType)
+    sources = written(of_source(gaps, rounds, "left").withColumn("rounds", F.coalesce("rounds", none)), "mix-sources")
+    for k in range(1 if fills is None else fills):
+        sources = nearest(rows, sources, fills is None or k == fills - 1)
+    return sources
 
 
 def plan_mix(rows: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, fills: int | None = FILLS) -> DataFrame:
-    """rows with source, size and place -> the same with source_size, target, copies and taken; ``fills`` None fills budgets until no row fits."""
-    thin = written(rows.select("source", "size", "place", "tie"), "mix-thin")
-    buckets = thin.groupBy("source", F.substring("place", 1, 3).alias("bucket")).agg(F.sum("size").alias("words"))
-    buckets = written(buckets, "mix-buckets")
-    sources = water_fill(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
-    sources = sources.withColumn("whole", F.floor("rate")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    in_order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    buckets = buckets.withColumn("before", F.coalesce(F.sum("words").over(in_order), F.lit(0)))
-    buckets = written(buckets.select("source", "bucket", "source_size", "target", "whole", "budget", "before"), "mix-plan")
-    rows = in_buckets(rows, fill_whole(thin, buckets) if fills is None else fill_gaps(thin, buckets, fills))
-    rows = rows.withColumn("copies", F.col("whole") + (F.col("fits") | F.array_contains("picked", F.col("n"))).cast("long"))
-    return rows.withColumn("taken", F.col("size") * F.col("copies")).drop("bucket", "whole", "budget", "before", "picked", "n", "fits")
+    """rows with source, size, place and tie -> the same with source_size, target, copies and taken; ``fills`` None fills budgets until no row fits."""
+    sources = decisions(rows.select("source", "size", "place", "tie"), weights, max_epochs, fills)
+    rows = of_source(rows, sources).withColumn("copies", F.col("whole") + taken_once_more().cast("long"))
+    return rows.withColumn("taken", F.col("size") * F.col("copies")).drop("whole", "budget", "cut", "rounds", "picks", "gap")
 
 
 def mix(docs: DataFrame, fills: int | None = None, **options) -> DataFrame:
