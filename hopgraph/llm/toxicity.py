@@ -51,7 +51,9 @@ FIRST_SHARE, SECOND_SHARE = 50, 20
 FIRST_BYTES, SECOND_BYTES = (4096, 16384), (1024, 16384)
 SEGMENT, DMER = 24, 8
 LEVEL = 3
-CACHE = 1 << 18
+CACHE = 1 << 16
+#: What most windows gain in both stages.
+NOTHING = (0, 0)
 GAP = "    "
 WINDOW = re.compile(r"\w+|[^\w\s]+")
 
@@ -142,7 +144,8 @@ class ToxicityModel:
             if (gain := seen.get(w)) is None:
                 if len(seen) >= CACHE:
                     seen.clear()
-                gain = seen[w] = gained(w, t1, o1), gained(w, t2, o2) if t2 else 0
+                gain = gained(w, t1, o1), gained(w, t2, o2) if t2 else 0
+                gain = seen[w] = gain if any(gain) else NOTHING
             one, two = one + gain[0], two + gain[1]
         n = max(1, len(parts))
         return math.log1p(100.0 * one / n), math.log1p(100.0 * two / n), math.log1p(len(parts))
