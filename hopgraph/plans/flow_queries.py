@@ -111,15 +111,27 @@ def h13(spark, d):
     return H.app_trees(view(spark, d, "calls").select(F.col("call_id").alias("span_id"), F.col("parent_id").alias("parent_span_id")))
 
 
-@query("h14_process_sets", C + "SELECT call_id || '/c-p' AS row_id, parent_id || '/s-p' AS parent, 2 AS rule FROM calls WHERE parent_id IS NOT NULL")
+#: Traces take turns in the ids that tell a client span's server span: span id, x-request id, system call; every 11th has its trace id only.
+PS = W + """, q AS (SELECT *, CASE WHEN tap_side = 'c-p' THEN client ELSE server END AS process FROM flow_rows WHERE tap_side IN ('c-p', 's-p')),
+ps AS (SELECT row_id, syscall_id || '/s-p' AS parent, CASE trace_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS rule FROM q WHERE tap_side = 'c-p' AND syscall_id IS NOT NULL AND trace_id % 11 <> 0
+UNION ALL SELECT c.row_id, s.row_id, 4 FROM q c JOIN q s ON s.process = c.process AND s.trace_id = c.trace_id WHERE s.tap_side = 's-p' AND s.start_us <= c.start_us AND s.end_us >= c.end_us AND c.tap_side = 'c-p' AND c.trace_id % 11 = 0
+  QUALIFY row_number() OVER (PARTITION BY c.row_id ORDER BY c.start_us - s.start_us, s.row_id) = 1)
+"""
+
+
+@query("h14_process_sets", PS + "SELECT row_id, parent, rule FROM ps")
 def h14(spark, d):
     return H.process_sets(processes(spark, d))
 
 
 def processes(spark, d):
     f = flow(spark, d).where("tap_side in ('c-p', 's-p')")
-    none = F.lit(None).cast("string")
-    return f.select("row_id", F.col("agent").alias("process"), F.col("tap_side").alias("side"), none.alias("span_id"), none.alias("parent_span_id"), F.col("syscall_id").alias("syscall"), none.alias("x_request"), F.col("mark").alias("trace_id"), "start_us", "end_us")
+    turn = lambda k: (F.col("trace_id") % 3 == k) & (F.col("trace_id") % 11 != 0)
+    side = lambda name: F.when(turn(0) & (F.col("tap_side") == name), F.col("syscall_id"))
+    return f.select(
+        "row_id", F.col("agent").alias("process"), F.col("tap_side").alias("side"), side("s-p").alias("span_id"), side("c-p").alias("parent_span_id"), F.when(turn(2), F.col("syscall_id")).alias("syscall"),
+        F.when(turn(1), F.col("syscall_id")).alias("x_request"), F.col("mark").alias("trace_id"), "start_us", "end_us",
+    )
 
 
 def whole_trees(spark, d):
@@ -129,7 +141,7 @@ def whole_trees(spark, d):
     return H.connect_sets(nets, H.process_sets(processes(spark, d)))
 
 
-@query("h15_connect_sets", W + """SELECT row_id, coalesce(lag(row_id) OVER (PARTITION BY call_id ORDER BY CASE tap_side WHEN 'c-p' THEN 2 WHEN 'c' THEN 3 WHEN 's' THEN 6 ELSE 7 END), syscall_id || '/s-p') AS parent FROM flow_rows""")
+@query("h15_connect_sets", PS + """SELECT f.row_id, coalesce(lag(f.row_id) OVER (PARTITION BY call_id ORDER BY CASE tap_side WHEN 'c-p' THEN 2 WHEN 'c' THEN 3 WHEN 's' THEN 6 ELSE 7 END), ps.parent) AS parent FROM flow_rows f LEFT JOIN ps USING (row_id)""")
 def h15(spark, d):
     return whole_trees(spark, d)
 

@@ -262,7 +262,20 @@ def likeliest(spark, d):
     return G.topk_assignments(inc, out, E.delay_model(inc, out), ["svc1", "svc2"])
 
 
-@query("g6_topk")
+def _step(before: str, endpoint: str, n: int) -> str:
+    """Each choice so far with every call of the endpoint that fits in, its score, and its rank."""
+    z = "((o.start_us - s.from_us) / 1e6 - m.mean_s) / m.std_s"
+    return f"""(SELECT *, row_number() OVER (PARTITION BY span ORDER BY score DESC, picked) AS rank FROM (SELECT s.span, s.start_us, s.end_us, o.end_us AS from_us, list_append(s.picked, o.call_id) AS picked, s.score - 0.5 * ({z}) * ({z}) - ln(m.std_s) AS score
+  FROM (SELECT *, unnest(range(CAST(floor(start_us / 1e5) AS BIGINT), CAST(floor(end_us / 1e5) AS BIGINT) + 1)) AS b FROM {before}) s
+  JOIN (SELECT *, CAST(floor(start_us / 1e5) AS BIGINT) AS b FROM calls WHERE client = 'gateway' AND server = '{endpoint}') o USING (b) JOIN m ON m.endpoint = '{endpoint}'
+  WHERE o.start_us BETWEEN s.start_us AND s.end_us AND o.end_us <= s.end_us) QUALIFY rank <= {n})"""
+
+
+@query("g6_topk", C + f""", i AS (SELECT start_us, row_number() OVER (ORDER BY start_us, call_id) AS k FROM calls WHERE server = 'gateway'), u AS (SELECT server AS endpoint, start_us AS o_us, row_number() OVER (PARTITION BY server ORDER BY start_us, call_id) AS k FROM calls WHERE client = 'gateway'),
+g AS (SELECT endpoint, (k - 1) // 100 AS b, avg(o_us - start_us) AS gap, count(*) AS n FROM u JOIN i USING (k) GROUP BY 1, 2),
+m AS (SELECT endpoint, round(sum(gap * n) / sum(n) / 1e6, 6) AS mean_s, round(greatest(coalesce(sqrt(100.0) * stddev_samp(gap) / 1e6, 0.001), 0.001), 6) AS std_s FROM g GROUP BY 1),
+s0 AS (SELECT call_id AS span, start_us, end_us, start_us AS from_us, []::VARCHAR[] AS picked, 0.0::DOUBLE AS score FROM calls WHERE server = 'gateway'), s1 AS {_step("s0", "svc1", 20)}, s2 AS {_step("s1", "svc2", 5)}
+SELECT span, 'gateway' AS service, start_us, rank::INT AS rank, picked, round(score, 6) AS score FROM s2""")
 def g6(spark, d):
     return likeliest(spark, d).withColumn("score", F.round("score", 6))
 
