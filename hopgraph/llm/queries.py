@@ -8,6 +8,7 @@ from hopgraph.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from hopgraph.llm.line_dedup import OP3_SQL, op3_line_dedup
 from hopgraph.llm.lm_scoring import op8_lm_scoring
 from hopgraph.llm.mixing import OP2_SQL, op2_source_mix
+from hopgraph.llm.periodic_runs import op13_periodic_runs
 from hopgraph.llm.pii import op6_personal_data
 from hopgraph.llm.simhash import op1_simhash
 from hopgraph.llm.substring_dedup import op7_substring_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {
