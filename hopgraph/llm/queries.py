@@ -5,6 +5,8 @@ from __future__ import annotations
 from hopgraph.llm.chat import OP4_SQL, op4_chat_format
 from hopgraph.llm.decontamination import op5_decontamination
 from hopgraph.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from hopgraph.llm.hard_negatives import OP12_SQL, op12_hard_negatives
+from hopgraph.llm.language_id import op11_language_id
 from hopgraph.llm.line_dedup import OP3_SQL, op3_line_dedup
 from hopgraph.llm.lm_scoring import op8_lm_scoring
 from hopgraph.llm.mixing import OP2_SQL, op2_source_mix
@@ -25,6 +27,8 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_language_id": op11_language_id,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -33,4 +37,5 @@ ORACLES = {
     "op3_line_dedup": OP3_SQL,
     "op4_chat_format": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
