@@ -110,36 +110,48 @@ def token_diversity(tokens: DataFrame) -> DataFrame:
 
 
 def with_tokens(calls: DataFrame) -> DataFrame:
-    """Token arrays of calls: request, response and both."""
-    req = F.filter(F.array("value_a"), lambda t: t.isNotNull())
-    res = F.filter(F.array("value_b"), lambda t: t.isNotNull())
+    """Token arrays of calls: request, response and both; from req_tokens and res_tokens, or one value each."""
+    req, res = (F.col(c) if c in calls.columns else F.array(v) for c, v in (("req_tokens", "value_a"), ("res_tokens", "value_b")))
+    req, res = (F.filter(x, lambda t: t.isNotNull()) for x in (req, res))
     return calls.select("call_id", "client", "server", req.alias("req"), res.alias("res"), F.array_union(req, res).alias("all"))
 
 
+def weight_map(res_weight: float) -> Column:
+    """Weights of a call's tokens (columns req, all): 1.0 in the request, else ``res_weight``."""
+    return F.map_from_arrays("all", F.transform("all", lambda t: F.when(F.array_contains("req", t), 1.0).otherwise(res_weight)))
+
+
+def merged_weights(a: Column, b: Column) -> Column:
+    """Two weight maps in one, the larger weight where both have a token."""
+    return F.map_zip_with(a, b, lambda _, x, y: F.greatest(x, y))
+
+
 def lineage_score(pairs: DataFrame, tokens: DataFrame, idf: DataFrame) -> DataFrame:
     """pairs(call_id, p_id, client, server) -> those that share tokens, with ``lineage``.
 
     Overlap is shared parent weight over all parent weight. Shared tokens are found within a pair's
     arrays; only they meet the idf table. All parent weight depends on the parent and the edge only,
-    and is summed there. Pairs without a shared token score zero and are left out.
+    and is summed there. Pairs without a shared token score zero and are left out. Tokens may come with
+    ``weights`` of their own as a parent's (``extend_owners``); else they are 1.0 and 0.8 by side.
     """
+    given = "weights" in tokens.columns
+    weights = [F.col("weights").alias("p_weights")] if given else []
     c = tokens.select("call_id", F.col("req").alias("c_req"), F.col("res").alias("c_res"))
-    p = tokens.select(F.col("call_id").alias("p_id"), F.col("req").alias("p_req"), F.col("res").alias("p_res"))
+    p = tokens.select(F.col("call_id").alias("p_id"), F.col("req").alias("p_req"), F.col("res").alias("p_res"), *weights)
     j = pairs.select("call_id", "p_id", "client", "server").join(c, "call_id").join(p, "p_id")
-    common = F.array_intersect(F.array_union("p_req", "p_res"), F.array_union("c_req", "c_res"))
-    met = j.withColumn("token", F.explode(common))
+    of_parent = F.array_union(F.array_union("p_req", "p_res"), F.map_keys("p_weights")) if given else F.array_union("p_req", "p_res")
+    met = j.withColumn("token", F.explode(F.array_intersect(of_parent, F.array_union("c_req", "c_res"))))
     one = lambda side: F.array_contains(side, F.col("token")).cast("double")
-    met = met.select("call_id", "p_id", "client", "server", "token", one("p_req").alias("pq"), one("p_res").alias("ps"), one("c_req").alias("cq"), one("c_res").alias("cs"))
+    weight = F.coalesce(F.try_element_at("p_weights", F.col("token")), F.lit(0.0)) if given else F.greatest(one("p_req"), 0.8 * one("p_res"))
+    met = met.select("call_id", "p_id", "client", "server", "token", one("p_req").alias("pq"), one("p_res").alias("ps"), one("c_req").alias("cq"), one("c_res").alias("cs"), weight.alias("weight"))
     met = met.join(idf, ["client", "server", "token"], "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
-    weight = lambda q, s: F.greatest(F.col(q), 0.8 * F.col(s))
     num = met.groupBy("call_id", "p_id", "client", "server").agg(
-        *[F.sum(F.col("idf") * F.col(a) * F.col(b)).alias(a + b) for a in ("pq", "ps") for b in ("cq", "cs")], F.sum(F.col("idf") * weight("pq", "ps")).alias("ctx"),
+        *[F.sum(F.col("idf") * F.col(a) * F.col(b)).alias(a + b) for a in ("pq", "ps") for b in ("cq", "cs")], F.sum(F.col("idf") * F.col("weight")).alias("ctx"),
     )
     edges = idf.select("client", "server").distinct()
-    own = tokens.select(F.col("call_id").alias("p_id"), F.col("server").alias("client"), "req", "res").join(F.broadcast(edges), "client")
-    own = own.withColumn("token", F.explode(F.array_union("req", "res"))).join(idf, ["client", "server", "token"], "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
-    q, s = F.array_contains("req", F.col("token")).cast("double"), F.array_contains("res", F.col("token")).cast("double")
-    den = own.groupBy("p_id", "client", "server").agg(F.sum(F.col("idf") * q).alias("d_req"), F.sum(F.col("idf") * s).alias("d_res"), F.sum(F.col("idf") * F.greatest(q, 0.8 * s)).alias("d_ctx"))
+    own = tokens.select(F.col("call_id").alias("p_id"), F.col("server").alias("client"), F.col("req").alias("p_req"), F.col("res").alias("p_res"), *weights).join(edges, "client")
+    own = own.withColumn("token", F.explode(of_parent)).join(idf, ["client", "server", "token"], "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
+    den = own.groupBy("p_id", "client", "server").agg(F.sum(F.col("idf") * one("p_req")).alias("d_req"), F.sum(F.col("idf") * one("p_res")).alias("d_res"), F.sum(F.col("idf") * weight).alias("d_ctx"))
     j = num.join(den, ["p_id", "client", "server"])
     over = lambda n, d: F.when(F.col(d) > 0, F.col(n) / F.col(d)).otherwise(0.0)
     blend = 0.35 * over("pqcq", "d_req") + 0.20 * over("pqcs", "d_req") + 0.30 * over("pscq", "d_res") + 0.15 * over("pscs", "d_res")
@@ -159,54 +171,96 @@ def roots_of(calls: DataFrame) -> DataFrame:
     return calls.join(servers, "client", "left_anti").select("call_id", F.col("call_id").alias("label"))
 
 
-def best_parent(cands: DataFrame, labels: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """The best labelled parent of each call: highest score; nearest start, shortest parent, id on ties."""
-    j = cands.join(labels.select(F.col("call_id").alias("p_id"), F.col("label"), F.col("context")) if "context" in labels.columns else labels.select(F.col("call_id").alias("p_id"), "label"), "p_id")
+def context_score(cands: DataFrame, contexts: DataFrame, idf: DataFrame) -> DataFrame:
+    """cands(call_id, p_id, client, server, all) and contexts(call_id, context map) of calls -> pairs with ``context``.
+
+    The share of the weight of the parent's ancestors' tokens, times their idf on the child's edge, that the child
+    has. Only tokens that a pair shares are exploded; all weight is summed once for each parent and edge that needs
+    it. Pairs that share nothing score zero and are left out.
+    """
+    above = contexts.where(F.size("context") > 0).select(F.col("call_id").alias("p_id"), "context")
+    shared = F.array_intersect(F.map_keys("context"), F.col("all"))
+    met = cands.select("call_id", "p_id", "client", "server", "all").join(above, "p_id").withColumn("token", F.explode(shared))
+    met = met.select("call_id", "p_id", "client", "server", "token", F.try_element_at("context", F.col("token")).alias("weight"))
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        return rows.join(idf, ["client", "server", "token"], "left").withColumn("mass", F.col("weight") * F.coalesce("idf", F.lit(1.0)))
+
+    num = weighed(met).groupBy("call_id", "p_id", "client", "server").agg(F.sum("mass").alias("shared"))
+    whole = num.select("p_id", "client", "server").distinct().join(above, "p_id").select("p_id", "client", "server", F.explode("context").alias("token", "weight"))
+    den = weighed(whole).groupBy("p_id", "client", "server").agg(F.sum("mass").alias("whole"))
+    return num.join(den, ["p_id", "client", "server"]).select("call_id", "p_id", (F.col("shared") / F.col("whole")).alias("context"))
+
+
+def best_parent(cands: DataFrame, labels: DataFrame, cfg: Config = Config(), contexts: DataFrame | None = None) -> DataFrame:
+    """The best labelled parent of each call: highest score; nearest start, shortest parent, id on ties.
+
+    The score is that of time, of lineage and, with ``contexts`` (``context_score``), of the parent's ancestors, by weight.
+    """
+    j = cands.join(labels.select(F.col("call_id").alias("p_id"), "label"), "p_id")
     score = cfg.lineage_weight * F.coalesce("lineage", F.lit(0.0)) + F.col("temporal")
-    if "context" in j.columns:
-        shared = F.aggregate(F.filter("context", lambda t: F.array_contains("all", t)), F.lit(0.0), lambda a, t: a + 1.0)
-        score = score + cfg.context_weight * F.when(F.size("context") > 0, shared / F.size("context")).otherwise(0.0)
+    evidence = F.lit(0.0)
+    if contexts is not None:
+        j = j.join(contexts, ["call_id", "p_id"], "left")
+        evidence = F.coalesce("context", F.lit(0.0))
+        score = score + cfg.context_weight * evidence
     order = F.struct(score.alias("score"), -F.abs(F.col("start_us") - F.col("p_start")), -(F.col("p_end") - F.col("p_start")), F.col("p_id"))
-    return j.groupBy("call_id").agg(F.max_by(F.struct("p_id", "label"), order).alias("best"), F.max(score).alias("score")).select("call_id", F.col("best.p_id").alias("parent"), F.col("best.label").alias("label"), "score")
+    best = F.struct("p_id", "label", F.coalesce("lineage", F.lit(0.0)).alias("lineage"), evidence.alias("context"))
+    return j.groupBy("call_id").agg(F.max_by(best, order).alias("best"), F.max(score).alias("score")).select("call_id", F.col("best.p_id").alias("parent"), F.col("best.label").alias("label"), "score", F.col("best.lineage").alias("won_lineage"), F.col("best.context").alias("won_context"))
+
 
+#: What a labelled call carries besides its context.
+LABELLED = ("call_id", "parent", "label", "won_lineage", "won_context")
 
-def propagate(cands: DataFrame, roots: DataFrame, cfg: Config = Config(), tokens: DataFrame | None = None, fallback=None) -> tuple[DataFrame, int, bool]:
+
+def propagate(cands: DataFrame, roots: DataFrame, cfg: Config = Config(), tokens: DataFrame | None = None, fallback=None, idf: DataFrame | None = None, evidence: bool = False) -> tuple[DataFrame, int, bool]:
     """Labels from the entry calls along best parents until nothing changes: (call_id, parent, label), rounds, converged.
 
-    Every round reads the labels of the round before. With ``tokens`` and a context weight, the tokens of a
-    parent's own ancestors are evidence too; they travel with the label. Once nothing changes, ``fallback``
-    (from labels to more candidates, for calls without a label) is asked; from then on a call none of whose
-    candidates has a label takes the best of those. ``max_rounds`` is a parameter of the method; the last value
-    returned tells whether it was enough.
+    Every round reads the labels of the round before. With ``tokens``, ``idf`` and a context weight, what a parent's own
+    ancestors have said is evidence too: a map of weights (request 1.0, response 0.9) that travels with the label and
+    grows by the parent's tokens. Where a round changes a call that had a label already, all maps are made anew from
+    the paths (``ancestor_context``), so none is out of date. Once nothing changes, ``fallback`` (from labels to more
+    candidates, for calls without a label) is asked; from then on a call none of whose candidates has a label takes
+    the best of those. ``max_rounds`` is a parameter of the method; the last value returned tells whether it was enough.
+    With ``evidence`` the lineage and context that won each call come along.
     """
     with_context = tokens is not None and cfg.context_weight > 0
+    out = LABELLED if evidence else LABELLED[:3]
+    none = F.create_map().cast("map<string,double>")
 
     def ready(c: DataFrame, name: str) -> DataFrame:
         return written(c.join(tokens.select("call_id", "all"), "call_id") if with_context else c, name)
 
+    def chosen(c: DataFrame) -> DataFrame:
+        return best_parent(c, labels, cfg, context_score(c, labels, idf) if with_context else None).select(*LABELLED)
+
     cands, spare = ready(cands, "candidates"), None
-    labels = written(roots.select("call_id", F.lit(None).cast("string").alias("parent"), "label", *([F.array().cast("array<string>").alias("context")] if with_context else [])), "labels")
+    nothing = F.lit(None).cast("double")
+    labels = written(roots.select("call_id", F.lit(None).cast("string").alias("parent"), "label", nothing.alias("won_lineage"), nothing.alias("won_context"), *([none.alias("context")] if with_context else [])), "labels")
     fixed = labels
     for done in range(1, cfg.max_rounds + 1):
-        new = best_parent(cands, labels, cfg).select("call_id", "parent", "label")
+        new = chosen(cands)
         if spare is not None:
             new = written(new, "best-parents")
-            new = new.unionByName(best_parent(spare.join(new.select("call_id"), "call_id", "left_anti"), labels, cfg).select("call_id", "parent", "label"))
+            new = new.unionByName(chosen(spare.join(new.select("call_id"), "call_id", "left_anti")))
         if with_context:
-            mine = tokens.select(F.col("call_id").alias("parent"), F.col("all").alias("p_all"))
+            mine = tokens.select(F.col("call_id").alias("parent"), weight_map(0.9).alias("p_weights"))
             above = labels.select(F.col("call_id").alias("parent"), F.col("context").alias("p_context"))
-            new = new.join(mine, "parent").join(above, "parent").select("call_id", "parent", "label", F.array_union("p_context", "p_all").alias("context"))
+            new = new.join(mine, "parent").join(above, "parent").select(*LABELLED, merged_weights(F.col("p_context"), F.col("p_weights")).alias("context"))
         new = written(fixed.unionByName(new.join(fixed.select("call_id"), "call_id", "left_anti")), "labels")
         old = labels.select("call_id", F.col("parent").alias("was"), F.col("label").alias("had"))
         same = F.col("parent").eqNullSafe(F.col("was")) & F.col("label").eqNullSafe(F.col("had"))
-        changed = not new.join(old, "call_id", "left").where(~same).isEmpty()
+        seen = new.join(old, "call_id", "left").where(~same).agg(F.count("*").alias("changed"), F.count("had").alias("revised")).first()
         labels = new
-        if not changed:
+        if seen.revised and with_context:
+            paths = ancestor_context(labels.select("call_id", "parent", "label"), tokens).groupBy("call_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("context"))
+            labels = written(labels.drop("context").join(paths, "call_id", "left").withColumn("context", F.coalesce("context", none)), "labels")
+        if not seen.changed:
             more = ready(fallback(labels), "fallback-candidates") if fallback is not None and spare is None else None
             if more is None or more.isEmpty():
-                return labels.select("call_id", "parent", "label"), done, True
+                return labels.select(*out), done, True
             spare = more
-    return labels.select("call_id", "parent", "label"), cfg.max_rounds, False
+    return labels.select(*out), cfg.max_rounds, False
 
 
 #: Weights of payload evidence between a pair and of the ancestors' tokens, and whether containment fills what is left.
@@ -218,7 +272,7 @@ def infer(calls: DataFrame, variant: str = "full", cfg: Config = Config()) -> tu
     lineage, context, contain = VARIANTS[variant]
     cfg = replace(cfg, lineage_weight=lineage, context_weight=context)
     tokens = with_tokens(calls)
-    idf = edge_idf(tokens) if lineage else None
+    idf = edge_idf(tokens)
 
     def scored(pairs: DataFrame) -> DataFrame:
         if lineage:
@@ -229,7 +283,9 @@ def infer(calls: DataFrame, variant: str = "full", cfg: Config = Config()) -> tu
         left = written(calls.join(labels.select("call_id"), "call_id", "left_anti"), "unlabelled")
         return scored(fallback_candidates(calls, cfg, left))
 
-    labels, rounds, whole = propagate(scored(strict_candidates(calls, cfg)), roots_of(calls), cfg, tokens if context else None, late)
+    if context:
+        idf = written(idf, "edge-idf")
+    labels, rounds, whole = propagate(scored(strict_candidates(calls, cfg)), roots_of(calls), cfg, tokens if context else None, late, idf)
     return (containment_fallback(calls, labels) if contain else labels), rounds, whole
 
 
@@ -342,3 +398,19 @@ def attach_db_lineage(calls: DataFrame, db: DataFrame, min_score: float = 0.08,
     order = w.orderBy(F.desc("score"), F.col("p_end") - F.col("p_start"), F.abs(F.col("start_us") - F.col("p_start")), "owner")
     j = j.withColumn("score", score).withColumn("second", F.coalesce(F.lead("score").over(order), F.lit(0.0))).withColumn("rank", F.row_number().over(order))
     return j.where((F.col("rank") == 1) & (F.col("score") >= min_score) & (F.col("score") - F.col("second") >= margin)).select("db_id", "owner", F.round("score", 6).alias("score"))
+
+
+def extend_owners(tokens: DataFrame, db_tokens: DataFrame, owners: DataFrame) -> DataFrame:
+    """tokens with those of the database calls that a call owns (owners: db_id, owner), and ``weights`` of all as a parent's.
+
+    Requests of the database count as the owner's request; as a parent's they weigh 0.9 and results 0.2, the owner's
+    own 1.0 and 0.8, the larger where several say so. Results are evidence for children only.
+    """
+    d = owners.select("db_id", "owner").join(db_tokens.select(F.col("call_id").alias("db_id"), F.col("req").alias("d_req"), F.col("res").alias("d_res")), "db_id")
+    part = lambda side, weight: d.select("owner", F.explode(side).alias("token"), F.lit(weight).alias("weight"))
+    met = part("d_req", 0.9).unionByName(part("d_res", 0.2)).groupBy("owner", "token").agg(F.max("weight").alias("weight"))
+    asked = F.array_sort(F.collect_list(F.when(F.col("weight") == 0.9, F.col("token"))))
+    more = met.groupBy(F.col("owner").alias("call_id")).agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("db_weights"), asked.alias("asked"))
+    j = tokens.join(more, "call_id", "left").withColumn("weights", F.when(F.col("db_weights").isNull(), weight_map(0.8)).otherwise(merged_weights(weight_map(0.8), F.col("db_weights"))))
+    asked = F.coalesce("asked", F.array().cast("array<string>"))
+    return j.select("call_id", "client", "server", F.array_union("req", asked).alias("req"), "res", F.array_union("all", asked).alias("all"), "weights")

@@ -26,6 +26,17 @@ FROM (SELECT l_orderkey, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey)
 WHERE l.n % 2 = 0
 """
 
+#: The same calls with another payload: a store call knows its trace's customer, which its parent's request doesn't say,
+#: and a tier that is as often another trace's as its own. Parents last longer and store calls come later, so that the
+#: nearest parent is often another trace's: its parent's ancestors decide, and rare tokens among theirs.
+DEEP_CALLS = f"""
+SELECT c.call_id, c.parent_id, c.trace_id, c.client, c.server, c.start_us + CASE WHEN c.server = 'store' THEN o.o_orderkey * 7919 % 3000 ELSE 0 END AS start_us,
+  c.end_us + CASE WHEN c.server = 'store' THEN o.o_orderkey * 7919 % 3000 WHEN c.client = 'gateway' THEN 3000 ELSE 0 END AS end_us,
+  CASE WHEN c.server = 'store' THEN 'cus-' || o.o_custkey ELSE c.value_a END AS value_a, c.value_b,
+  CASE WHEN c.server = 'store' THEN 'tier-' || (o.o_orderkey % 2) WHEN c.client = 'ext' THEN 'tier-' || (o.o_custkey % 2) END AS value_c
+FROM ({CALLS}) c JOIN {{orders}} o ON o.o_orderkey = c.trace_id
+"""
+
 #: Two rows a call; the response's payload is the second value.
 MESSAGES = f"""
 SELECT 'HTTP/1.1' AS protocol_type, k.msg_type, CASE WHEN k.msg_type = 'Request' THEN c.start_us ELSE c.end_us END AS time_us,
@@ -80,7 +91,7 @@ FROM (SELECT x.*, CAST(x.trace_id AS BIGINT) AS n, 'trace-' || lpad(x.trace_id,
 """
 
 VIEWS = {
-    "calls": CALLS, "messages": MESSAGES, "predictions": PREDICTIONS, "conversation_messages": CONVERSATION_MESSAGES,
+    "calls": CALLS, "deep_calls": DEEP_CALLS, "messages": MESSAGES, "predictions": PREDICTIONS, "conversation_messages": CONVERSATION_MESSAGES,
     "load_requests": LOAD_REQUESTS, "flow_rows": FLOW_ROWS, "observations": OBSERVATIONS, "labelled": LABELLED,
 }
 

@@ -156,6 +156,20 @@ def c12(spark, d):
     return K.attach_db_lineage(c.where("server <> 'store'"), c.where("server = 'store'"))
 
 
+@query("c12_extend_owners", C + """, o AS (SELECT c.call_id, c.value_a, c.value_b, d.value_a AS d_req, d.value_b AS d_res FROM calls c LEFT JOIN calls d ON d.parent_id = c.call_id AND d.server = 'store' WHERE c.server <> 'store'),
+w AS (SELECT call_id, token, max(w)::DOUBLE AS weight FROM (SELECT call_id, value_a AS token, 1.0 AS w FROM o UNION ALL SELECT call_id, value_b, 0.8 FROM o UNION ALL SELECT call_id, d_req, 0.9 FROM o UNION ALL SELECT call_id, d_res, 0.2 FROM o) WHERE token IS NOT NULL GROUP BY 1, 2)
+SELECT call_id, string_agg(token || '=' || weight, ',' ORDER BY token) AS weights FROM w GROUP BY 1""")
+def c12b(spark, d):
+    """The tokens of a call after it has taken in those of the database calls found to be its own."""
+    c = calls(spark, d).withColumn("strong", F.filter(F.array("value_a", "value_b"), lambda v: v.startswith("prt-")))
+    # Of the calls that are alike in strong tokens only a containing one is the owner; parts are rare enough for one owner each.
+    store = c.where("server = 'store'")
+    owners = store.select(F.col("call_id").alias("db_id"), F.col("parent_id").alias("owner"))
+    out = K.extend_owners(K.with_tokens(c.where("server <> 'store'")), K.with_tokens(store), owners)
+    said = F.transform(F.array_sort(F.map_entries("weights")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return out.select("call_id", F.concat_ws(",", said).alias("weights"))
+
+
 CANDS = """j AS (SELECT c.call_id, c.client, c.server, c.start_us, c.end_us, p.call_id AS p_id, p.start_us AS p_start, p.end_us AS p_end, greatest(p.start_us - c.start_us, 0) + greatest(c.end_us - p.end_us, 0) AS outside_us
   FROM calls c JOIN (SELECT *, unnest(range(CAST(floor((start_us - 50000) / 1e5) AS BIGINT), CAST(floor((end_us + 80000) / 1e5) AS BIGINT) + 1)) AS b FROM calls) p
   ON p.server = c.client AND p.b = CAST(floor(c.start_us / 1e5) AS BIGINT) WHERE c.start_us BETWEEN p.start_us - 50000 AND p.end_us + 80000),
@@ -212,6 +226,54 @@ def q5b(spark, d):
     return K.infer(calls(spark, d), "full")[0]
 
 
+def deep(spark, d):
+    """Calls whose parents' ancestors decide (fixtures.DEEP_CALLS), with token arrays."""
+    c = view(spark, d, "deep_calls")
+    return c.withColumn("req_tokens", F.array("value_a", "value_c")).withColumn("res_tokens", F.array("value_b"))
+
+
+# All store calls and their parents are contained, so pairs are the strict ones. Entry calls are labelled first, then the services' calls by lineage,
+# then the store's by lineage and by what their candidates' parents, entry calls without ancestors, have said.
+DEEP = duck("deep_calls") + """, t AS (SELECT call_id, client, server, list_filter([value_a, value_c], lambda v: v IS NOT NULL) AS req, [value_b] AS res, list_distinct(list_filter([value_a, value_c, value_b], lambda v: v IS NOT NULL)) AS "all" FROM deep_calls),
+n AS (SELECT client, server, count(*) AS n FROM t GROUP BY 1, 2), u AS (SELECT client, server, unnest("all") AS token FROM t), idf AS (SELECT client, server, token, ln((any_value(n) + 1) / (count(*) + 1)) + 1 AS idf FROM u JOIN n USING (client, server) GROUP BY 1, 2, 3),
+prs AS (SELECT c.call_id, p.call_id AS p_id, c.client, c.server, c.start_us, p.start_us AS p_start, p.end_us AS p_end FROM deep_calls c JOIN deep_calls p ON p.server = c.client AND p.start_us <= c.start_us AND p.end_us >= c.end_us),
+tok AS (SELECT t.call_id AS p_id, e.server, x.token, coalesce(idf, 1.0) AS idf, list_contains(req, x.token) AS q, list_contains(res, x.token) AS s
+  FROM t JOIN (SELECT DISTINCT client, server FROM t) e ON e.client = t.server, unnest(t."all") x(token) LEFT JOIN idf ON idf.client = t.server AND idf.server = e.server AND idf.token = x.token),
+den AS (SELECT p_id, server, sum(idf * q::INT) AS dq, sum(idf * s::INT) AS ds, sum(idf * greatest(q::INT, 0.8 * s::INT)) AS dw FROM tok GROUP BY 1, 2),
+num AS (SELECT r.call_id, r.p_id, r.server, sum(idf * greatest(q::INT, 0.8 * s::INT)) AS w, sum(idf * (q AND list_contains(c.req, token))::INT) AS qq, sum(idf * (q AND list_contains(c.res, token))::INT) AS qs, sum(idf * (s AND list_contains(c.req, token))::INT) AS sq, sum(idf * (s AND list_contains(c.res, token))::INT) AS ss
+  FROM prs r JOIN t c USING (call_id) JOIN tok ON tok.p_id = r.p_id AND tok.server = r.server AND list_contains(c."all", token) GROUP BY 1, 2, 3),
+lin AS (SELECT call_id, p_id, greatest(w / dw, coalesce(0.35 * qq / nullif(dq, 0), 0) + coalesce(0.2 * qs / nullif(dq, 0), 0) + coalesce(0.3 * sq / nullif(ds, 0), 0) + coalesce(0.15 * ss / nullif(ds, 0), 0)) AS lineage FROM num JOIN den USING (p_id, server)),
+mid AS (SELECT r.call_id, r.p_id AS parent, lineage AS won FROM prs r LEFT JOIN lin USING (call_id, p_id) WHERE r.client = 'gateway' QUALIFY row_number() OVER (PARTITION BY r.call_id ORDER BY {lineage} * coalesce(lineage, 0) DESC, abs(start_us - p_start), p_end - p_start, r.p_id DESC) = 1),
+ctx AS (SELECT m.call_id AS p_id, x.token, CASE WHEN list_contains(a.req, x.token) THEN 1.0 ELSE 0.9 END AS weight FROM mid m JOIN t a ON a.call_id = m.parent, unnest(a."all") x(token)),
+cs AS (SELECT r.call_id, r.p_id, sum(weight * coalesce(idf, 1.0) * list_contains(c."all", ctx.token)::INT) / sum(weight * coalesce(idf, 1.0)) AS context FROM prs r JOIN t c USING (call_id) JOIN ctx USING (p_id) LEFT JOIN idf ON idf.client = r.client AND idf.server = r.server AND idf.token = ctx.token WHERE r.server = 'store' GROUP BY 1, 2),
+low AS (SELECT r.call_id, r.p_id AS parent, lineage AS won, context FROM prs r LEFT JOIN lin USING (call_id, p_id) LEFT JOIN cs USING (call_id, p_id) WHERE r.server = 'store' QUALIFY row_number() OVER (PARTITION BY r.call_id ORDER BY {lineage} * coalesce(lineage, 0) + {context} * coalesce(context, 0) DESC, abs(start_us - p_start), p_end - p_start, r.p_id DESC) = 1),
+pred AS (SELECT call_id, NULL AS parent, call_id AS label, NULL::DOUBLE AS won FROM deep_calls WHERE client = 'ext' UNION ALL SELECT call_id, parent, parent, won FROM mid UNION ALL SELECT l.call_id, l.parent, m.parent, l.won FROM low l JOIN mid m ON m.call_id = l.parent)
+"""
+
+
+@query("q5_infer_context", DEEP.replace("{lineage}", "20").replace("{context}", "40") + "SELECT call_id, parent, label, true AS converged FROM pred")
+def q5c(spark, d):
+    """The full variant where only the ancestors' tokens tell parents apart; ``converged`` says whether the rounds were enough."""
+    labels, _, whole = K.infer(deep(spark, d), "full")
+    return labels.withColumn("converged", F.lit(whole))
+
+
+@query("q5_variants_deep", " UNION ALL ".join(
+    f"SELECT * FROM ({DEEP.replace('{lineage}', a).replace('{context}', b)}SELECT '{v}' AS variant, count(*) FILTER (p.parent = c.parent_id) AS right_parents, count(*) FILTER (p.label = 'r-' || c.trace_id) AS right_labels, count(*) AS store_calls FROM deep_calls c JOIN pred p USING (call_id) WHERE c.server = 'store')"
+    for v, a, b in (("time", "0", "0"), ("no-context", "20", "0"), ("context", "0", "40"), ("full", "20", "40"))))
+def q5d(spark, d):
+    """What each kind of evidence finds of the store's calls: without the ancestors few, with them nearly all."""
+    c = deep(spark, d)
+    known = c.where("server = 'store'").select("call_id", "parent_id", F.concat(F.lit("r-"), F.col("trace_id").cast("string")).alias("truth"))
+    out = None
+    for variant in ("time", "no-context", "context", "full"):
+        j = known.join(K.infer(c, variant)[0], "call_id", "left")
+        n = lambda e: F.sum(F.coalesce(e, F.lit(False)).cast("long"))
+        row = j.agg(n(F.col("parent") == F.col("parent_id")).alias("right_parents"), n(F.col("label") == F.col("truth")).alias("right_labels"), F.count("*").alias("store_calls")).select(F.lit(variant).alias("variant"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 TRUTH = "SELECT call_id, parent_id AS parent, 'r-' || trace_id AS label FROM calls"
 
 
