@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopgraph.operators.common import written
+from hopgraph.operators.common import ranked, written
+from hopgraph.operators.topology import SLICE_US, delay_chain, endpoint_order
 
 FORBIDDEN = 1e15
 
@@ -184,47 +187,101 @@ def apply_policy(graph: DataFrame, fallback: DataFrame, policy: DataFrame) -> Da
     return keep.unionByName(fallback.join(F.broadcast(ok), ["client", "server"], "left_semi").select(keep.columns))
 
 
-def topk_assignments(incoming: DataFrame, outgoing: DataFrame, model: DataFrame, endpoints: list[str], k: int = 5, beam: int = 20, width: int = 100_000) -> DataFrame:
+def in_windows(incoming: DataFrame, window: int = 100) -> DataFrame:
+    """Incoming spans with the number of their window of ``window`` spans by start."""
+    spans = ranked(incoming.select("call_id", "service", "start_us", "end_us"), ["service"], F.expr(f"start_us div {SLICE_US}"), ["start_us", "call_id"])
+    return spans.select("call_id", "service", "start_us", "end_us", F.expr(f"k div {window}").alias("window"))
+
+
+def topk_assignments(
+    incoming: DataFrame, outgoing: DataFrame, order: DataFrame, model: DataFrame, k: int = 5, beam: int = 20, candidates: int = 20, parallel: bool = False, window: int = 100, width: int = 100_000
+) -> DataFrame:
     """The k likeliest choices of one outgoing call per endpoint for each incoming span, endpoint after endpoint.
 
-    incoming(call_id, service, start_us, end_us), outgoing(call_id, service, endpoint, start_us, end_us), model(service, endpoint, mean_s, std_s).
-    After each endpoint the best ``beam`` partial choices stay, so cost is linear in endpoints.
+    incoming(call_id, service, start_us, end_us), outgoing(call_id, service, endpoint, start_us, end_us), order and
+    model as of ``endpoint_order`` and ``delay_chain``. One after another, a call begins after the one before has
+    ended, and the time from the last one's end to the incoming end counts too; in parallel, it begins no earlier
+    than the one before and only times from the incoming start count. At each endpoint a partial choice goes on with
+    the ``candidates`` calls nearest to the expected start; then the best ``beam`` partial choices of a span stay.
     """
-    state = incoming.select(F.col("call_id").alias("span"), "service", "start_us", "end_us", F.col("start_us").alias("from_us"), F.array().cast("array<string>").alias("picked"), F.lit(0.0).alias("score"))
-    for e in endpoints:
-        o = outgoing.where(F.col("endpoint") == e).join(F.broadcast(model), ["service", "endpoint"]).select("service", F.col("call_id").alias("out_id"), F.col("start_us").alias("o_start"), F.col("end_us").alias("o_end"), "mean_s", "std_s")
-        o = o.withColumn("bucket", F.floor(F.col("o_start") / width))
-        s = state.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor(F.col("end_us") / width))))
-        j = s.join(o, ["service", "bucket"]).where("o_start between start_us and end_us and o_end <= end_us")
-        z = ((F.col("o_start") - F.col("from_us")) / 1e6 - F.col("mean_s")) / F.col("std_s")
-        step = j.select("span", "service", "start_us", "end_us", F.col("o_end").alias("from_us"), F.array_append("picked", F.col("out_id")).alias("picked"), (F.col("score") - 0.5 * z * z - F.log("std_s")).alias("score"))
-        best = Window.partitionBy("span").orderBy(F.desc("score"), "picked")
-        state = step.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= beam).drop("rank")
-    best = Window.partitionBy("span").orderBy(F.desc("score"), "picked")
+    order, model = written(order, "endpoint-order"), written(model, "delay-chain")
+    spans = (incoming if "window" in incoming.columns else in_windows(incoming, window)).withColumnRenamed("call_id", "span")
+    lengths = order.groupBy("service").agg(F.count("*").cast("int").alias("endpoints"))
+    state = spans.join(lengths, "service").withColumn("from_us", F.col("start_us")).withColumn("picked", F.array().cast("array<string>")).withColumn("score", F.lit(0.0))
+    calls = outgoing.join(order, ["service", "endpoint"]).select("service", "place", F.col("call_id").alias("out_id"), F.col("start_us").alias("o_start"), F.col("end_us").alias("o_end"))
+    calls = calls.withColumn("bucket", F.floor(F.col("o_start") / width))
+    best = Window.partitionBy("service", "span").orderBy(F.desc("score"), "picked")
+    log_likelihood = lambda gap: -0.5 * F.pow((gap - F.col("mean_us")) / F.col("std_us"), 2) - F.log("std_us") - 0.5 * math.log(2 * math.pi)
+    columns = state.columns
+    for place in range(lengths.agg(F.max("endpoints")).first()[0] or 0):
+        # Services with fewer endpoints are through.
+        on, through = state.where(F.col("endpoints") > place), state.where(F.col("endpoints") <= place)
+        s = on.join(model.where(F.col("place") == place).drop("place"), ["service", "window"])
+        s = s.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("from_us") / width), F.floor(F.col("end_us") / width))))
+        j = s.join(calls.where(F.col("place") == place).drop("place"), ["service", "bucket"]).where("o_start >= from_us and o_end <= end_us")
+        since = F.col("start_us") if parallel else F.col("from_us")
+        near = Window.partitionBy("service", "span", "picked").orderBy(F.abs(F.col("o_start") - since - F.col("mean_us")), "o_start", "out_id")
+        j = j.withColumn("nearest", F.row_number().over(near)).where(F.col("nearest") <= candidates)
+        step = j.withColumn("score", F.col("score") + log_likelihood(F.col("o_start") - since)).withColumn("picked", F.array_append("picked", F.col("out_id")))
+        step = step.withColumn("from_us", F.col("o_start") if parallel else F.col("o_end")).select(*columns)
+        state = step.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= beam).select(*columns).unionByName(through)
+    if not parallel:
+        last = state.join(model.withColumnRenamed("place", "endpoints"), ["service", "window", "endpoints"])
+        state = last.withColumn("score", F.col("score") + log_likelihood(F.col("end_us") - F.col("from_us"))).select(*columns)
     return state.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("span", "service", "start_us", "rank", "picked", "score")
 
 
-def resolve_conflicts(topk: DataFrame, batch: int = 30, slice_us: int = 60_000_000) -> DataFrame:
-    """One assignment a span and no shared call: batches of ``batch`` spans by time slice and start, within a batch by score.
+def _greedy(g: pd.DataFrame) -> pd.DataFrame:
+    """Of assignments in order, those whose span and calls are free."""
+    used, keep = set(), []
+    for at, (span, picked) in enumerate(zip(g["span"], g["picked"])):
+        needs = {("span", span), *(("call", c) for c in picked)}
+        if not needs & used:
+            used |= needs
+            keep.append(at)
+    return g.iloc[keep]
 
-    An assignment is taken once it comes first among all open ones that share its span or one of its calls,
-    whatever slice those are in; the ones it shares with are out then. Taking all such assignments of a round
-    at once gives what going through the whole order one by one would give.
+
+def resolve_conflicts(topk: DataFrame, batch: int = 30, block: int = 100) -> DataFrame:
+    """One assignment a span and no shared call: batches of ``batch`` spans by start, within a batch by score.
+
+    Blocks of ``block`` batches go through their assignments one by one, all blocks at a time. A call that several
+    blocks want goes to the earliest; an assignment that loses one is out, and its span takes part in the next round
+    with what it has left. A block contends with those only whose spans overlap its own, so rounds don't grow
+    with the data. Within a block the result is that of going through the whole order one by one.
     """
-    spans = topk.groupBy("service", "span").agg(F.min("start_us").alias("start_us")).withColumn("slice", F.expr(f"start_us div {slice_us}"))
-    place = F.row_number().over(Window.partitionBy("service", "slice").orderBy("start_us", "span")) - 1
-    spans = spans.select("service", "span", "slice", F.floor(place / batch).alias("batch"))
-    order = F.struct("slice", "batch", (-F.col("score")).alias("worse"), "span", "rank")
-    needs = F.concat(F.array(F.concat(F.lit("span "), "span")), F.transform("picked", lambda c: F.concat(F.lit("call "), c)))
-    still = written(topk.join(spans, ["service", "span"]).select("service", "span", "rank", "picked", "score", order.alias("order"), F.array_distinct(needs).alias("needs")), "conflicts")
+    topk = written(topk, "topk")
+    spans = ranked(topk.groupBy("service", "span").agg(F.min("start_us").alias("start_us")), ["service"], F.expr(f"start_us div {SLICE_US}"), ["start_us", "span"])
+    spans = spans.select("service", "span", F.expr(f"k div {batch}").alias("batch"), F.expr(f"k div {batch * block}").alias("block"))
+    fields = "service string, span string, picked array<string>, score double, rank int, batch long, block long"
+    still = written(topk.join(spans, ["service", "span"]).select("service", "span", "picked", "score", F.col("rank").cast("int").alias("rank"), "batch", "block"), "conflicts")
     out = None
     while not still.isEmpty():
-        met = still.select("service", "span", "rank", "order", F.explode("needs").alias("need"))
-        first = met.groupBy("service", "need").agg(F.min("order").alias("first"))
-        wins = met.join(first, ["service", "need"]).groupBy("service", "span", "rank").agg(F.every(F.col("order") == F.col("first")).alias("wins")).where("wins")
-        taken = written(still.join(wins.drop("wins"), ["service", "span", "rank"]), "conflict-round")
+        want = still.groupBy("service", "block").applyInPandas(lambda g: _greedy(g.assign(worse=-g["score"]).sort_values(["batch", "worse", "span", "rank"], kind="stable")).drop(columns="worse")[[f.split()[0] for f in fields.split(", ")]], fields)
+        want = written(want, "conflict-wants")
+        calls = want.select("service", "block", "span", F.explode("picked").alias("call"))
+        first = calls.groupBy("service", "call").agg(F.min("block").alias("first"))
+        lost = calls.join(first, ["service", "call"]).where("block > first").select("service", "span").distinct()
+        taken = written(want.join(lost, ["service", "span"], "left_anti"), "conflict-round")
         out = taken if out is None else out.unionByName(taken)
-        gone = taken.select("service", F.explode("needs").alias("need"))
-        lost = met.join(gone, ["service", "need"], "left_semi").select("service", "span", "rank").distinct()
-        still = written(still.join(lost, ["service", "span", "rank"], "left_anti"), "conflicts")
-    return (still if out is None else out).select("span", "picked", "score")
+        still = still.join(taken.select("service", "span"), ["service", "span"], "left_anti")
+        hit = still.select("service", "span", "rank", F.explode("picked").alias("call")).join(taken.select("service", F.explode("picked").alias("call")), ["service", "call"], "left_semi")
+        still = written(still.join(hit.select("service", "span", "rank").distinct(), ["service", "span", "rank"], "left_anti"), "conflicts")
+    return (still if out is None else out).select("service", "span", "picked", "score")
+
+
+def assign_sequences(incoming: DataFrame, outgoing: DataFrame, parallel: bool = False, rounds: int = 3, **more) -> DataFrame:
+    """(service, span, picked, score, round): likeliest choices without conflicts; spans left over choose again among the calls left, up to ``rounds`` times."""
+    order = endpoint_order(outgoing)
+    model = written(delay_chain(incoming, outgoing, order, parallel=parallel), "delay-chain")
+    order = written(order, "endpoint-order")
+    incoming, out = written(in_windows(incoming), "spans-left"), None
+    for done in range(1, rounds + 1):
+        found = resolve_conflicts(topk_assignments(incoming, outgoing, order, model, parallel=parallel, **more)).withColumn("round", F.lit(done))
+        found = written(found, "sequences")
+        if found.isEmpty():
+            break
+        out = found if out is None else out.unionByName(found)
+        incoming = written(incoming.join(found.select("service", F.col("span").alias("call_id")), ["service", "call_id"], "left_anti"), "spans-left")
+        outgoing = written(outgoing.join(found.select("service", F.explode("picked").alias("call_id")), ["service", "call_id"], "left_anti"), "calls-left")
+    return found if out is None else out

@@ -110,6 +110,46 @@ def delay_model(incoming: DataFrame, outgoing: DataFrame, batch: int = 100) -> D
     return b.groupBy("service", "endpoint").agg(F.round(F.sum(F.col("gap") * F.col("n")) / F.sum("n") / 1e6, 6).alias("mean_s"), F.round(std, 6).alias("std_s"))
 
 
+def endpoint_order(outgoing: DataFrame) -> DataFrame:
+    """(service, endpoint, place from 0): a service's endpoints by the first call that it made to each."""
+    first = outgoing.groupBy("service", "endpoint").agg(F.min("start_us").alias("first_us"))
+    return first.select("service", "endpoint", (F.row_number().over(Window.partitionBy("service").orderBy("first_us", "endpoint")) - 1).alias("place"))
+
+
+def delay_chain(incoming: DataFrame, outgoing: DataFrame, order: DataFrame, window: int = 100, parallel: bool = False, batches: int = 10) -> DataFrame:
+    """(service, window, place, mean_us, std_us): how long each step takes, for each ``window`` of incoming spans by start.
+
+    Both sides of a step are ranked on their own and compared rank by rank. One after another: from the incoming
+    start to the first endpoint's start (place 0), from an endpoint's end to the next one's start, and from the
+    last one's end to the incoming end (one place more than endpoints). In parallel: from the incoming start to every
+    endpoint's start. The deviation is that of ``batches`` batch means times the root of a batch's size, 0.001 where
+    there is none.
+    """
+    i = incoming.select("service", "start_us", "end_us", "call_id")
+    o = outgoing.join(order, ["service", "endpoint"]).select("service", "place", "start_us", "end_us", "call_id")
+
+    def series(df: DataFrame, keys: list[str], time: str) -> DataFrame:
+        r = ranked(df.select(*keys, F.col(time).alias("t"), "call_id"), keys, F.expr(f"t div {SLICE_US}"), ["t", "call_id"])
+        return r.select(*keys, "t", "k")
+
+    ends = order.groupBy("service").agg(F.count("*").cast("int").alias("place"))
+    start = series(i, ["service"], "start_us")
+    begun = series(o, ["service", "place"], "start_us")
+    if parallel:
+        steps = begun.withColumnRenamed("t", "to").join(start.withColumnRenamed("t", "from"), ["service", "k"])
+    else:
+        done = series(o, ["service", "place"], "end_us").withColumn("place", F.col("place") + 1)
+        from_us = start.withColumn("place", F.lit(0)).unionByName(done).withColumnRenamed("t", "from")
+        to_us = begun.unionByName(series(i, ["service"], "end_us").join(ends, "service")).withColumnRenamed("t", "to")
+        steps = from_us.join(to_us, ["service", "place", "k"])
+    of_window = Window.partitionBy("service", "place", "window")  # at most ``window`` rows
+    d = steps.select("service", "place", F.expr(f"k div {window}").alias("window"), (F.col("k") % window).alias("at"), (F.col("to") - F.col("from")).alias("gap")).withColumn("size", F.ceil(F.count("*").over(of_window) / batches))
+    b = d.groupBy("service", "place", "window", "size", F.expr("at div size").alias("batch")).agg(F.sum("gap").alias("total"), F.count("*").alias("n"))
+    std = F.sqrt("size") * F.stddev_samp(F.col("total") / F.col("n"))
+    b = b.groupBy("service", "place", "window", "size").agg((F.sum("total") / F.sum("n")).alias("mean_us"), std.alias("std_us"))
+    return b.select("service", "window", "place", "mean_us", F.when(F.col("std_us") >= 1e-12, F.col("std_us")).otherwise(0.001).alias("std_us"))
+
+
 def edge_vectors(calls: DataFrame) -> DataFrame:
     """By trace: its edges with their occurrences as one sorted array."""
     e = calls.groupBy("trace_id", "client", "server").agg(F.count("*").alias("n"))

@@ -37,6 +37,18 @@ SELECT c.call_id, c.parent_id, c.trace_id, c.client, c.server, c.start_us + CASE
 FROM ({CALLS}) c JOIN {{orders}} o ON o.o_orderkey = c.trace_id
 """
 
+#: Calls one after another: an entry call of an order with lines 1 to 3 calls three services in turn, each once.
+CHAIN_CALLS = f"""
+SELECT 'r-' || o_orderkey AS call_id, CAST(NULL AS STRING) AS parent_id, 'ext' AS client, 'gateway' AS server,
+  {BASE_US} + o_orderkey * 2500 AS start_us, {BASE_US} + o_orderkey * 2500 + 20000 + (o_custkey * 37) % 30000 AS end_us
+FROM {{orders}} JOIN (SELECT l_orderkey FROM {{lineitem}} WHERE l_linenumber <= 3 GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) = 3) l3 ON l_orderkey = o_orderkey
+UNION ALL
+SELECT 'c-' || o.o_orderkey || '-' || l.n, 'r-' || o.o_orderkey, 'gateway', 'svc' || l.n,
+  {BASE_US} + o.o_orderkey * 2500 + l.n * 6000 - 5000 + l.p % 700, {BASE_US} + o.o_orderkey * 2500 + l.n * 6000 - 5000 + l.p % 700 + 2000 + (l.p * 13) % 3000
+FROM (SELECT l_orderkey, l_linenumber AS n, min(l_partkey) AS p FROM {{lineitem}} WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber) l
+  JOIN {{orders}} o ON o.o_orderkey = l.l_orderkey JOIN (SELECT l_orderkey FROM {{lineitem}} WHERE l_linenumber <= 3 GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) = 3) l3 ON l3.l_orderkey = o.o_orderkey
+"""
+
 #: Two rows a call; the response's payload is the second value.
 MESSAGES = f"""
 SELECT 'HTTP/1.1' AS protocol_type, k.msg_type, CASE WHEN k.msg_type = 'Request' THEN c.start_us ELSE c.end_us END AS time_us,
@@ -91,7 +103,7 @@ FROM (SELECT x.*, CAST(x.trace_id AS BIGINT) AS n, 'trace-' || lpad(x.trace_id,
 """
 
 VIEWS = {
-    "calls": CALLS, "deep_calls": DEEP_CALLS, "messages": MESSAGES, "predictions": PREDICTIONS, "conversation_messages": CONVERSATION_MESSAGES,
+    "calls": CALLS, "deep_calls": DEEP_CALLS, "chain_calls": CHAIN_CALLS, "messages": MESSAGES, "predictions": PREDICTIONS, "conversation_messages": CONVERSATION_MESSAGES,
     "load_requests": LOAD_REQUESTS, "flow_rows": FLOW_ROWS, "observations": OBSERVATIONS, "labelled": LABELLED,
 }
 

@@ -255,31 +255,75 @@ def g5b(spark, d):
     return G.learn_thresholds(stats, stats.select("client", "server", (F.col("client") == "gateway").alias("accept")), {"p50_us": 5000.0, "p95_us": 9500.0})
 
 
-def likeliest(spark, d):
-    c = view(spark, d, "calls")
+def spans_of(spark, d):
+    """Incoming spans of the gateway and its outgoing calls, one after another."""
+    c = view(spark, d, "chain_calls")
     inc = c.where("server = 'gateway'").select("call_id", F.col("server").alias("service"), "start_us", "end_us")
     out = c.where("client = 'gateway'").select("call_id", F.col("client").alias("service"), F.col("server").alias("endpoint"), "start_us", "end_us")
-    return G.topk_assignments(inc, out, E.delay_model(inc, out), ["svc1", "svc2"])
+    return inc, out
+
+
+# Endpoints in the order of their first calls: svc1, svc2, svc3. A step goes from one series of times to another, each ranked on its own.
+CHAIN = duck("chain_calls") + """, i AS (SELECT call_id, start_us, end_us, row_number() OVER (ORDER BY start_us, call_id) - 1 AS k FROM chain_calls WHERE server = 'gateway'), o AS (SELECT call_id, server AS endpoint, start_us, end_us FROM chain_calls WHERE client = 'gateway'),
+series AS (SELECT 'in.s' AS s, start_us AS t, k FROM i UNION ALL SELECT 'in.e', end_us, row_number() OVER (ORDER BY end_us) - 1 FROM i UNION ALL SELECT endpoint || '.s', start_us, row_number() OVER (PARTITION BY endpoint ORDER BY start_us) - 1 FROM o UNION ALL SELECT endpoint || '.e', end_us, row_number() OVER (PARTITION BY endpoint ORDER BY end_us) - 1 FROM o),
+steps(place, a, b) AS (VALUES {steps}),
+d AS (SELECT place, x.k // 100 AS w, x.k % 100 AS pos, y.t - x.t AS gap, ceil(count(*) OVER (PARTITION BY place, x.k // 100) / 10) AS size FROM steps JOIN series x ON x.s = a JOIN series y ON y.s = b AND y.k = x.k),
+g AS (SELECT place, w, size, floor(pos / size) AS batch, sum(gap) AS total, count(*) AS n FROM d GROUP BY 1, 2, 3, 4),
+m AS (SELECT place, w, (sum(total) / sum(n))::DOUBLE AS mean_us, coalesce(CASE WHEN sqrt(size) * stddev_samp(total / n) >= 1e-12 THEN sqrt(size) * stddev_samp(total / n) END, 0.001) AS std_us FROM g GROUP BY place, w, size)
+"""
+IN_TURN = CHAIN.replace("{steps}", "(0, 'in.s', 'svc1.s'), (1, 'svc1.e', 'svc2.s'), (2, 'svc2.e', 'svc3.s'), (3, 'svc3.e', 'in.e')")
+AT_ONCE = CHAIN.replace("{steps}", "(0, 'in.s', 'svc1.s'), (1, 'in.s', 'svc2.s'), (2, 'in.s', 'svc3.s')")
+
+
+@query("e9_delay_chain", IN_TURN + "SELECT 'gateway' AS service, w AS window_no, place, round(mean_us, 3) AS mean_us, round(std_us, 3) AS std_us FROM m")
+def e9_chain(spark, d):
+    inc, out = spans_of(spark, d)
+    return E.delay_chain(inc, out, E.endpoint_order(out)).select("service", F.col("window").alias("window_no"), "place", F.round("mean_us", 3).alias("mean_us"), F.round("std_us", 3).alias("std_us"))
+
+
+@query("e9_delay_parallel", AT_ONCE + "SELECT 'gateway' AS service, w AS window_no, place, round(mean_us, 3) AS mean_us, round(std_us, 3) AS std_us FROM m")
+def e9_parallel(spark, d):
+    inc, out = spans_of(spark, d)
+    return E.delay_chain(inc, out, E.endpoint_order(out), parallel=True).select("service", F.col("window").alias("window_no"), "place", F.round("mean_us", 3).alias("mean_us"), F.round("std_us", 3).alias("std_us"))
 
 
-def _step(before: str, endpoint: str, n: int) -> str:
-    """Each choice so far with every call of the endpoint that fits in, its score, and its rank."""
-    z = "((o.start_us - s.from_us) / 1e6 - m.mean_s) / m.std_s"
-    return f"""(SELECT *, row_number() OVER (PARTITION BY span ORDER BY score DESC, picked) AS rank FROM (SELECT s.span, s.start_us, s.end_us, o.end_us AS from_us, list_append(s.picked, o.call_id) AS picked, s.score - 0.5 * ({z}) * ({z}) - ln(m.std_s) AS score
-  FROM (SELECT *, unnest(range(CAST(floor(start_us / 1e5) AS BIGINT), CAST(floor(end_us / 1e5) AS BIGINT) + 1)) AS b FROM {before}) s
-  JOIN (SELECT *, CAST(floor(start_us / 1e5) AS BIGINT) AS b FROM calls WHERE client = 'gateway' AND server = '{endpoint}') o USING (b) JOIN m ON m.endpoint = '{endpoint}'
-  WHERE o.start_us BETWEEN s.start_us AND s.end_us AND o.end_us <= s.end_us) QUALIFY rank <= {n})"""
+def _step(before: str, place: int, parallel: bool) -> str:
+    """Each choice so far with the 20 calls of the next endpoint that begin nearest to when they are due; then the best 20 of a span."""
+    since, then = ("s.start_us", "o.start_us") if parallel else ("s.from_us", "o.end_us")
+    return f"""(SELECT * FROM (SELECT s.span, s.start_us, s.end_us, s.w, {then} AS from_us, list_append(s.picked, o.call_id) AS picked, s.score - 0.5 * pow((o.start_us - {since} - mean_us) / std_us, 2) - ln(std_us) - 0.5 * ln(2 * pi()) AS score
+  FROM {before} s JOIN m ON m.w = s.w AND m.place = {place} JOIN o ON o.endpoint = 'svc{place + 1}' AND o.start_us >= s.from_us AND o.start_us <= s.end_us AND o.end_us <= s.end_us
+  QUALIFY row_number() OVER (PARTITION BY s.span, s.picked ORDER BY abs(o.start_us - {since} - mean_us), o.start_us, o.call_id) <= 20) QUALIFY row_number() OVER (PARTITION BY span ORDER BY score DESC, picked) <= 20)"""
 
 
-@query("g6_topk", C + f""", i AS (SELECT start_us, row_number() OVER (ORDER BY start_us, call_id) AS k FROM calls WHERE server = 'gateway'), u AS (SELECT server AS endpoint, start_us AS o_us, row_number() OVER (PARTITION BY server ORDER BY start_us, call_id) AS k FROM calls WHERE client = 'gateway'),
-g AS (SELECT endpoint, (k - 1) // 100 AS b, avg(o_us - start_us) AS gap, count(*) AS n FROM u JOIN i USING (k) GROUP BY 1, 2),
-m AS (SELECT endpoint, round(sum(gap * n) / sum(n) / 1e6, 6) AS mean_s, round(greatest(coalesce(sqrt(100.0) * stddev_samp(gap) / 1e6, 0.001), 0.001), 6) AS std_s FROM g GROUP BY 1),
-s0 AS (SELECT call_id AS span, start_us, end_us, start_us AS from_us, []::VARCHAR[] AS picked, 0.0::DOUBLE AS score FROM calls WHERE server = 'gateway'), s1 AS {_step("s0", "svc1", 20)}, s2 AS {_step("s1", "svc2", 5)}
-SELECT span, 'gateway' AS service, start_us, rank::INT AS rank, picked, round(score, 6) AS score FROM s2""")
+def _topk(parallel: bool) -> str:
+    start = "s0 AS (SELECT call_id AS span, start_us, end_us, k // 100 AS w, start_us AS from_us, []::VARCHAR[] AS picked, 0.0::DOUBLE AS score FROM i)"
+    hops = ", ".join(f"s{k + 1} AS {_step(f's{k}', k, parallel)}" for k in range(3))
+    last = "s3" if parallel else "(SELECT s3.* REPLACE (score - 0.5 * pow((end_us - from_us - mean_us) / std_us, 2) - ln(std_us) - 0.5 * ln(2 * pi()) AS score) FROM s3 JOIN m ON m.w = s3.w AND m.place = 3)"
+    return (AT_ONCE if parallel else IN_TURN) + f", {start}, {hops} SELECT span, 'gateway' AS service, start_us, row_number() OVER (PARTITION BY span ORDER BY score DESC, picked)::INT AS rank, picked, round(score, 6) AS score FROM {last} QUALIFY rank <= 5"
+
+
+def likeliest(spark, d, parallel=False):
+    inc, out = spans_of(spark, d)
+    order = E.endpoint_order(out)
+    return G.topk_assignments(inc, out, order, E.delay_chain(inc, out, order, parallel=parallel), parallel=parallel)
+
+
+@query("g6_topk", _topk(False))
 def g6(spark, d):
     return likeliest(spark, d).withColumn("score", F.round("score", 6))
 
 
+@query("g6_topk_parallel", _topk(True))
+def g6b(spark, d):
+    return likeliest(spark, d, True).withColumn("score", F.round("score", 6))
+
+
 @query("g7_resolve_conflicts")
 def g7(spark, d):
     return G.resolve_conflicts(likeliest(spark, d))
+
+
+@query("g7_assign_sequences")
+def g7b(spark, d):
+    """All of it: models, likeliest choices, conflicts, and what is left again; with the true parent of the first call."""
+    return G.assign_sequences(*spans_of(spark, d))

@@ -179,10 +179,10 @@ def test_expansion_over_a_key_of_very_many_rows(spark):
     assert seen.count() == 10_001 and whole
 
 
-def test_no_call_is_shared_across_time_slices(spark):
+def test_no_call_is_shared_across_blocks(spark):
     rows = [("s", "a", 59_999_999, 1, ["c1"], 2.0), ("s", "b", 60_000_001, 1, ["c1"], 3.0), ("s", "b", 60_000_001, 2, ["c2"], 1.0), ("s", "d", 60_000_002, 1, ["c2"], 9.0)]
     topk = spark.createDataFrame(rows, "service string, span string, start_us long, rank int, picked array<string>, score double")
-    got = {r.span: r.picked for r in assignment.resolve_conflicts(topk).collect()}
+    got = {r.span: r.picked for r in assignment.resolve_conflicts(topk, batch=1, block=1).collect()}
     assert got == {"a": ["c1"], "d": ["c2"]}
 
 
