@@ -73,9 +73,16 @@ def _solved(g: pd.DataFrame) -> pd.DataFrame:
     cols, c = np.unique(g["p_id"], return_inverse=True)
     matrix = np.full((len(rows), len(cols)), FORBIDDEN)
     matrix[r, c] = g["cost"].to_numpy()
-    chosen, _ = solve(matrix)
-    hit = np.flatnonzero(chosen >= 0)
-    return pd.DataFrame({"call_id": rows[hit], "p_id": cols[chosen[hit]], "cost": matrix[hit, chosen[hit]]})
+    # Every row gets a spare column, so the smaller side, at most a part's parents, stands in the rows.
+    if len(cols) <= len(rows):
+        taken, _ = solve(matrix.T)
+        c = np.flatnonzero(taken >= 0)
+        r = taken[c]
+    else:
+        taken, _ = solve(matrix)
+        r = np.flatnonzero(taken >= 0)
+        c = taken[r]
+    return pd.DataFrame({"call_id": rows[r], "p_id": cols[c], "cost": matrix[r, c]})
 
 
 def assign_in_rounds(pairs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hopgraph.operators import assignment as G
 from hopgraph.operators import candidates as K
 from hopgraph.operators import evaluate as V
+from hopgraph.operators import matching as M
 from hopgraph.operators import provenance as P
 from hopgraph.operators import quality as Q
 from hopgraph.operators import topology as E
@@ -204,6 +205,15 @@ def g1(spark, d):
     return G.match_windowed(pairs.join(K.lineage_score(pairs, t, K.edge_idf(t)), ["call_id", "p_id"], "left"), c)
 
 
+@query("g1_match_in_turn")
+def g1b(spark, d):
+    """Children one to one to parents, each service's callees in the order of their gaps, with the siblings' tokens as context."""
+    c = view(spark, d, "calls")
+    p = c.select(F.col("call_id").alias("parent_id"), F.col("start_us").alias("p_start"), F.col("end_us").alias("p_end"))
+    inside = c.join(p, "parent_id").where("p_start <= start_us and p_end >= end_us").select("client", "server", (F.col("start_us") - F.col("p_start")).alias("gap_us"))
+    return M.match_in_turn(c, K.with_tokens(c), E.child_order_gap(inside))
+
+
 @query("g2_slot_assign")
 def g2(spark, d):
     c = view(spark, d, "calls")
@@ -216,6 +226,14 @@ def g3(spark, d):
     return G.parent_slot_assign(c, G.parent_slot_template(c))
 
 
+@query("g3_slots_to_a_fixed_point")
+def g3b(spark, d):
+    """Parent and slot of every call by the first trace's profile, with lineage, until nothing changes."""
+    c = view(spark, d, "calls")
+    state, _, whole = M.assign_slots(c, M.slot_profile(c), K.roots_of(c), K.with_tokens(c))
+    return state.withColumn("converged", F.lit(whole))
+
+
 STATS = C + """, t AS (SELECT client, server, round(count(DISTINCT list_sort([value_a, value_b])) / count(*), 6) AS diversity, count(*) AS n, count(DISTINCT trace_id) AS traces FROM calls GROUP BY 1, 2), g AS (SELECT c.client, c.server, quantile_cont(c.start_us - p.start_us, 0.5) AS p50, quantile_cont(c.start_us - p.start_us, 0.95) AS p95 FROM calls c JOIN calls p ON p.call_id = c.parent_id GROUP BY 1, 2),
 s AS (SELECT client, server, CASE WHEN diversity > 0.99 THEN 'payload-tells-calls-apart' WHEN n / traces > 2 THEN 'too-many-occurrences' WHEN p50 > 6000 THEN 'median-error-too-high' WHEN p95 > 9000 THEN 'tail-error-too-high' ELSE 'ok' END AS reason FROM t JOIN g USING (client, server))
 """
