@@ -83,6 +83,28 @@ SELECT s.k AS side_no, s.tap_side, c.call_id, c.trace_id, c.client, c.server, c.
 FROM ({CALLS}) c CROSS JOIN (SELECT 0 AS k, 'c-p' AS tap_side UNION ALL SELECT 1, 'c' UNION ALL SELECT 2, 's' UNION ALL SELECT 3, 's-p') s
 """
 
+#: Rows of calls as a trace's spans, twelve kinds of trace by what connects them: system calls, x-request ids or trace ids
+#: within a process; span ids from a process to a hop (3) or a hop to a process (4); x-request ids (5) or a stream (6) between hops; a
+#: queue (7); trace ids alone between hops (8) or processes of a host (9); spans of applications, without (10) and with others below them (11).
+SPAN_ROWS = f"""
+SELECT x.call_id || '/' || x.side AS row_id, x.call_id, x.parent_id, x.trace_id AS trace, x.m, x.side, x.k AS side_no,
+  CASE WHEN x.side IN ('app', 'inner') THEN 's-app' ELSE x.side END AS tap_side, CASE WHEN x.k < 2 THEN x.client ELSE x.server END AS agent,
+  CASE WHEN x.side IN ('c-p', 's-p') THEN 'ebpf' WHEN x.side IN ('c', 's') THEN 'packet' ELSE 'otel' END AS source, 2 AS type,
+  CASE WHEN x.m = 6 THEN 'gRPC' WHEN x.m = 7 THEN 'WebSphereMQ' ELSE 'HTTP' END AS protocol,
+  x.start_us + x.k * 10 AS start_us, x.end_us - x.k * 10 AS end_us, x.end_us - x.start_us - x.k * 20 AS duration_us,
+  CASE WHEN x.k < 4 THEN x.trace_id * 1000 + CAST(floor((x.start_us - {BASE_US} - x.trace_id * 2500) / 100) AS BIGINT) + 1 END AS req_tcp_seq,
+  CASE WHEN x.k < 4 THEN x.trace_id * 1000 + CAST(floor((x.start_us - {BASE_US} - x.trace_id * 2500) / 100) AS BIGINT) + 1 END AS resp_tcp_seq,
+  CASE WHEN x.m = 3 AND x.side = 's-p' THEN x.call_id WHEN x.m = 3 AND x.side = 'c' THEN x.parent_id WHEN x.m = 4 AND x.side = 's' THEN x.call_id WHEN x.side = 'app' THEN x.call_id WHEN x.side = 'inner' THEN x.call_id || '/in' END AS span_id,
+  CASE WHEN x.m = 4 AND x.side = 'c-p' THEN x.parent_id WHEN x.side = 'app' THEN x.parent_id WHEN x.side = 'inner' THEN x.call_id END AS parent_span_id,
+  CASE WHEN x.m = 1 AND x.side = 'c-p' OR x.m = 5 AND x.side = 'c' THEN x.parent_id END AS x_request_id_0, CASE WHEN x.m = 1 AND x.side = 's-p' OR x.m = 5 AND x.side = 's' THEN x.call_id END AS x_request_id_1,
+  CASE WHEN x.m = 0 AND x.side = 's-p' THEN x.call_id WHEN x.m = 0 AND x.side = 'c-p' THEN x.parent_id END AS syscall_req, CAST(NULL AS STRING) AS syscall_resp,
+  CASE WHEN x.m = 6 THEN x.trace_id + 1 END AS request_id, x.m = 7 AS is_async, CASE WHEN x.k < 2 AND x.m = 9 THEN x.client || '#q' WHEN x.k < 2 THEN x.client || '#p' ELSE x.server || '#p' END AS process,
+  CASE WHEN x.m = 9 AND x.k < 2 THEN x.client WHEN x.m = 9 THEN x.server END AS auto_instance, CASE WHEN x.m = 9 THEN 'chost' END AS auto_instance_type, false AS local_socket
+FROM (SELECT c.*, c.trace_id % 12 AS m, s.k, s.side FROM ({CALLS}) c CROSS JOIN (SELECT 0 AS k, 'c-p' AS side UNION ALL SELECT 1, 'c' UNION ALL SELECT 2, 's' UNION ALL SELECT 3, 's-p' UNION ALL SELECT 4, 'app' UNION ALL SELECT 5, 'inner') s) x
+WHERE CASE WHEN x.m IN (0, 1, 2, 9) THEN x.k < 4 WHEN x.m = 3 THEN x.k BETWEEN 1 AND 3 WHEN x.m = 4 THEN x.k < 3 WHEN x.m IN (5, 6) THEN x.k BETWEEN 1 AND 2
+  WHEN x.m IN (7, 8) THEN x.k = CASE WHEN x.client = 'ext' THEN 1 ELSE 2 END WHEN x.m = 10 THEN x.k = 4 ELSE x.k > 3 END
+"""
+
 #: Calls as provenance observations. Two traces overlap, the next two come 200 ms later, so that components are small.
 #: The response's field is the customer modulo 50, missing in some traces; some entry calls have another operation.
 OBSERVATIONS = f"""
@@ -104,7 +126,7 @@ FROM (SELECT x.*, CAST(x.trace_id AS BIGINT) AS n, 'trace-' || lpad(x.trace_id,
 
 VIEWS = {
     "calls": CALLS, "deep_calls": DEEP_CALLS, "chain_calls": CHAIN_CALLS, "messages": MESSAGES, "predictions": PREDICTIONS, "conversation_messages": CONVERSATION_MESSAGES,
-    "load_requests": LOAD_REQUESTS, "flow_rows": FLOW_ROWS, "observations": OBSERVATIONS, "labelled": LABELLED,
+    "load_requests": LOAD_REQUESTS, "flow_rows": FLOW_ROWS, "span_rows": SPAN_ROWS, "observations": OBSERVATIONS, "labelled": LABELLED,
 }
 
 

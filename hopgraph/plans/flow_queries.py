@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hopgraph.operators import flowlog as H
+from hopgraph.operators import span_sets as S
+from hopgraph.operators.common import written
 from hopgraph.plans.fixtures import duck, table, view
 from hopgraph.plans.registry import query
 
@@ -208,3 +210,83 @@ def h20(spark, d):
 def h21(spark, d):
     f = flow(spark, d)
     return H.related_ids(f, H.relations(H.rel_syscall(f)))
+
+
+def span_rows(spark, d):
+    return view(spark, d, "span_rows").withColumn("trace_ids", F.array(F.col("trace").cast("string")))
+
+
+R = duck("span_rows")
+
+
+@query("h12_star_sets", R + "SELECT row_id, first(row_id) OVER (PARTITION BY call_id ORDER BY start_us, row_id) AS set_id FROM span_rows WHERE source <> 'otel'")
+def h12b(spark, d):
+    r = span_rows(spark, d).where("source <> 'otel'")
+    return S.star_sets(r, H.rel_network(r)).select("row_id", F.col("set").alias("set_id"))
+
+
+@query("h12_hop_chains", R + "SELECT row_id, row_number() OVER w::INT AS place, lag(row_id) OVER w AS parent, row_number() OVER w = 1 AS root, lead(row_id) OVER w IS NULL AS leaf FROM span_rows WHERE source <> 'otel' WINDOW w AS (PARTITION BY call_id ORDER BY side_no)")
+def h12c(spark, d):
+    r = span_rows(spark, d).where("source <> 'otel'")
+    return S.hop_chains(r, S.star_sets(r, H.rel_network(r))).select("row_id", "place", "parent", "root", "leaf")
+
+
+# Server rows of a client row's service that cover it.
+COVERED = R + """, cov AS (SELECT c.row_id, c.m, s.row_id AS up, s.start_us, s.duration_us, s.call_id = c.parent_id AS own FROM span_rows c JOIN span_rows s ON s.trace = c.trace AND s.agent = c.agent AND s.side = 's-p' AND c.side = 'c-p' AND s.start_us <= c.start_us AND s.end_us >= c.end_us)
+"""
+NESTED = "SELECT row_id, call_id || '/app' AS parent, 10 AS rule FROM span_rows WHERE side = 'inner'"
+# A trace id in common is evidence too, so the server row begun last of all that cover is the parent; the rule says what it shares with it.
+LATEST = COVERED + f""", best AS (SELECT row_id, m, up, own FROM cov WHERE m < 3 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY start_us DESC, up DESC) = 1), ps AS (SELECT row_id, up AS parent, CASE WHEN own AND m = 0 THEN 2 WHEN own AND m = 1 THEN 3 ELSE 4 END AS rule FROM best UNION ALL {NESTED})
+"""
+
+
+@query("h14_process_parents", LATEST + "SELECT * FROM ps")
+def h14b(spark, d):
+    return S.process_parents(span_rows(spark, d))
+
+
+NEAREST = "p.start_us <= c.start_us DESC, CASE WHEN p.start_us <= c.start_us THEN p.start_us ELSE -p.start_us END DESC, p.row_id DESC"
+
+
+def _ruled(rule: int, where: str, order: str = "p.row_id") -> str:
+    return f"(SELECT c.row_id, p.row_id AS parent, {rule} AS rule FROM span_rows c JOIN span_rows p ON p.trace = c.trace AND p.call_id <> c.call_id WHERE {where} QUALIFY row_number() OVER (PARTITION BY c.row_id ORDER BY {order}) = 1)"
+
+
+LONGER = "(p.duration_us, -p.start_us, p.row_id) > (c.duration_us, -c.start_us, c.row_id)"
+QUEUED = "c.m = {m} AND c.side = 's' AND p.side = 'c'"
+
+
+@query("h15_connect_by_rules", LATEST + f""", hop AS (SELECT row_id, lag(row_id) OVER (PARTITION BY call_id ORDER BY side_no) AS parent FROM span_rows WHERE source <> 'otel'),
+r7 AS (SELECT c.row_id, p.row_id AS parent, 7 AS rule FROM span_rows c JOIN span_rows p ON p.trace = c.trace WHERE {QUEUED.replace("{m}", "8")} AND {LONGER} QUALIFY row_number() OVER (PARTITION BY p.row_id ORDER BY c.duration_us DESC, c.row_id DESC) = 1)
+SELECT row_id, parent, 0 AS rule FROM hop WHERE parent IS NOT NULL UNION ALL SELECT row_id, parent, 0 FROM ps
+UNION ALL SELECT * FROM {_ruled(1, "c.m = 3 AND c.side = 'c' AND p.side = 's-p' AND p.call_id = c.parent_id")} UNION ALL SELECT * FROM {_ruled(2, "c.m = 4 AND c.side = 'c-p' AND p.side = 's' AND p.call_id = c.parent_id")}
+UNION ALL SELECT * FROM {_ruled(3, "c.m = 10 AND p.call_id = c.parent_id")} UNION ALL SELECT * FROM {_ruled(4, "c.m = 11 AND c.side = 'app' AND p.side = 'app' AND p.call_id = c.parent_id")}
+UNION ALL SELECT * FROM {_ruled(5, "c.m = 5 AND c.side = 'c' AND p.side = 's' AND p.call_id = c.parent_id")} UNION ALL SELECT * FROM {_ruled(5, f"c.m = 6 AND c.side = 'c' AND p.side = 's' AND {LONGER}", f"p.duration_us, {NEAREST}")}
+UNION ALL SELECT * FROM {_ruled(6, QUEUED.replace("{m}", "7"))} UNION ALL SELECT * FROM r7
+UNION ALL SELECT * FROM {_ruled(8, "c.m = 9 AND c.side = 'c-p' AND p.side = 's-p' AND p.agent = c.agent AND p.start_us <= c.start_us AND p.end_us >= c.end_us", f"p.duration_us, {NEAREST}")}""")
+def h15b(spark, d):
+    """All rules, the weak ones too; each decides some kind of trace."""
+    r = written(span_rows(spark, d), "span-rows")
+    hops = r.where("source <> 'otel'")
+    chains = written(S.hop_chains(hops, S.star_sets(hops, H.rel_network(hops))), "hop-chains")
+    inside = written(S.process_parents(r), "process-parents")
+    related = H.relations(H.rel_app(r), H.rel_x_request(r))
+    return S.connect_sets(r, related, chains, S.process_sets(r, inside), inside, S.WEAK)
+
+
+UIDS = C + """, s AS (SELECT call_id AS st, CASE WHEN trace_id % 4 < 2 THEN length(server) END AS sid, CASE WHEN trace_id % 4 = 0 THEN server END AS sname, CASE WHEN trace_id % 4 = 2 THEN 'app-' || server END AS app, CASE WHEN trace_id % 8 <> 3 THEN 'ip-' || server END AS ip,
+  CASE WHEN trace_id % 3 = 0 AND server <> 'gateway' THEN 'g-' || server END AS gp, CASE WHEN server <> 'gateway' THEN 'k-' || (trace_id % 2) END AS kn, CASE WHEN server = 'store' THEN 'chost' WHEN server = 'gateway' THEN 'chost' ELSE 'ip' END AS kind, end_us - start_us AS self_us FROM calls),
+n AS (SELECT sid, count(DISTINCT coalesce(gp, kn)) AS n FROM s WHERE sid IS NOT NULL GROUP BY 1),
+u AS (SELECT s.*, CASE WHEN s.sid IS NOT NULL THEN s.sid || '-' WHEN app IS NOT NULL THEN '-' || app WHEN ip IS NOT NULL THEN ip || '-' ELSE 'unknown-' END AS base, CASE WHEN s.sid IS NOT NULL THEN coalesce(sname, ip) WHEN app IS NOT NULL THEN app WHEN ip IS NOT NULL THEN ip ELSE 'unknown service' END AS name, coalesce(n, 0) > 1 AND kind = 'chost' AS split FROM s LEFT JOIN n USING (sid))
+"""
+
+
+@query("h18_service_uids", UIDS + """SELECT CASE WHEN split THEN base || coalesce(gp, kn, '') ELSE base END AS service_uid, min(CASE WHEN split THEN name || ':' || coalesce(gp, kn, '') ELSE name END) AS service_uname, sum(self_us)::BIGINT AS self_us, count(*) AS spans, round(100.0 * sum(self_us) / sum(sum(self_us)) OVER (), 6) AS share FROM u GROUP BY 1""")
+def h18b(spark, d):
+    c, t = view(spark, d, "calls"), F.col("trace_id")
+    name = lambda x: F.concat(F.lit(x), "server")
+    sets = c.select(
+        F.col("call_id").alias("set"), F.when(t % 4 < 2, F.length("server")).alias("auto_service_id"), F.when(t % 4 == 0, F.col("server")).alias("auto_service"), F.when(t % 4 == 2, name("app-")).alias("app_service"), F.when(t % 8 != 3, name("ip-")).alias("ip"),
+        F.when((t % 3 == 0) & (F.col("server") != "gateway"), name("g-")).alias("gprocess"), F.when(F.col("server") != "gateway", F.concat(F.lit("k-"), (t % 2).cast("string"))).alias("process_kname"), F.when(F.col("server").isin("store", "gateway"), "chost").otherwise("ip").alias("auto_instance_type"),
+    )
+    return S.uid_latency(c.select(F.col("call_id").alias("set"), (F.col("end_us") - F.col("start_us")).alias("self_us")), sets)
