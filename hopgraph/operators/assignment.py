@@ -153,7 +153,7 @@ def slot_assign(calls: DataFrame, template: DataFrame, window_us: int = 150_000,
     roots = calls if by_parent else calls.where("parent_id is null")
     roots = roots.select(F.col("call_id").alias("root"), F.col("server").alias("client"), F.col("start_us").alias("r_start"), F.col("end_us").alias("r_end"))
     # A few slots a root, from one trace.
-    want = (roots.join(F.broadcast(template), "client") if by_parent else roots.drop("client").crossJoin(F.broadcast(template))).withColumn("start_us", F.col("r_start") + F.col("offset_us"))
+    want = (roots.join(template, "client") if by_parent else roots.drop("client").crossJoin(F.broadcast(template))).withColumn("start_us", F.col("r_start") + F.col("offset_us"))
     want = want.withColumn("call_id", F.concat_ws("#", "root", F.col("slot").cast("string"))).withColumn("end_us", F.col("start_us"))
     want = in_parts(want, ["client", "server"], window_us, cap).withColumnRenamed("bucket", "due_bucket")
     width = window_us
@@ -176,6 +176,52 @@ def gate_edges(stats: DataFrame, diversity: float = 0.2, coverage: float = 80.0,
     return stats.select("client", "server", reason.alias("reason"), (reason == "ok").alias("use_fallback"))
 
 
+def edge_signal(calls: DataFrame, labels: DataFrame) -> DataFrame:
+    """(client, server, signal): by edge the mean of the better of the lineage and context that won each call (labels with won_lineage, won_context); none is 0."""
+    won = labels.select("call_id", F.greatest(F.coalesce("won_lineage", F.lit(0.0)), F.coalesce("won_context", F.lit(0.0))).alias("won"))
+    j = calls.select("call_id", "client", "server").join(won, "call_id", "left")
+    return j.groupBy("client", "server").agg(F.avg(F.coalesce("won", F.lit(0.0))).alias("signal"))
+
+
+def root_gap_us(roots: DataFrame) -> DataFrame:
+    """One row: the median time from one entry call (call_id, start_us) to the next."""
+    r = ranked(roots.select("call_id", "start_us", F.lit(0).alias("all")), ["all"], F.expr(f"start_us div {SLICE_US}"), ["start_us", "call_id"])
+    after = r.select((F.col("k") - 1).alias("k"), F.col("start_us").alias("next_us"))
+    return r.join(after, "k").agg(F.percentile(F.col("next_us") - F.col("start_us"), F.lit(0.5)).alias("root_gap_us"))
+
+
+def slot_stats(calls: DataFrame, assigned: DataFrame, profile: DataFrame) -> DataFrame:
+    """By edge: coverage in percent, median and 95th percentile of how far calls are from when they were due, the profile's span and its occurrences.
+
+    assigned(call_id, parent, slot) as of ``assign_slots``, profile as of ``slot_profile``.
+    """
+    starts = calls.select(F.col("call_id").alias("parent"), F.col("start_us").alias("p_start"))
+    c = calls.join(assigned.where("parent is not null").select("call_id", "parent", "slot"), "call_id", "left").join(starts, "parent", "left")
+    spans = profile.groupBy("client", "server").agg(F.count("*").alias("occurrences"), (F.max("offset_us") - F.min("offset_us")).alias("span_us"))
+    j = c.join(profile.select("client", "server", "slot", "offset_us"), ["client", "server", "slot"], "left")
+    off = F.abs(F.col("start_us") - F.col("p_start") - F.col("offset_us"))
+    s = j.groupBy("client", "server").agg(F.round(100.0 * F.count("parent") / F.count("*"), 6).alias("coverage"), F.percentile(off, F.lit(0.5)).alias("p50_us"), F.percentile(off, F.lit(0.95)).alias("p95_us"))
+    return s.join(spans, ["client", "server"], "left")
+
+
+def conservative_gates(
+    stats: DataFrame, root_gap: DataFrame, root: str, coverage: float = 95.0, p95_us: float = 120_000, p95_share: float = 0.45, span_share: float = 0.70, per_gap_ms: float = 0.12, diversity: float = 0.35, signal: float = 0.60, occurrences: float = 1_000_000
+) -> DataFrame:
+    """stats(client, server, coverage, p95_us, span_us, occurrences, diversity, signal): may slots be used on an edge without labels, and why not.
+
+    Slots help where calls repeat, are where they are due, and say little: errors and the profile must be small against
+    the time between entry calls, calls not too dense in it, and either payloads alike or the graph's evidence weak.
+    """
+    s = stats.crossJoin(F.broadcast(root_gap))  # one row
+    gap = F.col("root_gap_us")
+    reason = (
+        F.when(F.col("occurrences").isNull(), "no-profile").when(F.col("occurrences") <= 1, "called-once").when((F.col("occurrences") > occurrences) & (F.col("client") != root), "too-many-occurrences").when(F.col("coverage") < coverage, "coverage-too-low")
+        .when(F.col("p95_us").isNull() | (F.col("p95_us") > F.least(F.lit(p95_us), gap * p95_share)), "tail-error-too-high").when(F.col("span_us") > gap * span_share, "profile-reaches-the-next-entry")
+        .when((gap <= 0) | (F.col("occurrences") / gap * 1000 > per_gap_ms), "too-dense").when((F.col("diversity") > diversity) & (F.col("signal") > signal), "payload-tells-calls-apart").otherwise("ok")
+    )
+    return s.select("client", "server", reason.alias("reason"), (reason == "ok").alias("use_fallback"))
+
+
 def learn_policy(scores: DataFrame, accuracy: float = 90.0, gain: float = 2.0, coverage: float = 95.0) -> DataFrame:
     """scores(client, server, graph, fallback, coverage): accept the fallback where it is good, better and covers enough."""
     return scores.withColumn("accept", (F.col("fallback") >= accuracy) & (F.col("fallback") - F.col("graph") >= gain) & (F.col("coverage") >= coverage))
@@ -183,15 +229,15 @@ def learn_policy(scores: DataFrame, accuracy: float = 90.0, gain: float = 2.0, c
 
 def learn_thresholds(stats: DataFrame, policy: DataFrame, defaults: dict[str, float]) -> DataFrame:
     """One row of thresholds for edges that the policy doesn't know: the default, raised to the largest value that an accepted edge has."""
-    ok = stats.join(F.broadcast(policy.where("accept").select("client", "server")), ["client", "server"], "left_semi")
+    ok = stats.join(policy.where("accept").select("client", "server"), ["client", "server"], "left_semi")
     return ok.agg(*[F.greatest(F.lit(v), F.coalesce(F.max(c), F.lit(v))).cast("double").alias(c) for c, v in defaults.items()])
 
 
 def apply_policy(graph: DataFrame, fallback: DataFrame, policy: DataFrame) -> DataFrame:
     """Predictions(call_id, client, server, parent) of the fallback on accepted edges, of the graph elsewhere."""
     ok = policy.where("accept").select("client", "server")
-    keep = graph.join(F.broadcast(ok), ["client", "server"], "left_anti")
-    return keep.unionByName(fallback.join(F.broadcast(ok), ["client", "server"], "left_semi").select(keep.columns))
+    keep = graph.join(ok, ["client", "server"], "left_anti")
+    return keep.unionByName(fallback.join(ok, ["client", "server"], "left_semi").select(keep.columns))
 
 
 def in_windows(incoming: DataFrame, window: int = 100) -> DataFrame:

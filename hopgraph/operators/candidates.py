@@ -53,7 +53,7 @@ def _temporal_pairs(children: DataFrame, parents: DataFrame, cfg: Config, profil
         pairs = pairs.withColumn("outside_us", outside).where((F.col("p_end") + cfg.res_tolerance_us >= F.col("end_us")) | (F.col("outside_us") <= cfg.fallback_us))
     score = -F.when(F.col("outside_us") > cfg.res_tolerance_us, cfg.containment_penalty).otherwise(0.0) - F.col("outside_us") / 1e6 * cfg.time_weight * 4.0
     if profile is not None:
-        pairs = pairs.join(F.broadcast(profile.where("reason = 'ok'").select("client", "server", "mu_us", "sigma_us")), ["client", "server"], "left")
+        pairs = pairs.join(profile.where("reason = 'ok'").select("client", "server", "mu_us", "sigma_us"), ["client", "server"], "left")
         z = (F.col("start_us") - F.col("p_start") - F.col("mu_us")) / F.col("sigma_us")
         return pairs.withColumn("temporal", score + F.coalesce(F.exp(-0.5 * z * z) * cfg.time_weight, F.lit(0.0))).drop("mu_us", "sigma_us")
     return pairs.withColumn("temporal", score)
@@ -101,7 +101,7 @@ def edge_idf(tokens: DataFrame) -> DataFrame:
     """tokens(call_id, client, server, all array) -> (client, server, token, idf): ln((n + 1) / (df + 1)) + 1 by edge."""
     n = tokens.groupBy("client", "server").agg(F.count("*").alias("n"))
     t = tokens.select("client", "server", F.explode(F.array_distinct("all")).alias("token")).groupBy("client", "server", "token").agg(F.count("*").alias("df"))
-    return t.join(F.broadcast(n), ["client", "server"]).select("client", "server", "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return t.join(n, ["client", "server"]).select("client", "server", "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def token_diversity(tokens: DataFrame) -> DataFrame:
@@ -267,8 +267,8 @@ def propagate(cands: DataFrame, roots: DataFrame, cfg: Config = Config(), tokens
 VARIANTS = {"time": (0.0, 0.0, False), "no-context": (20.0, 0.0, False), "full": (20.0, 40.0, False), "context": (0.0, 40.0, False), "fallback": (20.0, 40.0, True)}
 
 
-def infer(calls: DataFrame, variant: str = "full", cfg: Config = Config()) -> tuple[DataFrame, int, bool]:
-    """Blind inference: ``time`` (no payload evidence), ``no-context`` (lineage only), ``full`` (lineage and ancestors), ``context`` (ancestors only) or ``fallback`` (full, then containment)."""
+def infer(calls: DataFrame, variant: str = "full", cfg: Config = Config(), evidence: bool = False) -> tuple[DataFrame, int, bool]:
+    """(labels, rounds, whole) of blind inference, with the evidence that won each call if asked for (not with ``fallback``): ``time`` (no payload evidence), ``no-context`` (lineage only), ``full`` (lineage and ancestors), ``context`` (ancestors only) or ``fallback`` (full, then containment)."""
     lineage, context, contain = VARIANTS[variant]
     cfg = replace(cfg, lineage_weight=lineage, context_weight=context)
     tokens = with_tokens(calls)
@@ -285,7 +285,7 @@ def infer(calls: DataFrame, variant: str = "full", cfg: Config = Config()) -> tu
 
     if context:
         idf = written(idf, "edge-idf")
-    labels, rounds, whole = propagate(scored(strict_candidates(calls, cfg)), roots_of(calls), cfg, tokens if context else None, late, idf)
+    labels, rounds, whole = propagate(scored(strict_candidates(calls, cfg)), roots_of(calls), cfg, tokens if context else None, late, idf, evidence)
     return (containment_fallback(calls, labels) if contain else labels), rounds, whole
 
 

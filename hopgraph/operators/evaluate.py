@@ -191,6 +191,50 @@ def score_flow_traces(flow: DataFrame, expected: DataFrame) -> DataFrame:
     return j.select("mark", "client", "server", "want", "seen", F.greatest(F.col("want") - F.col("seen"), F.lit(0)).alias("short"), F.greatest(F.col("seen") - F.col("want"), F.lit(0)).alias("excess"))
 
 
+def flow_trace_causes(marks: DataFrame, selected: DataFrame, captured: DataFrame, expected: DataFrame) -> DataFrame:
+    """A row for each mark that was asked for: what its trace lacks, and whether capture or pairing is to blame.
+
+    marks(mark, status): 'ok' where a trace was built. selected(mark, client, server, row_mark): the rows of each
+    mark's trace with the mark that they bear themselves (null: none). captured(mark, client, server): all rows by their own
+    mark. expected(client, server, want). Expected against captured gives what was never captured; captured against
+    selected what was there and isn't in the trace. A trace that isn't 'ok' has all it lacks in ``want``, and no cause.
+    """
+    edges = expected.select("client", "server", "want")
+    wrong = F.col("row_mark").isNotNull() & (F.col("row_mark") != F.col("mark"))
+    mixed = selected.groupBy("mark").agg(_n(wrong).alias("wrong_mark"))
+    sel = selected.join(edges.select("client", "server"), ["client", "server"]).join(mixed, "mark")
+    # In a trace of one mark rows without a mark are right too; in a mixed one only those that bear it.
+    right = (F.col("wrong_mark") == 0) | F.coalesce(F.col("row_mark") == F.col("mark"), F.lit(False))
+    sel = sel.groupBy("mark", "client", "server").agg(F.count("*").alias("got"), _n(right).alias("right"))
+    cap = captured.join(edges.select("client", "server"), ["client", "server"]).groupBy("mark", "client", "server").agg(F.count("*").alias("there"))
+    # A row for each mark asked for and expected edge, which are a handful: rows that nothing was seen of count too.
+    grid = marks.join(edges).join(sel, ["mark", "client", "server"], "left").join(cap, ["mark", "client", "server"], "left").na.fill(0, ["got", "right", "there"])
+    want, got, there = F.col("want"), F.col("got"), F.col("there")
+    more = lambda a, b: F.greatest(a - b, F.lit(0)).cast("long")
+    per = grid.groupBy("mark", "status").agg(
+        F.sum("want").cast("long").alias("want"), F.sum("got").alias("predicted"), F.sum(F.least(want, got)).cast("long").alias("covered"), F.sum(F.least(want, F.col("right"))).cast("long").alias("correct"),
+        F.sum("right").alias("correct_predicted"), F.sum(more(want, got)).alias("missing"), F.sum(more(got, want)).alias("extra"), F.sum(more(want, there)).alias("not_captured"),
+        F.sum(more(F.least(want, there), F.least(want, got))).alias("not_paired"),
+    )
+    j = per.join(mixed, "mark", "left").na.fill(0, ["wrong_mark"])
+    ok = F.col("status") == "ok"
+    counts = [F.when(ok, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("predicted", "covered", "correct", "correct_predicted", "missing", "extra", "not_captured", "not_paired", "wrong_mark")]
+    return j.select(
+        "mark", "status", "want", *counts, (ok & (F.col("not_captured") > 0)).alias("capture_fault"), (ok & ((F.col("not_paired") > 0) | (F.col("wrong_mark") > 0))).alias("pairing_fault"),
+        (ok & (F.col("correct") == F.col("want")) & (F.col("wrong_mark") == 0)).alias("assigned"), (ok & (F.col("missing") == 0) & (F.col("wrong_mark") == 0)).alias("exact"),
+    )
+
+
+def flow_cause_summary(causes: DataFrame) -> DataFrame:
+    """One row over all marks asked for: exact and assigned traces, spans by cause, and edge precision, recall and F1."""
+    s = causes.agg(
+        F.count("*").alias("traces"), _n(F.col("status") == "ok").alias("built"), _n(F.col("exact")).alias("exact"), _n(F.col("assigned")).alias("assigned"), _n(F.col("capture_fault")).alias("capture_faults"), _n(F.col("pairing_fault")).alias("pairing_faults"),
+        *[F.sum(c).alias(c) for c in ("want", "predicted", "covered", "correct", "correct_predicted", "not_captured", "not_paired", "extra", "wrong_mark")],
+    )
+    p, r = share(F.col("correct_predicted"), F.col("predicted")), share(F.col("correct"), F.col("want"))
+    return s.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, F.round(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")), 6)))
+
+
 def flow_trace_summary(rows: DataFrame) -> DataFrame:
     m = rows.groupBy("mark").agg(F.sum("short").alias("short"), F.sum("excess").alias("excess"), F.sum(F.least("want", "seen")).alias("met"))
     t = m.agg(F.count("*").alias("traces"), _n((F.col("short") == 0) & (F.col("excess") == 0)).alias("exact"), F.sum("met").alias("tp"), F.sum("excess").alias("fp"), F.sum("short").alias("fn"))

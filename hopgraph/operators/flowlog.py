@@ -198,8 +198,10 @@ def rel_app(flow: DataFrame) -> DataFrame:
     return _pairs(flow, span, span, common, APP, c).unionByName(down).unionByName(down.select(F.col("b").alias("a"), F.col("a").alias("b"), "relation")).distinct()
 
 
-def rel_dns(flow: DataFrame, delay_us: int = 100_000, clock_us: int = 10_000) -> DataFrame:
-    return _pairs(flow, F.nullif("request_id", F.lit(0)), F.nullif("request_id", F.lit(0)), _near("start_us", delay_us, clock_us), DNS, ["row_id", "agent", "start_us"], "start_us", delay_us + clock_us)
+def rel_dns(flow: DataFrame, delay_us: int = 100_000, clock_us: int = 10_000, same: tuple[str, ...] = ()) -> DataFrame:
+    """Equal DNS request ids within the tolerance, without a field of ``same`` that both rows have and that differs."""
+    where = _near("start_us", delay_us, clock_us) & _no_conflict(list(same))
+    return _pairs(flow, F.nullif("request_id", F.lit(0)), F.nullif("request_id", F.lit(0)), where, DNS, ["row_id", "agent", "start_us", *same], "start_us", delay_us + clock_us)
 
 
 def relations(*parts: DataFrame) -> DataFrame:
@@ -233,6 +235,46 @@ def expand(keys: DataFrame, anchors_df: DataFrame, rounds: int = 30) -> tuple[Da
     return seen, False
 
 
+def expand_allowed(keys: DataFrame, trace_ids: DataFrame, anchors_df: DataFrame, allow_multiple: bool = False, rounds: int = 30) -> tuple[DataFrame, DataFrame, bool]:
+    """As ``expand``, but a mark keeps to its own trace ids: (mark, row_id) kept, (mark, row_id) kept out, and whether all was reached.
+
+    trace_ids(row_id, trace_ids array). A mark's allowed ids are at first those of its anchor. Rows are reached by the keys of
+    rows kept so far and by allowed ids. A row with several ids that an allowed id finds makes all of them allowed. A row
+    that a key finds is kept if it has no id or only allowed ones; else it is kept out, unless ``allow_multiple`` or the mark
+    has no allowed id yet: then the first such row by id brings its ids in. What is kept out is looked at again as ids are added.
+    """
+    keys, ids = written(keys.distinct(), "keys"), written(trace_ids.select("row_id", F.coalesce(F.array_compact("trace_ids"), F.array().cast("array<string>")).alias("ids")), "trace-ids")
+    by_id = ids.select("row_id", F.explode("ids").alias("id"))
+    seen = front = written(anchors_df.select("mark", "row_id").distinct(), "expanded")
+    allowed = fresh = written(front.join(by_id, "row_id").select("mark", "id").distinct(), "allowed-ids")
+    used = out = None
+    for _ in range(rounds):
+        new = front.join(keys, "row_id").select("mark", "key").distinct()
+        new = written(new if used is None else new.join(used, ["mark", "key"], "left_anti"), "expanded-keys")
+        used = new if used is None else used.unionByName(new)
+        traced = written(fresh.join(by_id, "id").select("mark", "row_id").distinct().join(seen, ["mark", "row_id"], "left_anti"), "expanded-traced")
+        linked = new.join(keys, "key").select("mark", "row_id").distinct().join(seen, ["mark", "row_id"], "left_anti").join(traced, ["mark", "row_id"], "left_anti")
+        if out is not None:
+            linked = linked.unionByName(out.join(traced, ["mark", "row_id"], "left_anti").join(linked, ["mark", "row_id"], "left_anti"))
+        grown = traced.join(ids, "row_id").where("size(ids) > 1").select("mark", F.explode("ids").alias("id")).distinct().join(allowed, ["mark", "id"], "left_anti")
+        linked = written(linked.join(ids, "row_id"), "expanded-linked")
+        if allow_multiple:
+            brought = linked.select("mark", F.explode("ids").alias("id"))
+        else:
+            without = linked.where("size(ids) > 0").join(allowed.select("mark").distinct(), "mark", "left_anti")
+            brought = without.groupBy("mark").agg(F.min_by("ids", "row_id").alias("ids")).select("mark", F.explode("ids").alias("id"))
+        fresh = written(grown.unionByName(brought).distinct().join(allowed, ["mark", "id"], "left_anti"), "allowed-ids")
+        allowed = allowed.unionByName(fresh)
+        asked = linked.select("mark", "row_id", F.explode_outer("ids").alias("id")).join(allowed.withColumn("ok", F.lit(True)), ["mark", "id"], "left")
+        judged = written(asked.groupBy("mark", "row_id").agg(F.every(F.col("id").isNull() | F.coalesce("ok", F.lit(False))).alias("ok")), "expanded-judged")
+        front = written(traced.unionByName(judged.where("ok").select("mark", "row_id")), "expanded")
+        out = judged.where("not ok").select("mark", "row_id")
+        if front.isEmpty() and fresh.isEmpty():
+            return seen, out, True
+        seen = seen.unionByName(front)
+    return seen, out, False
+
+
 def network_sets(rows: DataFrame, related: DataFrame) -> DataFrame:
     """Rows of one hop as a set, chained by tap side, duration and start: (row_id, set, place, parent)."""
     comp = components(related.select("a", "b"), rows.select(F.col("row_id").alias("node"))).withColumnRenamed("node", "row_id")
@@ -336,7 +378,7 @@ def clock_correction(pairs: DataFrame, base: str) -> DataFrame:
 
 
 def apply_clock(spans: DataFrame, shifts: DataFrame) -> DataFrame:
-    j = spans.join(F.broadcast(shifts), "host", "left")
+    j = spans.join(shifts, "host", "left")
     move = F.coalesce("shift_us", F.lit(0))
     return j.withColumns({"start_us": F.col("start_us") + move, "end_us": F.col("end_us") + move}).drop("shift_us")
 

@@ -140,7 +140,7 @@ def synthesize_clients(spans: DataFrame) -> DataFrame:
 def restrict_complete(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """Calls of traces that were seen on every edge of edges(client, server)."""
     total = edges.agg(F.count("*").alias("total"))
-    met = calls.join(F.broadcast(edges), ["client", "server"], "left_semi").groupBy("trace_id").agg(F.countDistinct("client", "server").alias("met"))
+    met = calls.join(edges, ["client", "server"], "left_semi").groupBy("trace_id").agg(F.countDistinct("client", "server").alias("met"))
     whole = met.crossJoin(F.broadcast(total)).where("met = total").select("trace_id")
     return calls.join(whole, "trace_id", "left_semi")
 

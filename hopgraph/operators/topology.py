@@ -18,7 +18,7 @@ def external_clients(calls: DataFrame) -> DataFrame:
 
 def find_root(calls: DataFrame) -> DataFrame:
     """One row: the service with most calls from outside (first by name on ties)."""
-    outside = calls.join(F.broadcast(external_clients(calls)), "client", "left_semi").groupBy("server").agg(F.count("*").alias("calls"))
+    outside = calls.join(external_clients(calls), "client", "left_semi").groupBy("server").agg(F.count("*").alias("calls"))
     return outside.orderBy(F.desc("calls"), "server").limit(1)
 
 
@@ -92,8 +92,8 @@ def temporal_profile(calls: DataFrame, buckets: int = 10, least: int = 8, max_ra
         b = F.greatest(F.lit(0), F.floor((F.col("k") + 0.5) * buckets / F.col("n")))
         return r.withColumn("bucket", b).groupBy(*keys, "bucket").agg(F.avg("start_us").alias(name))
 
-    c = means(calls.join(F.broadcast(good.select("client", "server")), ["client", "server"], "left_semi"), ["client", "server"], "c_avg")
-    p = means(calls.join(F.broadcast(good.select(F.col("client").alias("server")).distinct()), "server", "left_semi"), ["server"], "p_avg").withColumnRenamed("server", "client")
+    c = means(calls.join(good.select("client", "server"), ["client", "server"], "left_semi"), ["client", "server"], "c_avg")
+    p = means(calls.join(good.select(F.col("client").alias("server")).distinct(), "server", "left_semi"), ["server"], "p_avg").withColumnRenamed("server", "client")
     spread = c.join(p, ["client", "bucket"]).groupBy("client", "server").agg(F.stddev_samp(F.col("c_avg") - F.col("p_avg")).alias("spread"))
     sigma = F.when(F.col("reason") == "ok", F.greatest(F.coalesce("spread", F.lit(0.0)), F.lit(float(floor_us))))
     return e.join(spread, ["client", "server"], "left").select("client", "server", "parents", "children", "reason", F.when(F.col("reason") == "ok", F.round("mu_us", 3)).alias("mu_us"), F.round(sigma, 3).alias("sigma_us"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hopgraph.operators import evaluate as V
-from hopgraph.plans.fixtures import duck, view
+from hopgraph.plans.fixtures import duck, table, view
 from hopgraph.plans.registry import query
 
 S = duck("calls", "predictions") + """, s AS (
@@ -129,6 +129,43 @@ def v10b(spark, d):
     return V.flow_trace_summary(flow_scores(spark, d))
 
 
+# Traces of marks as a tracer might give them: every 29th row was never captured, every 31st left out, every 37th stands in the next trace, every 41st bears no mark.
+# Marks divisible by 50 have no trace; and some marks have no row at all.
+CAUSES = duck("flow_rows") + """, want AS (SELECT 'gateway' AS client, 'svc' || k AS server, 8 AS want FROM range(3) r(k) UNION ALL SELECT 'ext', 'gateway', 4),
+f AS (SELECT *, trace_id * 13 + side_no * 7 + length(row_id) + start_us % 1000 AS n FROM flow_rows), cap AS (SELECT * FROM f WHERE n % 29 <> 0),
+sel AS (SELECT CASE WHEN n % 37 = 0 THEN CAST(trace_id + 1 AS STRING) ELSE mark END AS mark, client, server, CASE WHEN n % 41 <> 0 THEN mark END AS row_mark FROM cap WHERE n % 31 <> 0),
+marks AS (SELECT CAST(o_orderkey AS STRING) AS mark, CASE WHEN o_orderkey % 50 = 0 THEN 'missing-anchor' ELSE 'ok' END AS status FROM orders UNION ALL SELECT 'none-' || k, 'missing-mark' FROM range(3) r(k)),
+mix AS (SELECT mark, count(*) FILTER (row_mark <> mark) AS wrong FROM sel GROUP BY 1), se AS (SELECT mark, client, server, count(*) AS got, count(*) FILTER (wrong = 0 OR row_mark = mark) AS good FROM sel JOIN mix USING (mark) GROUP BY 1, 2, 3), ca AS (SELECT mark, client, server, count(*) AS there FROM cap GROUP BY 1, 2, 3),
+g AS (SELECT m.mark, status, want, coalesce(got, 0) AS got, coalesce(good, 0) AS good, coalesce(there, 0) AS there FROM marks m CROSS JOIN want w LEFT JOIN se s ON s.mark = m.mark AND s.client = w.client AND s.server = w.server LEFT JOIN ca c ON c.mark = m.mark AND c.client = w.client AND c.server = w.server),
+p AS (SELECT g.mark, status, sum(want)::BIGINT AS want, sum(got)::BIGINT AS predicted, sum(least(want, got))::BIGINT AS covered, sum(least(want, good))::BIGINT AS correct, sum(good)::BIGINT AS correct_predicted, sum(greatest(want - got, 0))::BIGINT AS missing, sum(greatest(got - want, 0))::BIGINT AS extra,
+  sum(greatest(want - there, 0))::BIGINT AS not_captured, sum(greatest(least(want, there) - least(want, got), 0))::BIGINT AS not_paired, coalesce(any_value(wrong), 0) AS wrong_mark FROM g LEFT JOIN mix USING (mark) GROUP BY 1, 2),
+c AS (SELECT mark, status, want, COLUMNS(['predicted', 'covered', 'correct', 'correct_predicted', 'missing', 'extra', 'not_captured', 'not_paired', 'wrong_mark']) * (status = 'ok')::BIGINT, status = 'ok' AND not_captured > 0 AS capture_fault, status = 'ok' AND (not_paired > 0 OR wrong_mark > 0) AS pairing_fault,
+  status = 'ok' AND correct = want AND wrong_mark = 0 AS assigned, status = 'ok' AND missing = 0 AND wrong_mark = 0 AS exact FROM p)
+"""
+
+
+def causes(spark, d):
+    f = view(spark, d, "flow_rows").withColumn("n", F.col("trace_id") * 13 + F.col("side_no") * 7 + F.length("row_id") + F.col("start_us") % 1000)
+    cap = f.where("n % 29 <> 0")
+    sel = cap.where("n % 31 <> 0").select(F.when(F.col("n") % 37 == 0, (F.col("trace_id") + 1).cast("string")).otherwise(F.col("mark")).alias("mark"), "client", "server", F.when(F.col("n") % 41 != 0, F.col("mark")).alias("row_mark"))
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("mark"), F.when(F.col("o_orderkey") % 50 == 0, "missing-anchor").otherwise("ok").alias("status"))
+    asked = asked.unionByName(spark.range(3).select(F.concat(F.lit("none-"), F.col("id").cast("string")).alias("mark"), F.lit("missing-mark").alias("status")))
+    want = spark.createDataFrame([("ext", "gateway", 4), *(("gateway", f"svc{k}", 8) for k in range(3))], "client string, server string, want int")
+    return V.flow_trace_causes(asked, sel, cap.select("mark", "client", "server"), want)
+
+
+@query("v10_flow_causes", CAUSES + "SELECT * FROM c")
+def v10c(spark, d):
+    return causes(spark, d)
+
+
+@query("v10_cause_summary", CAUSES + """, t AS (SELECT count(*) AS traces, count(*) FILTER (status = 'ok') AS built, count(*) FILTER (exact) AS exact, count(*) FILTER (assigned) AS assigned, count(*) FILTER (capture_fault) AS capture_faults, count(*) FILTER (pairing_fault) AS pairing_faults,
+  sum(COLUMNS(['want', 'predicted', 'covered', 'correct', 'correct_predicted', 'not_captured', 'not_paired', 'extra', 'wrong_mark']))::BIGINT FROM c), u AS (SELECT *, round(100.0 * correct_predicted / predicted, 6) AS precision, round(100.0 * correct / want, 6) AS recall FROM t)
+SELECT *, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM u""")
+def v10d(spark, d):
+    return V.flow_cause_summary(causes(spark, d))
+
+
 L = duck("load_requests")
 
 

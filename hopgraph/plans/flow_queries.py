@@ -86,6 +86,13 @@ def h09(spark, d):
     return H.rel_dns(flow(spark, d)).select("a", "b")
 
 
+@query("h09_rel_dns_fields", FLOW + f"SELECT a.row_id AS a, b.row_id AS b FROM f a JOIN f b ON a.trace_id = b.trace_id WHERE a.row_id <> b.row_id AND a.tap_side IN ('c', 's') AND b.tap_side IN ('c', 's') AND {NEAR} AND a.server = b.server AND (a.side_no = 1 OR b.side_no = 1 OR a.client = b.client)")
+def h09b(spark, d):
+    """Rows of one server only; the client counts where both rows name it."""
+    f = flow(spark, d).withColumn("named", F.when(F.col("tap_side") == "s", F.col("client")))
+    return H.rel_dns(f, same=("server", "named")).select("a", "b")
+
+
 @query("h10_relations", NETWORK + SYS + """, r AS (SELECT a, b, bit_or(relation)::INT AS relation FROM (SELECT a, b, 1 AS relation FROM n UNION ALL SELECT a, b, 4 FROM y) GROUP BY 1, 2)
 SELECT a, b, relation, CASE relation WHEN 1 THEN 'network' WHEN 4 THEN 'syscall' ELSE 'network,syscall' END AS label FROM r""")
 def h10(spark, d):
@@ -100,6 +107,23 @@ def h11(spark, d):
     return H.expand(key("call", "call_id").unionByName(key("syscall", "syscall_id")), H.anchors(f, "ext", "gateway"))[0]
 
 
+# Entry rows are linked in twos over traces; of traces divisible by seven the server rows of inner calls carry a second id, which is all that store rows have.
+ALLOWED = """SELECT mark, row_id, true AS kept, true AS whole FROM flow_rows UNION ALL SELECT CAST(a.trace_id AS STRING), b.row_id, false, true FROM flow_rows a JOIN flow_rows b ON a.trace_id // 2 = b.trace_id // 2 AND a.trace_id <> b.trace_id WHERE a.client = 'ext' AND b.client = 'ext' AND a.tap_side = 's' AND b.tap_side = 's'"""
+
+
+@query("h11_expand_allowed", W + ALLOWED)
+def h11b(spark, d):
+    """Rows of each mark's trace and, kept out, those of others that a key leads to."""
+    f = view(spark, d, "flow_rows")
+    own, second = F.col("trace_id").cast("string"), F.concat(F.lit("x"), F.col("trace_id").cast("string"))
+    twice = (F.col("trace_id") % 7 == 0) & (F.col("client") != "ext")
+    ids = f.select("row_id", F.when(twice & (F.col("server") == "store"), F.array(second)).when(twice & (F.col("tap_side") == "s-p"), F.array(own, second)).when(F.col("tap_side") == "c-p", F.array().cast("array<string>")).otherwise(F.array(own)).alias("trace_ids"))
+    call = f.select("row_id", F.concat(F.lit("call:"), "call_id").alias("key"))
+    pair = f.where("client = 'ext' and tap_side = 's'").select("row_id", F.concat(F.lit("pair:"), F.floor(F.col("trace_id") / 2).cast("string")).alias("key"))
+    kept, out, whole = H.expand_allowed(call.unionByName(pair), ids, H.anchors(f, "ext", "gateway"))
+    return kept.withColumn("kept", F.lit(True)).unionByName(out.withColumn("kept", F.lit(False))).withColumn("whole", F.lit(whole))
+
+
 @query("h12_network_sets", W + """SELECT row_id, row_number() OVER w AS place, lag(row_id) OVER w AS parent FROM flow_rows WINDOW w AS (PARTITION BY call_id ORDER BY CASE tap_side WHEN 'c-p' THEN 2 WHEN 'c' THEN 3 WHEN 's' THEN 6 ELSE 7 END)""")
 def h12(spark, d):
     f = view(spark, d, "flow_rows")

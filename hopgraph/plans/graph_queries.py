@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hopgraph.operators import assignment as G
 from hopgraph.operators import candidates as K
 from hopgraph.operators import evaluate as V
 from hopgraph.operators import pairing as B
@@ -274,6 +275,14 @@ def q5d(spark, d):
     return out
 
 
+@query("g4_edge_signal", DEEP.replace("{lineage}", "20").replace("{context}", "40") + """, won AS (SELECT call_id, 0.0 AS won FROM deep_calls WHERE client = 'ext' UNION ALL SELECT call_id, coalesce(won, 0) FROM mid UNION ALL SELECT call_id, greatest(coalesce(won, 0), coalesce(context, 0)) FROM low)
+SELECT client, server, round(avg(won), 6) AS signal FROM won JOIN deep_calls USING (call_id) GROUP BY 1, 2""")
+def g4_signal(spark, d):
+    """How strong the evidence was that won the calls of each edge."""
+    c = deep(spark, d)
+    return G.edge_signal(c, K.infer(c, "full", evidence=True)[0]).withColumn("signal", F.round("signal", 6))
+
+
 TRUTH = "SELECT call_id, parent_id AS parent, 'r-' || trace_id AS label FROM calls"
 
 

@@ -10,7 +10,7 @@ from hopgraph.functions import tokens as T
 from hopgraph.operators import pairing as B
 from hopgraph.operators.reassembly import reassemble_http1
 from hopgraph.plans.fixtures import duck, table, view
-from hopgraph.plans.registry import query
+from hopgraph.plans.registry import ORACLES, query
 from hopgraph.sources import io
 
 M = duck("messages")
@@ -263,12 +263,28 @@ def c04(spark, d):
     return table(spark, d, "events").select("event_id", T.lineage_tokens("props").alias("tokens"))
 
 
+PAYLOAD_TOKENS = ORACLES["c04_payload_tokens"]
+
+
+@query("c04_nested_tokens", PAYLOAD_TOKENS)
+def c04b(spark, d):
+    """The same payload as a string inside JSON inside a list: what it holds counts alike."""
+    inner = F.concat(F.lit("["), F.to_json(F.struct(F.col("props").alias("body"))), F.lit("]"))
+    return table(spark, d, "events").select("event_id", T.lineage_tokens(F.to_json(F.struct(inner.alias("outer")))).alias("tokens"))
+
+
 @query("c05_db_tokens", """SELECT event_id, list_sort(list_filter(['kv:k=' || (props->>'k'), 'v:' || (props->>'k'), 'p:' || (props->>'k')], lambda x: CASE WHEN CAST(props->>'k' AS INT) IN (0, 1) THEN x LIKE 'kv:%' WHEN CAST(props->>'k' AS INT) < 10 THEN x NOT LIKE 'p:%' ELSE true END)) AS tokens FROM events""")
 def c05(spark, d):
     wrapped = F.concat(F.lit('{"query": {"filter": '), F.col("props"), F.lit(', "$db": "shop"}}'))
     return table(spark, d, "events").select("event_id", T.db_lineage_tokens(wrapped).alias("tokens"))
 
 
+@query("c05_nested_db_tokens", ORACLES["c05_db_tokens"])
+def c05b(spark, d):
+    inner = F.to_json(F.struct(F.array(F.col("props")).alias("documents")))
+    return table(spark, d, "events").select("event_id", T.db_lineage_tokens(F.to_json(F.struct(F.struct(inner.alias("filter")).alias("query")))).alias("tokens"))
+
+
 @query("c06_db_result_filter", """SELECT event_id, list_sort(list_filter(['kv:k=' || (event_id % 9), 'kv:hotelid=x', 'kv:note=z', 'v:q'], lambda x: x LIKE 'kv:hotelid%' OR (x LIKE 'kv:k=%' AND event_id % 9 = user_id % 9))) AS tokens FROM events""")
 def c06(spark, d):
     req = F.array(F.concat(F.lit("v:"), (F.col("user_id") % 9).cast("string")))
@@ -285,7 +301,7 @@ def c08(spark, d):
 
 @query("c13_scrub", """SELECT event_id, '{"k": ' || (props->>'k') || '}' AS data FROM events""")
 def c13(spark, d):
-    dirty = F.concat(F.lit('{"trace_id": "t", "headers": {"a": 1}, '), F.substring("props", 2, 1000))
+    dirty = F.concat(F.lit('{"trace_id": "t", "headers": {"a": 1}, '), F.expr("substring(props, 2)"))
     return table(spark, d, "events").select("event_id", T.scrub_payload(dirty).alias("data"))
 
 
