@@ -25,7 +25,8 @@ are those of all items.
 
 Defined results: null or empty texts match nothing, and null, empty or wordless
 items are never found; items with equal text are all reported; rows repeated
-with one id report once; null ids are reported as null; an empty table gives an
+with one id report once; items and documents without an id take part like others
+and are reported with a null id; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -225,7 +226,7 @@ class ItemIndex:
 
 def index_shards(benchmark: DataFrame, shard_chars: int = SHARD_CHARS):
     """Yield an ItemIndex for each shard of the items."""
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).distinct()
 
     def terms(batches):
         for batch in batches:

@@ -243,3 +243,14 @@ def test_stages_on_odd_rows(spark):
         got = stage(spark, docs.limit(0), SF)
         assert got.columns == docs.columns and got.isEmpty()
     assert drop_near_duplicates(docs).columns == docs.columns
+
+
+def test_benchmark_items_without_an_id_are_items_too(spark):
+    from hopgraph.llm import decontamination
+
+    passage = " ".join(f"question{k}" for k in range(30))
+    other = " ".join(f"another{k}" for k in range(30))
+    bench = spark.createDataFrame([(None, passage), (None, other), (1, "a third item of some other words " * 3)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"some words before {passage} and after"), (2, f"{other}"), (3, "clean words only, nothing else in here"), (None, other)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminations(docs, bench).collect()} == {(1, None), (2, None), (None, None)}
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()] == [3]
