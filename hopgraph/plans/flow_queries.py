@@ -71,12 +71,12 @@ def h06(spark, d):
     return H.rel_syscall(flow(spark, d)).select("a", "b")
 
 
-@query("h07_rel_x_request", W + "SELECT call_id || '/c' AS a, call_id || '/s' AS b FROM flow_rows WHERE side_no = 0 UNION ALL SELECT call_id || '/s', call_id || '/c' FROM flow_rows WHERE side_no = 0")
+@query("h07_rel_x_request", W + ", x AS (SELECT a.row_id AS a, b.row_id AS b FROM flow_rows a JOIN flow_rows b ON a.call_id = b.call_id WHERE a.tap_side = 'c' AND b.tap_side = 's' AND a.row_id <> b.row_id) SELECT a, b FROM x UNION SELECT b, a FROM x")
 def h07(spark, d):
     return H.rel_x_request(flow(spark, d)).select("a", "b")
 
 
-@query("h08_rel_app", C + "SELECT parent_id || '/s-p' AS a, call_id || '/c-p' AS b FROM calls WHERE parent_id IS NOT NULL UNION ALL SELECT call_id || '/c-p', parent_id || '/s-p' FROM calls WHERE parent_id IS NOT NULL")
+@query("h08_rel_app", W + ", x AS (SELECT a.row_id AS a, b.row_id AS b FROM flow_rows a JOIN flow_rows b ON a.call_id = b.syscall_id AND a.trace_id = b.trace_id WHERE a.tap_side = 's-p' AND b.tap_side = 'c-p') SELECT a, b FROM x UNION SELECT b, a FROM x")
 def h08(spark, d):
     return H.rel_app(flow(spark, d)).select("a", "b")
 

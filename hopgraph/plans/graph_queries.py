@@ -35,7 +35,10 @@ def e3(spark, d):
     return E.message_graph(view(spark, d, "messages"))
 
 
-@query("e4_service_tree", """SELECT 'gateway' AS service, NULL::VARCHAR AS parent, 0 AS depth UNION ALL SELECT 'svc' || k, 'gateway', 1 FROM range(3) t(k) UNION ALL SELECT 'store', 'svc0', 2""")
+@query("e4_service_tree", C + """, e AS (SELECT DISTINCT client, server FROM calls), one AS (SELECT server AS service, min(client) AS parent FROM e WHERE client = 'gateway' AND server <> 'gateway' GROUP BY 1),
+two AS (SELECT server AS service, min(client) AS parent FROM e WHERE client IN (SELECT service FROM one) AND server <> 'gateway' AND server NOT IN (SELECT service FROM one) GROUP BY 1),
+three AS (SELECT server AS service, min(client) AS parent FROM e WHERE client IN (SELECT service FROM two) AND server <> 'gateway' AND server NOT IN (SELECT service FROM one UNION ALL SELECT service FROM two) GROUP BY 1)
+SELECT 'gateway' AS service, NULL::VARCHAR AS parent, 0 AS depth UNION ALL SELECT *, 1 FROM one UNION ALL SELECT *, 2 FROM two UNION ALL SELECT *, 3 FROM three""")
 def e4(spark, d):
     return E.service_tree(E.service_edges(calls(spark, d)).select("client", "server"), "gateway")
 
@@ -330,13 +333,17 @@ def f10(spark, d):
     return K.containment_fallback(c, known).select("call_id", "parent", "label")
 
 
-@query("f11_labels_from_parents", C + "SELECT call_id, 'r-' || trace_id AS label FROM calls")
+DOWN = C.replace("WITH ", "WITH RECURSIVE ", 1) + """, down AS (SELECT call_id, call_id AS root, 0 AS depth FROM calls WHERE parent_id IS NULL UNION ALL SELECT c.call_id, d.root, d.depth + 1 FROM calls c JOIN down d ON c.parent_id = d.call_id)
+"""
+
+
+@query("f11_labels_from_parents", DOWN + "SELECT call_id, root AS label FROM down")
 def f11(spark, d):
     c = calls(spark, d)
     return K.labels_from_parents(truth(c).select("call_id", "parent"), truth(c).where("parent is null"))
 
 
-@query("f12_map_hops", C + "SELECT 'r-' || trace_id AS root, CASE WHEN client = 'ext' THEN 0 WHEN client = 'gateway' THEN 1 ELSE 2 END AS depth, call_id FROM calls")
+@query("f12_map_hops", DOWN + "SELECT root, depth, call_id FROM down WHERE depth <= 2")
 def f12(spark, d):
     return K.map_hops(calls(spark, d), 2)
 
