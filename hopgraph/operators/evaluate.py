@@ -33,12 +33,21 @@ def trace_assignment(s: DataFrame) -> DataFrame:
     return t.agg(F.count("*").alias("traces"), _n(F.col("ok")).alias("correct")).withColumn("accuracy", share(F.col("correct"), F.col("traces")))
 
 
-def trace_assignment_strict(s: DataFrame) -> DataFrame:
-    """Expected set equals predicted set: a foreign call spoils the trace it came from and the one it went to."""
+def trace_assignment_strict(s: DataFrame, population: DataFrame | None = None) -> DataFrame:
+    """Expected set equals predicted set: a foreign call spoils the trace it came from and the one it went to.
+
+    With ``population`` (trace_id), the traces that were asked for, those that were never captured, or whose entry
+    call wasn't, are in the denominator and not exact.
+    """
     missing = s.where("label is null or label <> trace_id").select("trace_id").distinct()
     extra = s.where("label <> trace_id").select(F.col("label").alias("trace_id")).distinct()
     bad = missing.union(extra).distinct().withColumn("bad", F.lit(True))
-    t = s.select("trace_id").distinct().join(bad, "trace_id", "left")
+    t = s.select("trace_id").distinct()
+    if population is not None:
+        rooted = s.where("parent_id is null").select("trace_id").distinct()
+        t = t.union(population.select("trace_id")).distinct()
+        bad = bad.union(t.join(rooted, "trace_id", "left_anti").withColumn("bad", F.lit(True))).distinct()
+    t = t.join(bad, "trace_id", "left")
     return t.agg(F.count("*").alias("traces"), _n(F.col("bad").isNull()).alias("exact")).withColumn("accuracy", share(F.col("exact"), F.col("traces")))
 
 

@@ -92,6 +92,31 @@ def build_oracle(truth: DataFrame, calls: DataFrame) -> DataFrame:
     return j.join(p, "parent_observation", "left").select("key", "trace_id", "parent_key", "observed")
 
 
+def validate_oracle(independent: DataFrame, captured: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """What is wrong with a truth of all calls, against what was captured: counts by problem, all of them zero if it can be used.
+
+    independent(key, trace_id, parent_key), captured(key, trace_id) and, if known, requests(trace_id): the traces that
+    were asked for, each of which the truth must have and no other.
+    """
+    twice = independent.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 or key is null")
+    roots = independent.groupBy("trace_id").agg(F.sum(F.col("parent_key").isNull().cast("int")).alias("roots"))
+    known = independent.select(F.col("key").alias("parent_key"), F.col("trace_id").alias("p_trace")).distinct()
+    up = independent.where("parent_key is not null").join(known, "parent_key", "left")
+    seen = captured.join(independent.select("key", F.col("trace_id").alias("said")).distinct(), "key", "left")
+    rows = [
+        ("duplicate", twice), ("no-trace", independent.where("trace_id is null")), ("no-root", roots.where("roots = 0")), ("several-roots", roots.where("roots > 1")),
+        ("bad-parent", up.where("p_trace is null or p_trace <> trace_id or parent_key = key")), ("captured-but-omitted", seen.where("said is null")), ("label-disagrees", seen.where("said <> trace_id")),
+    ]
+    if requests is not None:
+        traces = independent.select("trace_id").distinct()
+        rows += [("request-without-trace", requests.select("trace_id").distinct().join(traces, "trace_id", "left_anti")), ("trace-without-request", traces.join(requests, "trace_id", "left_anti"))]
+    out = None
+    for name, df in rows:
+        n = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 def validate_predictions(pred: DataFrame, oracle: DataFrame) -> DataFrame:
     """pred(key, root_key, parent_key), oracle(key, trace_id) -> counts by problem."""
     roots = oracle.where("parent_key is null").select(F.col("key").alias("root_key"))

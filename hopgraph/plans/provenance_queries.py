@@ -12,7 +12,7 @@ from hopgraph.operators import provenance as P
 from hopgraph.operators import quality as Q
 from hopgraph.operators import topology as E
 from hopgraph.operators.graphs import components
-from hopgraph.plans.fixtures import duck, view
+from hopgraph.plans.fixtures import duck, table, view
 from hopgraph.plans.graph_queries import FULL_TRACE
 from hopgraph.plans.registry import query
 
@@ -185,6 +185,26 @@ def q4(spark, d):
     return Q.validate_predictions(pred.unionByName(again), c.select(F.col("call_id").alias("key"), "trace_id", F.col("parent_id").alias("parent_key")))
 
 
+# A truth with faults: calls twice, traces without and with two entry calls, parents of other traces, captured calls left out or of another trace.
+FAULTY = C + """, t AS (SELECT CASE WHEN trace_id % 70 = 5 AND server = 'store' THEN 'lost-' || call_id ELSE call_id END AS key, CASE WHEN trace_id % 90 = 7 AND server = 'store' THEN trace_id + 1 ELSE trace_id END AS trace_id,
+  CASE WHEN trace_id % 110 = 9 AND parent_id IS NULL THEN 'c-' || trace_id || '-none' WHEN trace_id % 130 = 11 AND client = 'gateway' THEN NULL WHEN trace_id % 150 = 13 AND client = 'gateway' THEN 'r-' || (trace_id + 1) ELSE parent_id END AS parent_key FROM calls), i AS (SELECT * FROM t UNION ALL SELECT * FROM t WHERE trace_id % 170 = 15),
+k AS (SELECT DISTINCT key, trace_id AS up FROM t), u AS (SELECT i.*, up FROM i LEFT JOIN k ON k.key = i.parent_key WHERE parent_key IS NOT NULL), r AS (SELECT trace_id, count(*) FILTER (parent_key IS NULL) AS n FROM i GROUP BY 1), s AS (SELECT c.call_id, c.trace_id, k.up AS said FROM calls c LEFT JOIN k ON k.key = c.call_id)
+"""
+
+
+@query("q4_validate_oracle", FAULTY + """SELECT 'duplicate' AS problem, count(*) AS n FROM (SELECT key FROM i GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'no-trace', 0 UNION ALL SELECT 'no-root', count(*) FROM r WHERE n = 0 UNION ALL SELECT 'several-roots', count(*) FROM r WHERE n > 1
+UNION ALL SELECT 'bad-parent', count(*) FROM u WHERE up IS NULL OR up <> trace_id OR parent_key = key UNION ALL SELECT 'captured-but-omitted', count(*) FROM s WHERE said IS NULL UNION ALL SELECT 'label-disagrees', count(*) FROM s WHERE said <> trace_id
+UNION ALL SELECT 'request-without-trace', count(*) FROM (SELECT o_orderkey FROM orders UNION SELECT -1) o(t) WHERE t NOT IN (SELECT trace_id FROM i) UNION ALL SELECT 'trace-without-request', count(*) FROM r WHERE trace_id NOT IN (SELECT o_orderkey FROM orders)""")
+def q4b(spark, d):
+    c, t = view(spark, d, "calls"), F.col("trace_id")
+    below = F.col("client") == "gateway"
+    parent = F.when((t % 110 == 9) & F.col("parent_id").isNull(), F.concat(F.lit("c-"), t.cast("string"), F.lit("-none"))).when((t % 130 == 11) & below, F.lit(None)).when((t % 150 == 13) & below, F.concat(F.lit("r-"), (t + 1).cast("string"))).otherwise(F.col("parent_id"))
+    store = F.col("server") == "store"
+    truth = c.select(F.when((t % 70 == 5) & store, F.concat(F.lit("lost-"), "call_id")).otherwise(F.col("call_id")).alias("key"), F.when((t % 90 == 7) & store, t + 1).otherwise(t).alias("trace_id"), parent.alias("parent_key"))
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("trace_id")).union(spark.range(1).select(-1 - F.col("id")))
+    return Q.validate_oracle(truth.unionByName(truth.where("trace_id % 170 = 15")), c.select(F.col("call_id").alias("key"), "trace_id"), asked)
+
+
 @query("q6_ablation", " UNION ALL ".join(f"SELECT '{v}' AS variant, * FROM ({q})" for v, q in (("time", FULL_TRACE[0]), ("context", FULL_TRACE[0]), ("no-context", FULL_TRACE[1]), ("full", FULL_TRACE[1]), ("fallback", FULL_TRACE[1]))))
 def q6(spark, d):
     """In these data no child has a token of its parent's ancestors and all children have a labelled parent, so context and fallback change nothing."""

@@ -92,3 +92,21 @@ def test_payloads_of_any_depth(spark):
     df = spark.createDataFrame([(data,), (deep,), (typed,), (None,)], "d string")
     got = df.select(T.lineage_tokens(F.col("d")).alias("a"), T.db_lineage_tokens(F.col("d")).alias("b"), T.scrub_payload(F.col("d")).alias("c")).collect()
     assert len(got) == 4 and got[3] == ([], [], None)
+
+
+def test_traces_that_were_never_captured_stay_in_the_denominator(spark):
+    call = "call_id string, parent_id string, trace_id long, label long"
+    s = evaluate.scored(spark.createDataFrame([("r1", None, 1), ("c1", "r1", 1), ("c2", "r2", 2)], "call_id string, parent_id string, trace_id long"), spark.createDataFrame([("r1", 1, None), ("c1", 1, "r1"), ("c2", 2, None)], "call_id string, label long, parent_pred string"))
+    assert tuple(evaluate.trace_assignment_strict(s).first())[:2] == (2, 2)
+    # Trace 2 lacks its entry call, 3 and 4 everything.
+    asked = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], call.split(", ")[2])
+    assert tuple(evaluate.trace_assignment_strict(s, asked).first()) == (4, 1, 25.0)
+
+
+def test_a_truth_that_cannot_be_used(spark):
+    from hopgraph.operators import quality
+
+    truth = [("r1", "t1", None), ("c1", "t1", "r1"), ("c1", "t1", "r1"), ("r2", "t2", None), ("x2", "t2", None), ("c3", "t3", "r1"), ("c4", "t2", "c4"), ("c5", "t2", "zz")]
+    captured = [("r1", "t1"), ("c1", "t9"), ("lost", "t1")]
+    got = {r.problem: r.n for r in quality.validate_oracle(spark.createDataFrame(truth, "key string, trace_id string, parent_key string"), spark.createDataFrame(captured, "key string, trace_id string"), spark.createDataFrame([("t1",), ("t2",), ("t7",)], "trace_id string")).collect()}
+    assert got == {"duplicate": 1, "no-trace": 0, "no-root": 1, "several-roots": 1, "bad-parent": 3, "captured-but-omitted": 1, "label-disagrees": 1, "request-without-trace": 1, "trace-without-request": 1}
