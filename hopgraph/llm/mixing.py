@@ -12,11 +12,10 @@ in a seeded order, as long as they fit. That order is cut into 4096 buckets by
 the hash; sums of whole buckets say what goes before each, and rows are ordered
 within a bucket of a source. So no source, however large, passes through one
 task. All of this is decided on sizes alone; what is decided is a few places in
-the order of each source, and texts are only filtered by them, not shuffled. ``mix`` goes on in that order behind a document that is too long, in rounds,
-until no unused document of the source fits, then takes the nearest one, which may
-go over, if that is nearer than none. op2's SQL instead fills what is left with at
-most ``FILLS`` documents of the source, each the nearest in size (the last may go
-over), so behind a long document op2 can stay far below its target.
+the order of each source, and texts are only filtered by them, not shuffled.
+Behind a document that is too long the order goes on, in rounds, until no unused
+document of the source fits; then the nearest one, which may go over, is taken if
+that is nearer than none. So a long document ends no source's budget.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 sorted last; documents with a null id are ordered by their text's hash; rows repeated with one id
@@ -34,8 +33,6 @@ from hopgraph.llm.common import WORD, read_table, text_of, written
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 SEED = "mix-1"
-#: Documents a source that fill what its budget has left after the seeded order.
-FILLS = 3
 
 
 def water_fill(sources: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -94,29 +91,27 @@ def ahead(rows: DataFrame) -> DataFrame:
     return rows.join(words.hint("merge"), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("slot"))).drop("of", "slot")
 
 
-def taken_once_more(cut: str = "cut", rounds: str = "rounds", picks: str = "picks") -> Column:
-    """Whether a row joined with its source's decisions gets the repetition that only some rows get."""
-    first = F.coalesce(F.col("budget") > 0, F.lit(False)) & (F.col(cut).isNull() | (key() < F.col(cut)))
-    later = F.exists(rounds, lambda r: (F.col("size") > 0) & (F.col("size") <= r["gap"]) & (r["cut"].isNull() | (key() < r["cut"])))
-    return first | later | F.array_contains(picks, key())
+def taken_in_order() -> Column:
+    """Whether a row joined with its source's decisions gets one more repetition in the seeded order."""
+    first = F.coalesce(F.col("budget") > 0, F.lit(False)) & (F.col("cut").isNull() | (key() < F.col("cut")))
+    later = F.exists("rounds", lambda r: (F.col("size") > 0) & (F.col("size") <= r["gap"]) & (r["cut"].isNull() | (key() < r["cut"])))
+    return first | later
 
 
-def nearest(rows: DataFrame, sources: DataFrame, may_pass: bool) -> DataFrame:
-    """sources with the row, if any, whose size is nearest to their gap added to ``picks`` and taken off; ``may_pass``: it may go over, if that is nearer than none."""
-    open_rows = of_source(rows, sources).where(~taken_once_more() & (F.col("size") > 0))
+def nearest(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """sources with ``pick``: the row whose size is nearest to their gap, which it may pass, if any is nearer than none."""
+    open_rows = of_source(rows, sources).where(~taken_in_order() & (F.col("size") > 0))
     off = F.abs(F.col("gap") - F.col("size"))
-    near = off < F.col("gap") if may_pass else F.col("size") <= F.col("gap")
-    best = open_rows.where(near).groupBy("source").agg(F.min(F.struct(off.alias("off"), "place", "size", "tie")).alias("best"))
+    best = open_rows.where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "place", "size", "tie")).alias("best"))
     best = best.select("source", F.struct("best.place", "best.size", "best.tie").alias("pick"))
-    sources = of_source(sources, best, "left").withColumn("gap", F.col("gap") - F.coalesce("pick.size", F.lit(0)))
-    return written(sources.withColumn("picks", F.when(F.col("pick").isNull(), F.col("picks")).otherwise(F.array_append("picks", F.col("pick")))).drop("pick"), "mix-sources")
+    return written(of_source(sources, best, "left"), "mix-sources")
 
 
-def decisions(thin: DataFrame, weights, max_epochs: float, fills: int | None) -> DataFrame:
+def decisions(thin: DataFrame, weights, max_epochs: float) -> DataFrame:
     """thin(source, size, place, tie) -> by source its size, target and whole repetitions, and which rows are taken once more.
 
     Those are the rows before ``cut`` in the seeded order; of the rows that are small enough for what a round
-    had left those before that round's cut (``rounds``); and single ``picks``. A row for each source with a
+    had left those before that round's cut (``rounds``); and a last ``pick``. A row for each source with a
     few values for each round: a small table, which meets the documents without a shuffle of their texts.
     """
     rows = written(ahead(thin.withColumn("bucket", F.substring("place", 1, 3))), "mix-thin")
@@ -125,12 +120,11 @@ def decisions(thin: DataFrame, weights, max_epochs: float, fills: int | None) ->
     placed = of_source(rows, plan.select("source", "budget")).withColumn("fits", (F.col("budget") > 0) & (upto(F.col("before")) <= F.col("budget")))
     rows = written(placed.select("source", "bucket", "place", "size", "tie", "fits"), "mix-places")
     first = rows.groupBy("source").agg(F.min(F.when(~F.col("fits"), key())).alias("cut"), F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("used"))
-    picks = F.array().cast("array<struct<place:string,size:bigint,tie:bigint>>").alias("picks")
-    gaps = of_source(plan, first).select("*", (F.col("budget") - F.col("used")).alias("gap"), picks).drop("used")
+    gaps = of_source(plan, first).select("*", (F.col("budget") - F.col("used")).alias("gap")).drop("used")
     gaps = written(gaps, "mix-sources")
     rounds = gaps.select("source", F.lit(None).cast("double").alias("gap"), F.col("cut")).limit(0)
     left = rows.where(~F.col("fits") & (F.col("size") > 0)).drop("fits")
-    while fills is None:
+    while True:
         left = written(of_source(left, gaps.select("source", "gap")).where("size <= gap"), "mix-left")
         if left.isEmpty():
             break
@@ -145,21 +139,20 @@ def decisions(thin: DataFrame, weights, max_epochs: float, fills: int | None) ->
     rounds = rounds.groupBy("source").agg(F.collect_list(F.struct("gap", "cut")).alias("rounds"))
     none = F.array().cast(rounds.schema["rounds"].dataType)
     sources = written(of_source(gaps, rounds, "left").withColumn("rounds", F.coalesce("rounds", none)), "mix-sources")
-    for k in range(1 if fills is None else fills):
-        sources = nearest(rows, sources, fills is None or k == fills - 1)
-    return sources
+    return nearest(rows, sources)
 
 
-def plan_mix(rows: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, fills: int | None = FILLS) -> DataFrame:
-    """rows with source, size, place and tie -> the same with source_size, target, copies and taken; ``fills`` None fills budgets until no row fits."""
-    sources = decisions(rows.select("source", "size", "place", "tie"), weights, max_epochs, fills)
-    rows = of_source(rows, sources).withColumn("copies", F.col("whole") + taken_once_more().cast("long"))
-    return rows.withColumn("taken", F.col("size") * F.col("copies")).drop("whole", "budget", "cut", "rounds", "picks", "gap")
+def plan_mix(rows: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """rows with source, size, place and tie -> the same with source_size, target, copies and taken."""
+    sources = decisions(rows.select("source", "size", "place", "tie"), weights, max_epochs)
+    once_more = taken_in_order() | F.coalesce(F.col("pick") == key(), F.lit(False))
+    rows = of_source(rows, sources).withColumn("copies", F.col("whole") + once_more.cast("long"))
+    return rows.withColumn("taken", F.col("size") * F.col("copies")).drop("whole", "budget", "cut", "rounds", "pick", "gap")
 
 
-def mix(docs: DataFrame, fills: int | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each document as often as it is taken; budgets are filled until no document fits."""
-    return plan_mix(sized(docs), fills=fills, **options).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+    return plan_mix(sized(docs), **options).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op2_source_mix(spark, sf_dir):
@@ -169,7 +162,7 @@ def op2_source_mix(spark, sf_dir):
 
 
 OP2_SQL = f"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS place FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source
@@ -188,20 +181,18 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t
 ), r AS (
   SELECT doc_id, size, d.source, place, source_size, target, whole, target - whole * source_size AS budget,
-    row_number() OVER (PARTITION BY d.source ORDER BY place, size) AS n, sum(size) OVER (PARTITION BY d.source ORDER BY place, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    row_number() OVER (PARTITION BY d.source ORDER BY place, size) AS n
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
-), g0 AS (
-  SELECT *, budget > 0 AND upto <= budget AS got0, budget - coalesce(sum(size) FILTER (budget > 0 AND upto <= budget) OVER (PARTITION BY source), 0) AS gap0 FROM r
-), g1 AS (
-  SELECT *, NOT got0 AND size > 0 AND size <= gap0 AND row_number() OVER (PARTITION BY source, NOT got0 AND size > 0 AND size <= gap0 ORDER BY abs(gap0 - size), place, n) = 1 AS got1 FROM g0
-), h1 AS (
-  SELECT *, gap0 - coalesce(sum(size) FILTER (got1) OVER (PARTITION BY source), 0) AS gap1 FROM g1
-), g2 AS (
-  SELECT *, NOT got0 AND NOT got1 AND size > 0 AND size <= gap1 AND row_number() OVER (PARTITION BY source, NOT got0 AND NOT got1 AND size > 0 AND size <= gap1 ORDER BY abs(gap1 - size), place, n) = 1 AS got2 FROM h1
-), h2 AS (
-  SELECT *, gap1 - coalesce(sum(size) FILTER (got2) OVER (PARTITION BY source), 0) AS gap2 FROM g2
-), g3 AS (
-  SELECT *, NOT got0 AND NOT got1 AND NOT got2 AND size > 0 AND abs(gap2 - size) < gap2 AND row_number() OVER (PARTITION BY source, NOT got0 AND NOT got1 AND NOT got2 AND size > 0 AND abs(gap2 - size) < gap2 ORDER BY abs(gap2 - size), place, n) = 1 AS got3 FROM h2
+), w AS (
+  SELECT source, 0::BIGINT AS n, target - whole * source_size AS gap, false AS took FROM b
+  UNION ALL
+  SELECT r.source, r.n, CASE WHEN r.size <= w.gap THEN w.gap - r.size ELSE w.gap END, r.budget > 0 AND r.size <= w.gap FROM w JOIN r ON r.n = w.n + 1 AND r.source IS NOT DISTINCT FROM w.source
+), g AS (
+  SELECT r.*, w.took, min(w.gap) OVER (PARTITION BY r.source) AS gap FROM r JOIN w ON r.n = w.n AND r.source IS NOT DISTINCT FROM w.source
+), q AS (
+  SELECT *, NOT took AND size > 0 AND abs(gap - size) < gap AS near FROM g
+), x AS (
+  SELECT *, near AND row_number() OVER (PARTITION BY source, near ORDER BY abs(gap - size), place, n) = 1 AS pick FROM q
 )
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN got0 OR got1 OR got2 OR got3 THEN 1 ELSE 0 END))::BIGINT AS taken FROM g3
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN took OR pick THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
 """
