@@ -144,15 +144,31 @@ def start_gaps(requests: DataFrame, by: list[str], slice_us: int = 60_000_000) -
 
 
 def load_summary(requests: DataFrame, by: list[str]) -> DataFrame:
-    """Requests, errors, latency percentiles and the gaps between starts, by group."""
+    """Requests, errors (status 400 and up, or none), latency percentiles and the gaps between starts, by group."""
     q = lower_rank(requests, "latency_ms", by, {"p50": 0.5, "p90": 0.9, "p99": 0.99})
     a = start_gaps(requests, by).groupBy(*by).agg(
-        F.count("*").alias("requests"), _n(F.col("status") >= 400).alias("errors"), F.round(F.avg("latency_ms"), 4).alias("mean_ms"),
+        F.count("*").alias("requests"), _n(F.col("status").isNull() | (F.col("status") >= 400)).alias("errors"), F.round(F.avg("latency_ms"), 4).alias("mean_ms"),
         F.round(F.avg("gap_us"), 3).alias("gap_mean_us"), F.round(F.stddev_pop("gap_us") / 1000, 3).alias("gap_std_ms"),
     )
     return a.join(q, by, "left")
 
 
+def load_timing(requests: DataFrame, by: list[str]) -> DataFrame:
+    """requests(ts, index, latency_ms, start_lag_ms), by group: the rate reached from first start to last end, and percentiles of start lags and of gaps between starts.
+
+    Percentiles are lower ranks; unknown lags and latencies are left out, and a group without a span of time has rate 0.
+    """
+    ranks = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    end = start + F.coalesce(F.round(F.col("latency_ms") * 1000), F.lit(0)).cast("long")
+    r = start_gaps(requests, by).withColumn("gap_ms", F.col("gap_us") / 1000)
+    a = r.groupBy(*by).agg(F.count("*").alias("requests"), ((F.max(end) - F.min(start)) / 1e6).alias("elapsed_s"), F.max("start_lag_ms").alias("lag_max"))
+    a = a.withColumn("rate_rps", F.round(F.when(F.col("elapsed_s") > 0, F.col("requests") / F.col("elapsed_s")).otherwise(0.0), 6))
+    lags = lower_rank(requests, "start_lag_ms", by, {f"lag_{k}": q for k, q in ranks.items()})
+    gaps = lower_rank(r, "gap_ms", by, {f"gap_{k}": q for k, q in ranks.items()})
+    return a.join(lags, by, "left").join(gaps, by, "left")
+
+
 def status_counts(requests: DataFrame) -> DataFrame:
     return requests.groupBy("mode", "status").agg(F.count("*").alias("n"))
 
@@ -169,17 +185,36 @@ def max_concurrency(intervals: DataFrame, slice_us: int = 60_000_000) -> DataFra
     return slices.withColumn("open", before + F.col("peak")).agg(F.max("open").alias("max_concurrency"))
 
 
-def overhead_by_rate(requests: DataFrame) -> DataFrame:
-    """Mean and sample deviation of latency by rate and mode, with the difference from the mode 'view'."""
+def overhead_by_rate(requests: DataFrame, baseline: str = "view") -> DataFrame:
+    """Mean and sample deviation of latency by rate and mode, with the difference from the mode ``baseline``."""
     m = requests.groupBy("rate", "mode").agg(F.count("*").alias("n"), F.avg("latency_ms").alias("mean"), F.stddev_samp("latency_ms").alias("std"))
-    base = m.where("mode = 'view'").select("rate", F.col("mean").alias("base"))
+    base = m.where(F.col("mode") == baseline).select("rate", F.col("mean").alias("base"))
     return m.join(base, "rate", "left").select("rate", "mode", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round(F.col("mean") - F.col("base"), 6).alias("delta"))
 
 
+def overhead_by_repeat(runs: DataFrame, baseline: str) -> DataFrame:
+    """runs(rate, mode, repeat, value) -> by rate and mode the mean and sample deviation of each run's difference from the baseline run of the same repeat.
+
+    Where that repeat has no baseline run, the mean of the rate's baseline runs stands in, and 0 where there is none.
+    One run has deviation 0. Runs told twice count by their mean.
+    """
+    runs = runs.groupBy("rate", "mode", "repeat").agg(F.avg("value").alias("value"))
+    base = runs.where(F.col("mode") == baseline).select("rate", "repeat", F.col("value").alias("same"))
+    mean = base.groupBy("rate").agg(F.avg("same").alias("typical"))
+    delta = F.col("value") - F.coalesce("same", "typical", F.lit(0.0))
+    d = runs.join(base, ["rate", "repeat"], "left").join(mean, "rate", "left").withColumn("delta", delta)
+    return d.groupBy("rate", "mode").agg(F.count("*").alias("repeats"), F.round(F.avg("delta"), 6).alias("delta"), F.round(F.coalesce(F.stddev_samp("delta"), F.lit(0.0)), 6).alias("delta_std"))
+
+
 def pivot_modes(requests: DataFrame, modes: list[str]) -> DataFrame:
     return requests.groupBy("rate").pivot("mode", modes).agg(F.count(F.lit(1)))
 
 
+def ablation_table(summary: DataFrame, workload: str, variant: str, columns: list[str], variants: list[str]) -> DataFrame:
+    """A row for each workload and a column for each variant: the first of ``columns`` that the summary's row has."""
+    return summary.groupBy(workload).pivot(variant, variants).agg(F.max(F.coalesce(*columns)))
+
+
 def metric_table(summary: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Wide summary to (keys, metric, value)."""
     return summary.unpivot(keys, metrics, "metric", "value")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopgraph.operators.candidates import interval_pairs
 from hopgraph.operators.common import ranked, written
 
 #: Rows are ranked within slices of this time.
@@ -66,10 +67,27 @@ def child_order_first_trace(calls: DataFrame, edges: DataFrame) -> DataFrame:
     return j.withColumn("place", F.row_number().over(Window.partitionBy("client").orderBy(F.col("first_us").asc_nulls_last(), "server")))
 
 
-def child_order_gap(contained: DataFrame) -> DataFrame:
-    """contained(client, server, gap_us): pairs of a parent and a call inside it -> order by p10, p50, most gaps."""
-    g = contained.groupBy("client", "server").agg(F.percentile("gap_us", F.lit(0.1)).alias("p10"), F.percentile("gap_us", F.lit(0.5)).alias("p50"), F.count("*").alias("n"))
-    return g.withColumn("place", F.row_number().over(Window.partitionBy("client").orderBy("p10", "p50", F.desc("n"), "server")))
+def gap_pairs(children: DataFrame, parents: DataFrame, slack_us: int = 50_000, bucket_us: int = 100_000) -> DataFrame:
+    """client, server, gap_us, inside: calls with each call of their client's service that is open at their start, or ended at most ``slack_us`` before."""
+    pairs = interval_pairs(children, parents, 0, slack_us, bucket_us)
+    return pairs.select("client", "server", (F.col("start_us") - F.col("p_start")).alias("gap_us"), (F.col("p_end") >= F.col("end_us")).alias("inside"))
+
+
+def child_order_gap(pairs: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """pairs(client, server, gap_us, inside) -> a client's callees by the p10 and p50 of their gaps, then most gaps.
+
+    Gaps are those to parents that contain the call. An edge without any takes its other pairs, and one of
+    ``edges`` without pairs comes last, with nulls. Without ``inside`` all pairs count as contained.
+    """
+    inside = F.col("inside") if "inside" in pairs.columns else F.lit(True)
+    own = F.when(inside, F.col("gap_us"))
+    both = [f(c).alias(f"{name}{k}") for k, c in enumerate((own, F.col("gap_us"))) for name, f in (("p10", lambda c: F.percentile(c, F.lit(0.1))), ("p50", lambda c: F.percentile(c, F.lit(0.5))), ("n", F.count))]
+    g = pairs.groupBy("client", "server").agg(*both)
+    g = g.select("client", "server", *[F.when(F.col("n0") > 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1")).alias(c) for c in ("p10", "p50", "n")])
+    if edges is not None:
+        g = edges.select("client", "server").distinct().join(g, ["client", "server"], "left").na.fill(0, ["n"])
+    order = Window.partitionBy("client").orderBy(F.col("p10").asc_nulls_last(), F.col("p50").asc_nulls_last(), F.desc("n"), "server")
+    return g.withColumn("place", F.row_number().over(order))
 
 
 def temporal_profile(calls: DataFrame, buckets: int = 10, least: int = 8, max_ratio: float = 1.5, tolerance_us: int = 50_000, floor_us: int = 50_000) -> DataFrame:

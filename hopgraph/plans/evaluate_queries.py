@@ -185,6 +185,16 @@ def v11(spark, d):
     return V.load_summary(view(spark, d, "load_requests"), ["mode"])
 
 
+@query("v11_load_timing", L + """, g AS (SELECT *, epoch_us(ts) AS began, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY mode ORDER BY ts, index))) / 1000.0 AS gap, (epoch_us(ts) % 10000000) / 1000.0 AS late FROM load_requests),
+r AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY late) - 1 AS lr, count(*) OVER (PARTITION BY mode) AS ln, row_number() OVER (PARTITION BY mode ORDER BY gap NULLS LAST) - 1 AS gr, count(gap) OVER (PARTITION BY mode) AS gn FROM g),
+a AS (SELECT mode, count(*) AS requests, (max(began + round(latency_ms * 1000)::BIGINT) - min(began)) / 1e6 AS elapsed_s, max(late) AS lag_max, """ + ", ".join(f"max({v}) FILTER ({v[0]}r = floor(({v[0]}n - 1) * {q})) AS {name}_p{p}" for v, name in (("late", "lag"), ("gap", "gap")) for p, q in ((50, 0.5), (90, 0.9), (99, 0.99))) + """ FROM r GROUP BY mode)
+SELECT *, round(CASE WHEN elapsed_s > 0 THEN requests / elapsed_s ELSE 0 END, 6) AS rate_rps FROM a""")
+def v11c(spark, d):
+    """Requests are due every ten seconds; the lag is the time since."""
+    late = (F.unix_micros(F.col("ts").cast("timestamp")) % 10_000_000) / 1000
+    return V.load_timing(view(spark, d, "load_requests").withColumn("start_lag_ms", late), ["mode"])
+
+
 @query("v11_status_counts", L + "SELECT mode, status, count(*) AS n FROM load_requests GROUP BY 1, 2")
 def v11b(spark, d):
     return V.status_counts(view(spark, d, "load_requests"))
@@ -214,6 +224,17 @@ def v14(spark, d):
     return V.overhead_by_rate(view(spark, d, "load_requests"))
 
 
+@query("v14_overhead_by_repeat", L + """, u AS (SELECT rate, mode, index % 5 AS repeat, avg(latency_ms) AS value FROM load_requests WHERE NOT (mode = 'view' AND (rate = 3 OR (rate = 1 AND index % 5 = 4))) GROUP BY 1, 2, 3),
+b AS (SELECT rate, repeat, value AS same FROM u WHERE mode = 'view'), t AS (SELECT rate, avg(same) AS typical FROM b GROUP BY 1),
+x AS (SELECT u.*, value - coalesce(same, typical, 0) AS delta FROM u LEFT JOIN b USING (rate, repeat) LEFT JOIN t USING (rate))
+SELECT rate, mode, count(*) AS repeats, round(avg(delta), 6) AS delta, round(coalesce(stddev_samp(delta), 0), 6) AS delta_std FROM x GROUP BY 1, 2""")
+def v14b(spark, d):
+    """One repeat of rate 1 has no baseline run, and rate 3 has none at all."""
+    r = view(spark, d, "load_requests").withColumn("repeat", F.col("index") % 5)
+    r = r.where("not (mode = 'view' and (rate = 3 or (rate = 1 and repeat = 4)))")
+    return V.overhead_by_repeat(r.groupBy("rate", "mode", "repeat").agg(F.avg("latency_ms").alias("value")), "view")
+
+
 @query("v15_metric_table", L + """, w AS (SELECT rate, count(*)::DOUBLE AS requests, count(*) FILTER (status >= 400)::DOUBLE AS errors FROM load_requests GROUP BY 1)
 SELECT rate, 'requests' AS metric, requests AS "value" FROM w UNION ALL SELECT rate, 'errors', errors FROM w""")
 def v15(spark, d):
@@ -224,3 +245,12 @@ def v15(spark, d):
 @query("v16_pivot_modes", L + """SELECT rate, nullif(count(*) FILTER (mode = 'click'), 0) AS click, nullif(count(*) FILTER (mode = 'view'), 0) AS view, nullif(count(*) FILTER (mode = 'error'), 0) AS error FROM load_requests GROUP BY 1""")
 def v16(spark, d):
     return V.pivot_modes(view(spark, d, "load_requests"), ["click", "view", "error"])
+
+
+@query("v16_ablation", L + """, s AS (SELECT rate, mode, CASE WHEN rate < 2 THEN max(latency_ms) END AS p, max(latency_ms) / 2 AS q FROM load_requests GROUP BY 1, 2)
+SELECT rate, max(coalesce(p, q)) FILTER (mode = 'click') AS click, max(coalesce(p, q)) FILTER (mode = 'error') AS error FROM s GROUP BY 1""")
+def v16b(spark, d):
+    """Summaries of rates 2 and 3 lack the first column, so the second speaks for them."""
+    s = view(spark, d, "load_requests").groupBy("rate", "mode").agg(F.max("latency_ms").alias("most"))
+    s = s.select("rate", "mode", F.when(F.col("rate") < 2, F.col("most")).alias("p"), (F.col("most") / 2).alias("q"))
+    return V.ablation_table(s, "rate", "mode", ["p", "q"], ["click", "error"])

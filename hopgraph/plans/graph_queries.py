@@ -66,6 +66,23 @@ def e7(spark, d):
     return E.child_order_gap(j)
 
 
+#: svc1 answers too late to be contained, svc2 a day later than any parent.
+SHIFTED = ("CASE server WHEN 'svc2' THEN 86400000000 ELSE 0 END", "CASE server WHEN 'svc1' THEN 10000000 WHEN 'svc2' THEN 86400000000 ELSE 0 END")
+
+
+@query("e7_child_order_fallback", C + f""", s AS (SELECT client, server, start_us + {SHIFTED[0]} AS start_us, end_us + {SHIFTED[1]} AS end_us FROM calls),
+p AS (SELECT server AS client, start_us AS p_start, end_us AS p_end, unnest(range(start_us // 100000, (end_us + 50000) // 100000 + 1)) AS b FROM calls),
+j AS (SELECT s.client, s.server, start_us - p_start AS gap, p_end >= end_us AS inside FROM s JOIN p ON p.client = s.client AND p.b = start_us // 100000 WHERE p_start <= start_us AND start_us <= p_end + 50000),
+k AS (SELECT *, bool_or(inside) OVER (PARTITION BY client, server) AS any_inside FROM j),
+a AS (SELECT client, server, quantile_cont(gap, 0.1) AS p10, quantile_cont(gap, 0.5) AS p50, count(*) AS n FROM k WHERE inside OR NOT any_inside GROUP BY 1, 2)
+SELECT client, server, p10, p50, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY client ORDER BY p10 NULLS LAST, p50 NULLS LAST, coalesce(n, 0) DESC, server)::INT AS place FROM (SELECT DISTINCT client, server FROM calls) e LEFT JOIN a USING (client, server)""")
+def e7b(spark, d):
+    """Without known parents: svc1 is placed by its loose pairs, svc2 has none and comes last."""
+    c = calls(spark, d)
+    shifted = c.withColumn("end_us", F.col("end_us") + F.expr(SHIFTED[1])).withColumn("start_us", F.col("start_us") + F.expr(SHIFTED[0]))
+    return E.child_order_gap(E.gap_pairs(shifted, c), c)
+
+
 @query("e8_temporal_profile", C + """, n AS (SELECT server AS client, count(*) AS parents, avg(start_us - 1700000000000000) AS p_mean FROM calls GROUP BY 1), e AS (SELECT client, server, count(*) AS children, avg(start_us - 1700000000000000) AS c_mean, any_value(parents) AS parents, any_value(p_mean) AS p_mean FROM calls JOIN n USING (client) GROUP BY 1, 2),
 r AS (SELECT *, c_mean - p_mean AS mu, CASE WHEN parents < 8 OR children < 8 THEN 'too-few-spans' WHEN greatest(parents, children)::DOUBLE / least(parents, children) > 1.5 THEN 'count-ratio-too-high' WHEN c_mean - p_mean < -50000 THEN 'negative-offset' ELSE 'ok' END AS reason FROM e),
 c AS (SELECT client, server, greatest(0, floor((k + 0.5) * 10 / n)) AS b, avg(start_us - 1700000000000000) AS m FROM (SELECT *, row_number() OVER (PARTITION BY client, server ORDER BY start_us, call_id) - 1 AS k, count(*) OVER (PARTITION BY client, server) AS n FROM calls) GROUP BY 1, 2, 3),

@@ -1,13 +1,15 @@
 """Evidence gates, causes of flow errors, allowed trace ids and payloads of any depth."""
 
+import datetime
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from hopgraph.functions import tokens as T
 from hopgraph.operators import assignment as G
-from hopgraph.operators import candidates, evaluate, flowlog, matching
+from hopgraph.operators import candidates, evaluate, flowlog, matching, topology
 
 STATS = "client string, server string, coverage double, p95_us double, span_us long, occurrences long, diversity double, signal double"
 GOOD = {"client": "b", "server": "c", "coverage": 99.0, "p95_us": 1_000.0, "span_us": 20_000, "occurrences": 3, "diversity": 0.9, "signal": 0.5}
@@ -110,3 +112,34 @@ def test_a_truth_that_cannot_be_used(spark):
     captured = [("r1", "t1"), ("c1", "t9"), ("lost", "t1")]
     got = {r.problem: r.n for r in quality.validate_oracle(spark.createDataFrame(truth, "key string, trace_id string, parent_key string"), spark.createDataFrame(captured, "key string, trace_id string"), spark.createDataFrame([("t1",), ("t2",), ("t7",)], "trace_id string")).collect()}
     assert got == {"duplicate": 1, "no-trace": 0, "no-root": 1, "several-roots": 1, "bad-parent": 3, "captured-but-omitted": 1, "label-disagrees": 1, "request-without-trace": 1, "trace-without-request": 1}
+
+
+def test_order_by_gaps_falls_back_to_loose_pairs(spark):
+    pairs = [("p", "a", 100, True), ("p", "a", 5, False), ("p", "b", 40, False), ("p", "b", 60, False), ("q", "a", 7, True)]
+    pairs = spark.createDataFrame(pairs, "client string, server string, gap_us long, inside boolean")
+    edges = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "c"), ("q", "a")], "client string, server string")
+    got = {(r.client, r.server): (r.p50, r.n, r.place) for r in topology.child_order_gap(pairs, edges).collect()}
+    assert got == {("p", "b"): (50.0, 2, 1), ("p", "a"): (100.0, 1, 2), ("p", "c"): (None, 0, 3), ("q", "a"): (7.0, 1, 1)}
+
+
+def test_pairs_of_gaps_reach_a_little_past_the_parent(spark):
+    schema = "call_id string, client string, server string, start_us long, end_us long"
+    calls = [("p", "x", "s", 1_000_000, 1_100_000), ("in", "s", "t", 1_000_000, 1_100_000), ("late", "s", "t", 1_150_000, 1_160_000), ("gone", "s", "t", 1_150_001, 1_160_000), ("soon", "s", "t", 999_999, 1_050_000)]
+    calls = spark.createDataFrame(calls, schema)
+    assert sorted(map(tuple, topology.gap_pairs(calls, calls).collect())) == [("s", "t", 0, True), ("s", "t", 150_000, False)]
+
+
+def test_overhead_takes_the_baseline_of_the_same_repeat(spark):
+    runs = [(1.0, "base", 1, 10.0), (1.0, "base", 2, 20.0), (1.0, "full", 1, 13.0), (1.0, "full", 2, 21.0), (1.0, "full", 3, 16.0), (2.0, "full", 1, 5.0)]
+    runs = spark.createDataFrame(runs, "rate double, mode string, repeat int, value double")
+    got = {(r.rate, r["mode"]): (r.repeats, r.delta, r.delta_std) for r in evaluate.overhead_by_repeat(runs, "base").collect()}
+    assert got == {(1.0, "base"): (2, 0.0, 0.0), (1.0, "full"): (3, round(5 / 3, 6), round(math.sqrt(4 / 3), 6)), (2.0, "full"): (1, 5.0, 0.0)}
+
+
+def test_load_timing_of_one_request_and_without_any(spark):
+    schema = "mode string, index long, ts timestamp, latency_ms double, start_lag_ms double"
+    one = spark.createDataFrame([("a", 1, datetime.datetime(2024, 1, 1), 500.0, 2.5), ("b", 1, datetime.datetime(2024, 1, 1), None, None)], schema)
+    got = {r["mode"]: r for r in evaluate.load_timing(one, ["mode"]).collect()}
+    assert (got["a"].rate_rps, got["a"].lag_p99, got["a"].gap_p50) == (2.0, 2.5, None)
+    assert (got["b"].rate_rps, got["b"].elapsed_s, got["b"].lag_p50, got["b"].lag_max) == (0.0, 0.0, None, None)
+    assert evaluate.load_timing(one.limit(0), ["mode"]).count() == 0

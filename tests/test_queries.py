@@ -9,7 +9,7 @@ from hopgraph.plans.fixtures import VIEWS  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
-QUICK = ["a1_messages_csv", "a4_jaeger_spans", "a6_load_reports", "b07_pair_fifo", "b10_pair_messages", "b16_complete_traces", "c07_edge_idf", "c12_extend_owners", "e8_temporal_profile", "e9_delay_chain", "f1_temporal_candidates", "f8_causal_parent", "g6_topk", "h02_merge_sessions", "h10_relations", "h12_hop_chains", "h14_process_parents", "h15_connect_by_rules", "h17_self_time", "h18_service_uids", "p2_value_time_edges", "q3_build_oracle", "v04_parent_edges", "v10_flow_causes", "v11_load_summary", "v12_max_concurrency"]
+QUICK = ["a1_messages_csv", "a4_jaeger_spans", "a6_load_reports", "b07_pair_fifo", "b10_pair_messages", "b16_complete_traces", "c07_edge_idf", "c12_extend_owners", "e7_child_order_fallback", "e8_temporal_profile", "e9_delay_chain", "f1_temporal_candidates", "f8_causal_parent", "g6_topk", "h02_merge_sessions", "h10_relations", "h12_hop_chains", "h14_process_parents", "h15_connect_by_rules", "h17_self_time", "h18_service_uids", "p2_value_time_edges", "q3_build_oracle", "v04_parent_edges", "v10_flow_causes", "v11_load_summary", "v11_load_timing", "v12_max_concurrency", "v14_overhead_by_repeat", "v16_ablation"]
 
 
 @pytest.fixture(scope="module")
