@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopgraph import plans
+from hopgraph.operators import candidates as K
 from hopgraph.operators import flowlog as H
 from tests.test_queries import SF, con, plain  # noqa: F401
 
@@ -40,3 +41,25 @@ def test_rows_that_share_more_than_one_id_are_paired_once(spark):
     assert pairs(H.rel_x_request(flow)) == ["ab", "ac", "ba", "ca"]
     assert pairs(H.rel_network_weak(flow)) == ["ab", "ba", "cd", "dc"]
     assert pairs(H.rel_dns(flow)) == ["cd", "dc"]
+
+
+@pytest.mark.parametrize("name", ["f2_fallback_candidates", "f3_prefer_strict", "f4_best_parent", "f5_propagate_time"])
+def test_candidates_against_sql(spark, con, name):  # noqa: F811
+    test_relations_against_sql(spark, con, name)
+
+
+def test_candidates_of_a_call_are_ranked_where_they_were_joined(spark):
+    calls = spark.createDataFrame([], "call_id string, client string, server string, start_us long, end_us long")
+    for cands in (K.temporal_candidates(calls), K.fallback_candidates(calls), K.prefer_strict(K.temporal_candidates(calls))):
+        assert shuffles_after_join(cands) == 0
+
+
+def test_a_round_looks_only_at_edges_whose_parents_changed(spark, monkeypatch):
+    rows = [("r", "ext", "s0", 0, 100)] + [(f"c{k}", f"s{k}", f"s{k + 1}", k + 1, 99 - k) for k in range(4)]
+    calls = spark.createDataFrame(rows, "call_id string, client string, server string, start_us long, end_us long").withColumns({"value_a": F.lit("a"), "value_b": F.lit("b")})
+    asked = []
+    plain_best = K.best_parent
+    monkeypatch.setattr(K, "best_parent", lambda cands, *rest: asked.append(sorted({r.client for r in cands.select("client").collect()})) or plain_best(cands, *rest))
+    labels, _, whole = K.infer(calls, "time")
+    assert whole and {(r.call_id, r.parent, r.label) for r in labels.collect()} == {("r", None, "r"), ("c0", "r", "r")} | {(f"c{k}", f"c{k - 1}", "r") for k in range(1, 4)}
+    assert asked[:5] == [["s0"], ["s1"], ["s2"], ["s3"], []]
