@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopgraph.functions import tokens as T
+from hopgraph.functions.substrings import possible_parts
 from hopgraph.operators.candidates import labels_from_parents
 from hopgraph.operators.common import written
 
@@ -18,13 +19,42 @@ PROTOCOLS = ["http", "http1", "http2", "http/1.1", "http/2", "grpc"]
 def leaked_labels(payloads: DataFrame, labels: DataFrame) -> DataFrame:
     """payloads(row, data), labels(label) -> row of every payload that holds some label anywhere.
 
-    All parts of a payload that are as long as some label meet the labels in an equi-join: no label is sent
-    to every payload, however many there are. There are few lengths of labels.
+    Parts of a payload that are as long as some label are looked up in a bitmap of the labels' hashes of bounded size, and
+    only those that can be labels meet the labels in an equi-join, which decides. There are few lengths of labels.
     """
-    lengths = labels.groupBy(F.length("label").alias("size")).agg(F.count("*").alias("n")).where("size > 0")
-    cut = payloads.crossJoin(F.broadcast(lengths.select("size"))).where("length(data) >= size")
-    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("data") - F.col("size") + 1), lambda at: F.substring(F.col("data"), at, F.col("size"))))
-    return cut.select("row", F.explode(parts).alias("label")).join(labels.select("label").distinct(), "label", "left_semi").select("row").distinct()
+    labels = written(labels.select(F.col("label").alias("word")).where("word <> ''").distinct(), "labels")
+    sizes = [r.size for r in labels.select(F.length("word").alias("size")).distinct().collect()]
+    return possible_parts(payloads, labels, sizes).join(labels, "word", "left_semi").select("row").distinct()
+
+
+CALL = ["client", "server", "stream_id"]
+
+
+def blind_oracle(messages: DataFrame) -> DataFrame:
+    """The oracle of calls of ``prepare_blind``; payloads aren't read for it."""
+    return _oracle(_by_call(messages))[0]
+
+
+def _by_call(m: DataFrame) -> DataFrame:
+    by_call = m.groupBy(*CALL).agg(
+        F.countDistinct("trace_id").alias("labels"), F.array_sort(F.collect_set("msg_type")).alias("kinds"), F.count("*").alias("rows"), F.min("trace_id").alias("trace_id")
+    )
+    return written(by_call, "blind-calls")
+
+
+def _oracle(by_call: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls with their label and whether they are entries, entry calls by label)."""
+    host = lambda c: F.substring_index(c, ":", 1)
+    paired = by_call.where(F.size("kinds") == 2)
+    entries = paired.join(paired.select(host("server").alias("host")).distinct(), host("client") == F.col("host"), "left_anti")
+    roots = entries.groupBy("trace_id").agg(F.count("*").alias("roots"), F.min(F.struct(*CALL)).alias("root"))
+    oracle = by_call.join(roots.select("trace_id", "root"), "trace_id", "left").select(*CALL, "trace_id", "kinds", F.coalesce(F.struct(*CALL) == F.col("root"), F.lit(False)).alias("entry"))
+    return oracle, roots
+
+
+def blind_messages(messages: DataFrame) -> DataFrame:
+    """The messages of ``prepare_blind``."""
+    return messages.withColumn("data", F.coalesce(T.scrub_json_payload("data"), F.lit("{}"))).select(*BLIND_COLUMNS)
 
 
 def prepare_blind(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -34,19 +64,13 @@ def prepare_blind(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     that serve nothing. Problems are protocols and rows that don't belong here, labels that conflict, directions
     seen twice, unparsed payloads, labels anywhere in a scrubbed payload, and traces with several entry calls.
     """
-    key = ["client", "server", "stream_id"]
-    m = messages.withColumn("clean", T.scrub_json_payload("data")).withColumn("row", F.xxhash64(*key, "msg_type", "time_us", "trace_id", "data"))
+    m = messages.withColumn("clean", T.scrub_json_payload("data")).withColumn("row", F.xxhash64(*CALL, "msg_type", "time_us", "trace_id", "data"))
     m = written(m, "blind-messages")
-    by_call = m.groupBy(*key).agg(
-        F.countDistinct("trace_id").alias("labels"), F.array_sort(F.collect_set("msg_type")).alias("kinds"), F.count("*").alias("rows"), F.min("trace_id").alias("trace_id")
-    )
-    host = lambda c: F.substring_index(c, ":", 1)
-    paired = by_call.where(F.size("kinds") == 2)
-    entries = paired.join(paired.select(host("server").alias("host")).distinct(), host("client") == F.col("host"), "left_anti")
-    roots = entries.groupBy("trace_id").agg(F.count("*").alias("roots"), F.min(F.struct(*key)).alias("root"))
+    by_call = _by_call(m)
+    oracle, roots = _oracle(by_call)
     problem = lambda df, name: df.select(F.lit(name).alias("problem"), "trace_id").distinct()
     labels = m.where("trace_id <> ''").select(F.col("trace_id").alias("label")).distinct()
-    leaks = leaked_labels(m.where("clean is not null").select("row", F.col("clean").alias("data")).distinct(), labels)
+    leaks = leaked_labels(m.where("clean is not null").select("row", F.col("clean").alias("data")), labels)
     bad = F.coalesce(~F.col("msg_type").isin("Request", "Response"), F.lit(True)) | F.coalesce(F.col("trace_id") == "", F.lit(True))
     problems = (
         problem(m.where(~F.coalesce(F.lower(F.trim("protocol_type")).isin(PROTOCOLS), F.lit(False))), "protocol").unionByName(problem(m.where(bad), "direction-or-label-missing"))
@@ -54,7 +78,6 @@ def prepare_blind(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
         .unionByName(problem(m.where("clean is null"), "unparsed-payload")).unionByName(problem(m.join(leaks, "row", "left_semi"), "label-in-payload"))
         .unionByName(problem(roots.where("roots > 1"), "several-entry-calls"))
     )
-    oracle = by_call.join(roots.select("trace_id", "root"), "trace_id", "left").select(*key, "trace_id", "kinds", F.coalesce(F.struct(*key) == F.col("root"), F.lit(False)).alias("entry"))
     return m.drop("data").withColumn("data", F.coalesce("clean", F.lit("{}"))).select(*BLIND_COLUMNS), oracle, problems
 
 
