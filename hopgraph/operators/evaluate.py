@@ -246,24 +246,23 @@ def flow_trace_causes(marks: DataFrame, selected: DataFrame, captured: DataFrame
     edges = expected.select("client", "server", "want")
     wrong = F.col("row_mark").isNotNull() & (F.col("row_mark") != F.col("mark"))
     mixed = selected.groupBy("mark").agg(_n(wrong).alias("wrong_mark"))
-    sel = selected.join(edges.select("client", "server"), ["client", "server"]).join(mixed, "mark")
-    # In a trace of one mark rows without a mark are right too; in a mixed one only those that bear it.
-    right = (F.col("wrong_mark") == 0) | F.coalesce(F.col("row_mark") == F.col("mark"), F.lit(False))
-    sel = sel.groupBy("mark", "client", "server").agg(F.count("*").alias("got"), _n(right).alias("right"))
+    sel = selected.join(edges.select("client", "server"), ["client", "server"])
+    sel = sel.groupBy("mark", "client", "server").agg(F.count("*").alias("got"), _n(F.coalesce(F.col("row_mark") == F.col("mark"), F.lit(False))).alias("own"))
     cap = captured.join(edges.select("client", "server"), ["client", "server"]).groupBy("mark", "client", "server").agg(F.count("*").alias("there"))
     # A row for each mark asked for and expected edge, which are a handful: rows that nothing was seen of count too.
-    grid = marks.join(edges).join(sel, ["mark", "client", "server"], "left").join(cap, ["mark", "client", "server"], "left").na.fill(0, ["got", "right", "there"])
+    grid = marks.join(edges).join(sel, ["mark", "client", "server"], "left").join(cap, ["mark", "client", "server"], "left").join(mixed, "mark", "left").na.fill(0, ["got", "own", "there", "wrong_mark"])
+    # In a trace of one mark rows without a mark are right too; in a mixed one only those that bear it.
+    grid = grid.withColumn("right", F.when(F.col("wrong_mark") == 0, F.col("got")).otherwise(F.col("own")))
     want, got, there = F.col("want"), F.col("got"), F.col("there")
     more = lambda a, b: F.greatest(a - b, F.lit(0)).cast("long")
     per = grid.groupBy("mark", "status").agg(
         F.sum("want").cast("long").alias("want"), F.sum("got").alias("predicted"), F.sum(F.least(want, got)).cast("long").alias("covered"), F.sum(F.least(want, F.col("right"))).cast("long").alias("correct"),
         F.sum("right").alias("correct_predicted"), F.sum(more(want, got)).alias("missing"), F.sum(more(got, want)).alias("extra"), F.sum(more(want, there)).alias("not_captured"),
-        F.sum(more(F.least(want, there), F.least(want, got))).alias("not_paired"),
+        F.sum(more(F.least(want, there), F.least(want, got))).alias("not_paired"), F.max("wrong_mark").alias("wrong_mark"),
     )
-    j = per.join(mixed, "mark", "left").na.fill(0, ["wrong_mark"])
     ok = F.col("status") == "ok"
     counts = [F.when(ok, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("predicted", "covered", "correct", "correct_predicted", "missing", "extra", "not_captured", "not_paired", "wrong_mark")]
-    return j.select(
+    return per.select(
         "mark", "status", "want", *counts, (ok & (F.col("not_captured") > 0)).alias("capture_fault"), (ok & ((F.col("not_paired") > 0) | (F.col("wrong_mark") > 0))).alias("pairing_fault"),
         (ok & (F.col("correct") == F.col("want")) & (F.col("wrong_mark") == 0)).alias("assigned"), (ok & (F.col("missing") == 0) & (F.col("wrong_mark") == 0)).alias("exact"),
     )
