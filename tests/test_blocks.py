@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from hopgraph.operators import assignment, candidates
+from hopgraph.operators import assignment, candidates, matching
 
 CALLS = "call_id string, client string, server string, start_us long, end_us long"
 
@@ -99,3 +99,16 @@ def test_slots_write_no_pairs(spark):
     for by_parent in (False, True):
         out, n = rows_written(assignment, lambda: assignment.slot_assign(all_calls, template, by_parent=by_parent).collect())
         assert len(out) == 150 and max(n) <= roots.count() * 4
+
+
+def test_slots_to_a_fixed_point_write_no_pairs_but_those_that_share_a_token(spark):
+    rows = [(f"r{k}", None, 1, "x", "a", 1000 * k, 1000 * k + 90_000) for k in range(40)] + [(f"c{k}", f"r{k}", 1, "a", "b", 1000 * k + 5_000, 1000 * k + 9_000) for k in range(40)]
+    calls = spark.createDataFrame(rows, "call_id string, parent_id string, trace_id long, client string, server string, start_us long, end_us long")
+    roots = calls.where("client = 'x'").select("call_id", F.col("call_id").alias("label"))
+    profile = spark.createDataFrame([("a", "b", 0, 0, 5_000)], "client string, server string, parent_slot int, slot int, offset_us long")
+    # Calls share tokens with the next root but one, against time.
+    word = F.when(F.col("client") == "x", F.col("call_id")).otherwise(F.concat(F.lit("r"), ((F.substring("call_id", 2, 9).cast("int") + 2) % 40).cast("string")))
+    tokens = calls.select("call_id", "client", "server", F.array(word).alias("req"), F.array().cast("array<string>").alias("res"), F.array(word).alias("all"))
+    (state, _, whole), n = rows_written(matching, lambda: matching.assign_slots(calls, profile, roots, tokens))
+    got = {r.call_id: r.parent for r in state.where("parent is not null").collect()}
+    assert whole and got == {f"c{k}": f"r{(k + 2) % 40}" for k in range(40)} and max(n) <= 80
