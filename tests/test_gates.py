@@ -3,6 +3,7 @@
 import datetime
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,25 @@ def test_load_timing_of_one_request_and_without_any(spark):
     assert (got["a"].rate_rps, got["a"].lag_p99, got["a"].gap_p50) == (2.0, 2.5, None)
     assert (got["b"].rate_rps, got["b"].elapsed_s, got["b"].lag_p50, got["b"].lag_max) == (0.0, 0.0, None, None)
     assert evaluate.load_timing(one.limit(0), ["mode"]).count() == 0
+
+
+def test_marks_are_expanded_in_tasks_as_by_joins(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(f"r{k}", rng.sample([f"k{x}" for x in range(25)], rng.randrange(3)), rng.choice([None, [], [f"t{rng.randrange(9)}"], [f"t{rng.randrange(9)}", f"t{rng.randrange(9)}"]])) for k in range(60)]
+    keys = spark.createDataFrame([(i, k) for i, ks, _ in rows for k in ks], "row_id string, key string")
+    # The last rows have no line among the ids.
+    ids = spark.createDataFrame([(i, t) for i, _, t in rows[:54]], "row_id string, trace_ids array<string>")
+    marks = spark.createDataFrame([(f"m{k}", f"r{rng.randrange(70)}") for k in (0, 0, 1, 2, 3, 4, 5)], "mark string, row_id string")
+
+    def got(allow, **more):
+        kept, out, whole = flowlog.expand_allowed(keys, ids, marks, allow, **more)
+        return sorted(map(tuple, kept.collect())), sorted(map(tuple, out.collect())), whole
+
+    by_joins, calls = flowlog._expanded_by_joins, []
+    monkeypatch.setattr(flowlog, "_expanded_by_joins", lambda *a: calls.append(1) or by_joins(*a))
+    for how in ({"allow": False}, {"allow": True, "rounds": 2}):
+        monkeypatch.setattr(flowlog, "TASK_STEPS", 10_000_000)
+        before, mine = len(calls), got(**how)
+        assert len(calls) == before and mine[0]
+        monkeypatch.setattr(flowlog, "TASK_STEPS", 0)
+        assert got(**how) == mine and len(calls) == before + 1
