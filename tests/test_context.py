@@ -123,3 +123,18 @@ def test_owners_take_in_their_database_calls(spark):
     idf = spark.createDataFrame([("b", "c", "u", 2.0)], "client string, server string, token string, idf double")
     got = {r.p_id: r.lineage for r in K.lineage_score(pairs, extended, idf).collect()}
     assert set(got) == {"o"} and math.isclose(got["o"], 0.4 / (1.0 + 0.9 + 0.9 + 0.9 + 0.4))
+
+
+def test_variants_share_what_is_equal(spark, monkeypatch):
+    """Candidates, lineage and the propagation of full and fallback are made once; each variant says what it says alone."""
+    rows = [("r1", None, 1, "ext", "a", 0, 90_000, "o1", "k1"), ("m1", "r1", 1, "a", "b", 1_000, 30_000, "o1", "p1"), ("l1", "m1", 1, "b", "c", 4_000, 5_000, "p1", "s1"),
+            ("r2", None, 2, "ext", "a", 500, 90_500, "o2", "k2"), ("m2", "r2", 2, "a", "b", 1_500, 30_500, "o2", "p2"), ("l2", "m2", 2, "b", "c", 3_500, 4_500, "k2", "s2"), ("late", "m2", 2, "b", "c", 400_000, 500_000, "p2", "s3")]
+    c = spark.createDataFrame(rows, "call_id string, parent_id string, trace_id long, client string, server string, start_us long, end_us long, value_a string, value_b string")
+    alone = {v: {tuple(r) for r in K.infer(c, v)[0].collect()} for v in K.VARIANTS}
+    made = {name: [] for name in ("strict_candidates", "propagate", "lineage_score")}
+    for name, calls in made.items():
+        plain = getattr(K, name)
+        monkeypatch.setattr(K, name, lambda *a, plain=plain, calls=calls, **k: calls.append(1) or plain(*a, **k))
+    together = {v: {tuple(r) for r in labels.collect()} for v, (labels, *_) in K.infer_variants(c, list(K.VARIANTS)).items()}
+    assert together == alone and len(alone["time"]) > 5
+    assert len(made["strict_candidates"]) == 1 and len(made["propagate"]) == 4 and len(made["lineage_score"]) <= 3
