@@ -69,3 +69,22 @@ def test_owners_are_ranked_where_they_were_joined(spark, con):  # noqa: F811
     calls = spark.createDataFrame([], "call_id string, client string, server string, start_us long, end_us long, strong array<string>")
     assert shuffles_after_join(K.attach_db_lineage(calls, calls)) == 0
     test_relations_against_sql(spark, con, "c12_attach_db")
+
+
+def test_pairs_are_not_written_and_bring_their_parents_labels(spark, monkeypatch):
+    """Of seven calls two aren't contained: only these (one is the entry call) are written, and pairs don't meet the labels in a join of their own."""
+    rows = [("r", "ext", "a", 0, 100)] + [(f"c{k}", "a", "b", 10 * k, 10 * k + 5) for k in range(5)] + [("late", "a", "b", 90, 200)]
+    calls = spark.createDataFrame(rows, "call_id string, client string, server string, start_us long, end_us long")
+    kept = []
+    plain_written = K.written
+    monkeypatch.setattr(K, "written", lambda df, name: kept.append(df.count()) or plain_written(df, name))
+    labels = K.roots_of(calls)
+    pairs = K.strict_candidates(calls, labels=labels)
+    assert kept == [2]
+    want = K.prefer_strict(K.temporal_candidates(calls))
+    assert {(r.call_id, r.p_id) for r in pairs.collect()} == {(r.call_id, r.p_id) for r in want.collect()} == {(x[0], "r") for x in rows[1:]}
+    pairs = pairs.withColumn("lineage", F.lit(0.0))
+    apart = K.best_parent(pairs.drop("p_label"), labels)
+    assert sorted(map(tuple, K.best_parent(pairs, None).collect())) == sorted(map(tuple, apart.collect()))
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert joins(K.best_parent(pairs, None)) == joins(pairs)
